@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagetrace.functions.numeric import round_exact
+
 # Fixed values -------------------------------------------------------------
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 SUSPICIOUS_OCR = r"[#<>_|\\]|\d(?=[A-Za-zÀ-ỹ])|(?<=[A-Za-zÀ-ỹ])\d"
@@ -368,7 +370,7 @@ def bounded_text(text: Column, longest: int) -> Column:
 
 
 def narration_seconds(word_total: Column) -> Column:
-    return F.round(word_total.cast("double") / F.lit(150.0) * F.lit(60.0), 1)
+    return round_exact(word_total.cast("double") / F.lit(150.0) * F.lit(60.0), 1)
 
 
 def unfenced(text: Column) -> Column:

@@ -217,8 +217,8 @@ AUDIT = """WITH hits AS (SELECT b.item_id AS audit_id, d.doc_id AS region_id
 def _audit_regions(spark, d):
     """Expected passages of the benchmark and the documents that hold them.
 
-    A passage is looked up by its first 24 characters' presence as a word run:
-    both sides are joined on the passage's longest word, then compared in full.
+    Documents and passages meet on the passage's longest inner word, then the
+    whole passage is looked for in the whole text.
     """
     items = table(spark, d, "benchmark")
     documents = table(spark, d, "documents")
