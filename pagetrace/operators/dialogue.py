@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
+from pagetrace.functions.json import kind, number_field, strict_json, text_field
 from pagetrace.functions.numeric import round_exact
 
 REGION = ["asset_id", "region_id"]
@@ -58,8 +59,7 @@ def build_dialogues(
     """Dialogues in reading order; a position naming an unknown region stays unused."""
     evidence = region_evidence(region_blocks, blocks)
     placed = reading_order.select("asset_id", "region_id", (F.col("pos") + 1).alias("ord"))
-    kind = F.coalesce("type", F.lit("speech_bubble")).alias("type")
-    known = regions.select(*REGION, kind)
+    known = regions.select(*REGION, F.coalesce("type", F.lit("speech_bubble")).alias("type"))
     return (
         placed.join(known, REGION)
         .join(evidence, REGION, "left")
@@ -99,10 +99,6 @@ def screen(dialogues: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit(""))
-
-
 def decode_compact(
     originals: DataFrame, responses: DataFrame, keys: Sequence[str] = ("asset_id",)
 ) -> DataFrame:
@@ -114,32 +110,26 @@ def decode_compact(
     boolean or a string from a missing number.
     """
     keys = list(keys)
-    parsed = responses.select(*keys, F.try_parse_json(T.unfenced(F.col("raw_json"))).alias("_v"))
+    parsed = responses.select(*keys, strict_json(T.unfenced(F.col("raw_json"))).alias("_v"))
     items = F.try_variant_get("_v", "$.items", "variant")
-    usable = _kind(F.col("_v")).startswith("OBJECT") & _kind(items).startswith("ARRAY")
+    usable = kind(F.col("_v")).startswith("OBJECT") & kind(items).startswith("ARRAY")
     flagged = parsed.select(*keys, usable.alias("_usable"), F.when(usable, items).alias("_items"))
     exploded = flagged.select(
-        *keys, F.posexplode(F.try_variant_get("_items", "$", "array<variant>")).alias("pos", "_item")
+        *keys, F.posexplode(F.try_variant_get("_items", "$", "array<variant>")).alias("pos", "_raw")
     )
-
-    def field(name: str) -> Column:
-        return F.when(
-            _kind(F.col("_item")).startswith("OBJECT"), F.try_variant_get("_item", f"$.{name}", "variant")
-        )
-
-    def text_of(name: str) -> Column:
-        return F.when(_kind(field(name)) == "STRING", F.try_variant_get("_item", f"$.{name}", "string"))
-
-    number = _kind(field("confidence")).rlike("^(DECIMAL|BIGINT|DOUBLE|FLOAT)")
+    # A list entry that is not an object reads as missing everything.
+    exploded = exploded.withColumn("_item", F.when(kind(F.col("_raw")).startswith("OBJECT"), F.col("_raw")))
+    item = F.col("_item")
+    whole = kind(F.try_variant_get(item, "$.region_id", "variant")) == "BIGINT"
     read = exploded.select(
         *keys,
         "pos",
-        F.when(_kind(field("region_id")) == "BIGINT", F.try_variant_get("_item", "$.region_id", "long")).alias("region_id"),
-        text_of("action").alias("action"),
-        text_of("decision").alias("decision"),
-        text_of("reason_code").alias("reason_code"),
-        text_of("clean_text").alias("changed_text"),
-        F.when(number, F.try_variant_get("_item", "$.confidence", "double")).alias("confidence"),
+        F.when(whole, F.try_variant_get(item, "$.region_id", "long")).alias("region_id"),
+        text_field(item, "action").alias("action"),
+        text_field(item, "decision").alias("decision"),
+        text_field(item, "reason_code").alias("reason_code"),
+        text_field(item, "clean_text").alias("changed_text"),
+        number_field(item, "confidence").alias("confidence"),
     )
     sound = (
         F.col("region_id").isNotNull()
