@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagetrace.operators import story_input as S
 from pagetrace.sources.lenses import table, with_lenses
+from pagetrace.sources.story_lens import with_story
 
 QUERIES = {}
 
@@ -149,3 +150,283 @@ def story_input_evidence(spark, d):
 )
 def story_input_pages(spark, d):
     return _input(spark, d)["pages"]
+
+
+# --- Grounding over the conversation story world --------------------------------
+
+NORM = "trim(regexp_replace(replace(upper(strip_accents({0})), 'ẞ', 'SS'), '\\s+', ' ', 'g'))"
+HOLDS = "regexp_matches({0}, concat('(^|[^A-Z0-9])', regexp_escape({1}), '([^A-Z0-9]|$)'))"
+CAUSAL = r"regexp_matches({0}, '\bVI\b|\bBOI\b|\bNHO\b|DAN DEN|CHO PHEP|\bBECAUSE\b|\bTHEREFORE\b|RESULTS? IN|\bCAUSES?\b|\bGRANTS?\b')"
+NAME_ONLY = "len(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) = 1 AND length(trim({0})) <= 30 AND NOT regexp_matches({0}, '[!?]')"
+
+SOURCES_SQL = """, pages_ AS (SELECT DISTINCT project_id, asset_id, page_order AS expected FROM evidence),
+  located AS (SELECT s.*, expected, CASE WHEN len(region_ids) = 0 OR list_min(region_ids) <= 0 THEN 'invalid_source_shape' WHEN expected IS NULL THEN 'invalid_asset_reference'
+      WHEN page_order <> expected THEN 'wrong_page_order' END AS code, list_sort(list_distinct(region_ids)) AS uniq
+    FROM claim_sources s LEFT JOIN pages_ p USING (project_id, asset_id)),
+  spread AS (SELECT l.project_id, event_id, claim_id, source_ord, l.asset_id, l.page_order, uniq, u.region_id, e.region_id IS NOT NULL AS hit
+    FROM located l, unnest(uniq) u(region_id) LEFT JOIN evidence e ON e.project_id = l.project_id AND e.asset_id = l.asset_id AND e.region_id = u.region_id WHERE code IS NULL),
+  sound AS (SELECT project_id, event_id, claim_id, source_ord, asset_id, page_order, any_value(uniq) AS uniq FROM spread GROUP BY ALL HAVING bool_and(hit)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id, event_id, claim_id, asset_id, page_order, uniq ORDER BY source_ord) AS r FROM sound),
+  valid AS (SELECT project_id, event_id, claim_id, source_ord, asset_id, page_order, unnest(uniq) AS region_id FROM ranked WHERE r = 1)"""
+
+
+def _world(spark, d):
+    from pagetrace.operators import grounding as G
+    from pagetrace.sources.story_lens import story_world
+
+    w = story_world(spark, d)
+    w["valid"], w["claim_issues"] = G.validate_sources(w["claims"], w["claim_sources"], w["pages"], w["evidence"], G.CLAIM)
+    return w
+
+
+def _judged(spark, d):
+    from pagetrace.operators import grounding as G
+
+    w = _world(spark, d)
+    w["judged"] = G.judge_claims(w["claims"], w["valid"], w["evidence"], w["characters"])
+    w["grounded"] = G.ground_events(w["events"], w["judged"])
+    return w
+
+
+@query(
+    "claim_source_validation",
+    with_story("evidence", "claims", "claim_sources") + SOURCES_SQL
+    + """ SELECT project_id, event_id, claim_id, code, asset_id, NULL::bigint AS region_id FROM located WHERE code IS NOT NULL
+    UNION ALL SELECT project_id, event_id, claim_id, 'duplicate_region_reference', asset_id, NULL FROM located WHERE code IS NULL AND len(uniq) < len(region_ids)
+    UNION ALL SELECT project_id, event_id, claim_id, 'invalid_region_reference', asset_id, region_id FROM spread WHERE NOT hit
+    UNION ALL SELECT project_id, event_id, claim_id, 'duplicate_source_reference', asset_id, NULL FROM ranked WHERE r > 1
+    UNION ALL SELECT project_id, event_id, claim_id, 'missing_source_references', NULL, NULL FROM claims c
+      WHERE NOT EXISTS (SELECT 1 FROM claim_sources s WHERE s.claim_id = c.claim_id AND s.project_id = c.project_id)""",
+)
+def claim_source_validation(spark, d):
+    return _world(spark, d)["claim_issues"]
+
+
+@query(
+    "valid_claim_regions",
+    with_story("evidence", "claims", "claim_sources") + SOURCES_SQL + " SELECT * FROM valid",
+)
+def valid_claim_regions(spark, d):
+    return _world(spark, d)["valid"]
+
+
+@query(
+    "repeated_salient_tokens",
+    with_story("evidence")
+    + f""" SELECT project_id, token, count(*) AS regions FROM (SELECT DISTINCT project_id, asset_id, region_id,
+      unnest(regexp_extract_all({NORM.format('evidence_text')}, '[A-Z0-9]+')) AS token FROM evidence)
+    WHERE length(token) >= 4 AND NOT regexp_matches(token, '^[0-9]+$') GROUP BY 1, 2 HAVING count(*) >= 2""",
+)
+def repeated_salient_tokens(spark, d):
+    from pagetrace.operators import grounding as G
+    from pagetrace.sources.story_lens import story
+
+    return G.repeated_tokens(story(spark, d, "evidence"))
+
+
+@query(
+    "name_only_regions",
+    with_story("evidence")
+    + f" SELECT project_id, asset_id, region_id, {NORM.format('evidence_text')} AS normalized FROM evidence WHERE {NAME_ONLY.format('evidence_text')}",
+)
+def name_only_regions(spark, d):
+    from pagetrace.functions import text as T
+    from pagetrace.sources.story_lens import story
+
+    rows = story(spark, d, "evidence").where(T.name_only(F.col("evidence_text")))
+    return rows.select("project_id", "asset_id", "region_id", T.normalize_name(F.col("evidence_text")).alias("normalized"))
+
+
+JUDGED = SOURCES_SQL + f""", ev AS (SELECT *, {NORM.format('evidence_text')} AS n FROM evidence),
+  cited AS (SELECT v.project_id, event_id, claim_id, list(n ORDER BY source_ord, region_id) AS texts, bool_or(text_role = 'game_ui') AS ui
+    FROM valid v JOIN ev USING (project_id, asset_id, region_id) GROUP BY 1, 2, 3),
+  names_raw AS (SELECT project_id, trim(name) AS name, 0 AS kind, char_ord AS a, '' AS b, 0 AS c FROM characters
+    UNION ALL SELECT project_id, trim(evidence_text), 1, page_order, cast(asset_id AS varchar), ord FROM evidence WHERE {NAME_ONLY.format('evidence_text')}),
+  names AS (SELECT project_id, {NORM.format('name')} AS nn, arg_min(name, row(kind, a, b, c)) AS name FROM names_raw GROUP BY 1, 2 HAVING nn <> ''),
+  tokens AS (SELECT project_id, token FROM (SELECT DISTINCT project_id, asset_id, region_id, unnest(regexp_extract_all(n, '[A-Z0-9]+')) AS token FROM ev)
+    WHERE length(token) >= 4 AND NOT regexp_matches(token, '^[0-9]+$') GROUP BY 1, 2 HAVING count(*) >= 2),
+  first_in AS (SELECT c.project_id, c.event_id, c.claim_id, claim_ord, text, claim_type, subject, coalesce(texts, []) AS texts, coalesce(ui, false) AS ui,
+      {NORM.format('text')} AS n, {NORM.format("coalesce(subject, '')")} AS s FROM claims c LEFT JOIN cited USING (project_id, event_id, claim_id)),
+  first_foreign AS (SELECT f.claim_id, f.project_id, count(*) AS k, min(name) AS name FROM first_in f JOIN names m ON m.project_id = f.project_id AND {HOLDS.format('n', 'nn')}
+      AND NOT list_bool_or(list_concat([false], list_transform(texts, lambda t: {HOLDS.format('t', 'nn')}))) GROUP BY 1, 2),
+  first_token AS (SELECT DISTINCT f.claim_id, f.project_id FROM (SELECT project_id, claim_id, texts, unnest(list_distinct(regexp_extract_all(n, '[A-Z0-9]+'))) AS token FROM first_in) f
+      JOIN tokens t ON t.project_id = f.project_id AND t.token = f.token WHERE NOT list_contains(regexp_extract_all(array_to_string(texts, ' '), '[A-Z0-9]+'), f.token)),
+  first_ AS (SELECT i.*, ff.k, ff.name, CASE WHEN len(texts) = 0 THEN 'No valid source references.'
+      WHEN claim_type IN ('speaker_attribution', 'actor_attribution') AND NOT (s <> '' AND list_bool_or(list_transform(texts, lambda t: {HOLDS.format('t', 's')}))) THEN 'Source evidence does not identify the attributed subject.'
+      WHEN claim_type = 'causal_relation' AND NOT {CAUSAL.format("array_to_string(texts, ' ')")} THEN 'Source evidence does not explicitly state a causal relation.'
+      WHEN ff.k IS NOT NULL OR ft.claim_id IS NOT NULL THEN 'Named entity attribution is not present in the sources.'
+      WHEN {CAUSAL.format('n')} AND NOT {CAUSAL.format("array_to_string(texts, ' ')")} THEN 'Claim implies causality not stated by the sources.'
+      WHEN ui THEN 'Game UI evidence requires review before script use.' END AS reason
+    FROM first_in i LEFT JOIN first_foreign ff USING (project_id, claim_id) LEFT JOIN first_token ft USING (project_id, claim_id)),
+  fix AS (SELECT *, trim(regexp_replace(text, concat('(^|[^\\p{{L}}\\p{{N}}_])', regexp_escape(name), '(?:[’'']s)?($|[^\\p{{L}}\\p{{N}}_])'), '\\1a character\\2', 'i')) AS raw_fix
+    FROM first_ WHERE reason = 'Named entity attribution is not present in the sources.' AND claim_type <> 'causal_relation' AND k = 1),
+  second_in AS (SELECT project_id, event_id, claim_id, texts, ui, CASE WHEN starts_with(raw_fix, 'a character') THEN concat('A', substr(raw_fix, 2)) ELSE raw_fix END AS fixed FROM fix WHERE raw_fix <> trim(text)),
+  second_n AS (SELECT *, {NORM.format('fixed')} AS n FROM second_in),
+  second_bad AS (SELECT DISTINCT f.project_id, f.claim_id FROM second_n f JOIN names m ON m.project_id = f.project_id AND {HOLDS.format('n', 'nn')}
+        AND NOT list_bool_or(list_concat([false], list_transform(texts, lambda t: {HOLDS.format('t', 'nn')})))
+      UNION SELECT f.project_id, f.claim_id FROM (SELECT project_id, claim_id, texts, unnest(list_distinct(regexp_extract_all(n, '[A-Z0-9]+'))) AS token FROM second_n) f
+        JOIN tokens t ON t.project_id = f.project_id AND t.token = f.token WHERE NOT list_contains(regexp_extract_all(array_to_string(texts, ' '), '[A-Z0-9]+'), f.token)),
+  second_ AS (SELECT n.*, CASE WHEN b.claim_id IS NOT NULL THEN 'Named entity attribution is not present in the sources.'
+      WHEN {CAUSAL.format('n')} AND NOT {CAUSAL.format("array_to_string(texts, ' ')")} THEN 'Claim implies causality not stated by the sources.'
+      WHEN ui THEN 'Game UI evidence requires review before script use.' END AS reason2 FROM second_n n LEFT JOIN second_bad b USING (project_id, claim_id)),
+  judged AS (SELECT f.project_id, f.event_id, f.claim_id, claim_ord, CASE WHEN fixed IS NOT NULL AND reason2 IS NULL THEN fixed ELSE text END AS text,
+      CASE WHEN fixed IS NOT NULL THEN reason2 ELSE reason END AS reason, CASE WHEN fixed IS NOT NULL AND reason2 IS NULL THEN name END AS removed_attribution, claim_type
+    FROM first_ f LEFT JOIN second_ s USING (project_id, event_id, claim_id))"""
+ALL_STORY = ("evidence", "events", "claims", "claim_sources", "characters", "character_sources", "progression")
+
+
+@query(
+    "claim_verdicts",
+    with_story(*ALL_STORY) + JUDGED
+    + """ SELECT project_id, event_id, claim_id, text, reason, removed_attribution,
+      CASE WHEN reason IS NULL AND removed_attribution IS NOT NULL THEN 'claim_deattributed' WHEN reason IS NULL THEN NULL
+        WHEN reason LIKE 'Named%' THEN 'unsupported_named_attribution' WHEN reason LIKE 'Claim implies%' THEN 'unsupported_causal_inference' WHEN reason LIKE 'Game UI%' THEN 'game_ui_claim_requires_review'
+        WHEN claim_type = 'speaker_attribution' THEN 'unsupported_speaker_attribution' WHEN claim_type = 'actor_attribution' THEN 'unsupported_actor_attribution'
+        WHEN claim_type = 'causal_relation' THEN 'unsupported_causal_inference' ELSE 'unsupported_claim' END AS code FROM judged""",
+)
+def claim_verdicts(spark, d):
+    return _judged(spark, d)["judged"].select("project_id", "event_id", "claim_id", "text", "reason", "removed_attribution", "code")
+
+
+GROUNDED = JUDGED + """, grounded AS (SELECT e.*, coalesce(g, 0) AS grounded_claims, coalesce(b, 1) AS unsupported_claims, coalesce(b = 0, false) AS script_ready
+    FROM events e LEFT JOIN (SELECT project_id, event_id, count(*) FILTER (WHERE reason IS NULL) AS g, count(*) FILTER (WHERE reason IS NOT NULL) AS b FROM judged GROUP BY 1, 2) USING (project_id, event_id))"""
+
+
+@query(
+    "grounded_events",
+    with_story(*ALL_STORY) + GROUNDED + " SELECT project_id, event_id, story_role, grounded_claims, unsupported_claims, script_ready FROM grounded",
+)
+def grounded_events(spark, d):
+    return _judged(spark, d)["grounded"].select("project_id", "event_id", "story_role", "grounded_claims", "unsupported_claims", "script_ready")
+
+
+@query(
+    "merged_event_sources",
+    with_story(*ALL_STORY) + JUDGED
+    + """ SELECT v.project_id, v.event_id, v.asset_id, v.page_order, array_to_string(list_sort(list(DISTINCT v.region_id)), ',') AS regions
+    FROM valid v JOIN judged j USING (project_id, event_id, claim_id) WHERE reason IS NULL GROUP BY 1, 2, 3, 4""",
+)
+def merged_event_sources(spark, d):
+    from pagetrace.operators import grounding as G
+
+    w = _judged(spark, d)
+    return G.merged_sources(w["valid"], w["judged"]).select(
+        "project_id", "event_id", "asset_id", "page_order", F.array_join(F.transform("region_ids", lambda r: r.cast("string")), ",").alias("regions")
+    )
+
+
+@query(
+    "story_progression_check",
+    with_story(*ALL_STORY) + GROUNDED
+    + """, p AS (SELECT *, nullif(trim(event_id), '') AS id FROM progression),
+    f AS (SELECT *, row_number() OVER (PARTITION BY project_id, id ORDER BY pos) AS r FROM p)
+    SELECT f.project_id, pos, coalesce(id, f.event_id) AS event_id, CASE WHEN id IS NULL THEN 'invalid_progression_event_id' WHEN r > 1 THEN 'duplicate_progression_event'
+      WHEN g.event_id IS NULL THEN 'nonexistent_progression_event' WHEN NOT script_ready THEN 'unsupported_progression_event'
+      WHEN story_role <> 'main_story' THEN 'contextual_progression_event' END AS code
+    FROM f LEFT JOIN grounded g ON g.project_id = f.project_id AND g.event_id = f.id""",
+)
+def story_progression_check(spark, d):
+    from pagetrace.operators import grounding as G
+
+    w = _judged(spark, d)
+    return G.check_progression(w["progression"], w["grounded"])
+
+
+CHARACTERS = f""", c_located AS (SELECT s.*, list_sort(list_distinct(region_ids)) AS uniq FROM character_sources s JOIN (SELECT DISTINCT project_id, asset_id, page_order FROM evidence) p USING (project_id, asset_id, page_order) WHERE list_min(region_ids) > 0),
+  c_spread AS (SELECT l.project_id, character_id, l.asset_id, u.region_id, evidence_text FROM c_located l, unnest(uniq) u(region_id)
+    LEFT JOIN evidence e ON e.project_id = l.project_id AND e.asset_id = l.asset_id AND e.region_id = u.region_id),
+  c_valid AS (SELECT * FROM c_spread WHERE (project_id, character_id) NOT IN (SELECT (project_id, character_id) FROM c_spread WHERE evidence_text IS NULL)),
+  people AS (SELECT c.project_id, c.character_id, CASE WHEN max(v.region_id) IS NULL THEN 'No valid source references.'
+      WHEN NOT bool_or({HOLDS.format(NORM.format('evidence_text'), NORM.format('name'))}) THEN 'No source contains character name evidence.' END AS reason
+    FROM characters c LEFT JOIN c_valid v USING (project_id, character_id) GROUP BY 1, 2)"""
+
+
+@query(
+    "character_name_evidence",
+    with_story(*ALL_STORY) + CHARACTERS + " SELECT * FROM people",
+)
+def character_name_evidence(spark, d):
+    from pagetrace.operators import grounding as G
+
+    w = _world(spark, d)
+    valid, _ = G.validate_sources(w["characters"], w["character_sources"], w["pages"], w["evidence"], G.CHARACTER)
+    return G.ground_characters(w["characters"], valid, w["evidence"])[0].select("project_id", "character_id", "reason")
+
+
+@query(
+    "grounding_summary",
+    with_story(*ALL_STORY) + GROUNDED.replace(SOURCES_SQL, SOURCES_SQL + CHARACTERS)
+    + """ SELECT project_id, total_characters, grounded_characters, unsupported_characters, total_events, total_events AS grounded_events, unsupported_events, script_ready_events
+    FROM (SELECT project_id, count(*) AS total_characters, count(*) FILTER (WHERE reason IS NULL) AS grounded_characters, count(reason) AS unsupported_characters FROM people GROUP BY 1)
+    JOIN (SELECT project_id, count(*) AS total_events, count(*) FILTER (WHERE grounded_claims = 0) AS unsupported_events, count(*) FILTER (WHERE script_ready) AS script_ready_events FROM grounded GROUP BY 1) USING (project_id)""",
+)
+def grounding_summary(spark, d):
+    from pagetrace.operators import grounding as G
+
+    w = _judged(spark, d)
+    valid, _ = G.validate_sources(w["characters"], w["character_sources"], w["pages"], w["evidence"], G.CHARACTER)
+    people, _ = G.ground_characters(w["characters"], valid, w["evidence"])
+    return G.grounding_summary(w["events"].select("project_id").distinct(), people, w["grounded"])
+
+
+@query(
+    "event_page_counts",
+    with_story(*ALL_STORY) + JUDGED
+    + """ SELECT v.project_id, v.event_id, count(DISTINCT v.asset_id) AS pages, count(DISTINCT (v.asset_id, v.region_id)) AS regions
+    FROM valid v JOIN judged j USING (project_id, event_id, claim_id) WHERE reason IS NULL GROUP BY 1, 2""",
+)
+def event_page_counts(spark, d):
+    from pagetrace.operators import grounding as G
+
+    w = _judged(spark, d)
+    regions = G.grounded_regions(w["valid"], w["judged"])
+    return regions.groupBy("project_id", "event_id").agg(
+        F.countDistinct("asset_id").alias("pages"), F.count(F.lit(1)).alias("regions")
+    )
+
+
+@query(
+    "evidence_guard",
+    with_story("evidence", "events")
+    + """ SELECT DISTINCT project_id FROM evidence WHERE text_role IN ('dialogue', 'narration', 'thought') AND evidence_text <> ''
+      AND project_id NOT IN (SELECT project_id FROM events WHERE project_id % 3 <> 1)""",
+)
+def evidence_guard(spark, d):
+    from pagetrace.operators import grounding as G
+    from pagetrace.sources.story_lens import story
+
+    return G.evidence_guard(story(spark, d, "evidence"), story(spark, d, "events").where("project_id % 3 <> 1"))
+
+
+@query(
+    "story_structure_issues",
+    with_story(*ALL_STORY)
+    + """ SELECT project_id, 'event' AS entity_type, event_id AS entity_id, 'invalid_story_role' AS code FROM events WHERE event_ord % 11 = 1
+    UNION ALL SELECT project_id, 'event', event_id, 'invalid_importance' FROM events WHERE event_ord % 7 = 2
+    UNION ALL SELECT project_id, 'event', event_id, 'missing_summary' FROM events WHERE event_ord % 7 = 3
+    UNION ALL SELECT project_id, 'event', event_id, 'duplicate_event_id' FROM events WHERE event_ord % 13 = 3
+    UNION ALL SELECT project_id, 'claim', claim_id, 'invalid_claim_type' FROM claims WHERE claim_type = 'actor_attribution'
+    UNION ALL SELECT project_id, 'claim', claim_id, 'source_region_ids' FROM claim_sources WHERE list_min(region_ids) <= 0
+    UNION ALL SELECT project_id, 'claim', claim_id, 'missing_sources' FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM claim_sources)
+    UNION ALL SELECT project_id, 'character', character_id, 'missing_sources' FROM characters WHERE (project_id, character_id) NOT IN (SELECT (project_id, character_id) FROM character_sources)""",
+)
+def story_structure_issues(spark, d):
+    from pagetrace.operators import grounding as G
+    from pagetrace.sources.story_lens import story_world
+
+    w = story_world(spark, d)
+    k = F.col("event_ord")
+    events = w["events"].withColumns(
+        {
+            "story_role": F.when(k % 11 == 1, "side").otherwise(F.col("story_role")),
+            "importance": F.when(k % 7 == 2, F.lit(1.5)).otherwise(F.col("importance")),
+            "summary": F.when(k % 7 == 3, F.lit(" ")).otherwise(F.lit("s")),
+        }
+    )
+    # Only the id column is repeated, so the copies pass every other test.
+    fine = events.withColumns({"story_role": F.lit("main_story"), "importance": F.lit(0.1), "summary": F.lit("s")})
+    events = events.unionByName(fine.where("event_ord % 13 = 3"))
+    claims = w["claims"].withColumn("claim_type", F.when(F.col("claim_type") == "actor_attribution", "guess").otherwise(F.col("claim_type")))
+    claims = claims.withColumn("text", F.lit("t"))
+    people = w["characters"].withColumn("name", F.lit("n"))
+    return G.structure_issues(people, events, claims, w["claim_sources"], w["character_sources"])
