@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
+from pagetrace.session import cut
 
 EVENT = ["project_id", "event_id"]
 CLAIM = [*EVENT, "claim_id"]
@@ -220,11 +221,11 @@ def judge_claims(
     A claim that fails only for one foreign name is repaired by taking the name out
     and judged again; ``original_text`` and ``removed_attribution`` record that.
     """
-    names = known_names(characters, evidence)
-    tokens = repeated_tokens(evidence)
+    names = cut(known_names(characters, evidence))
+    tokens = cut(repeated_tokens(evidence))
     cited = cited_evidence(valid, evidence, CLAIM)
     ready = claims.join(cited, CLAIM, "left")
-    first = _failures(ready, names, tokens)
+    first = cut(_failures(ready, names, tokens))
     candidate = (
         (F.col("reason") == FOREIGN_NAME)
         & (F.coalesce("claim_type", F.lit("fact")) != "causal_relation")

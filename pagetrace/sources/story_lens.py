@@ -15,9 +15,9 @@ STORY = {
     "evidence": """
         SELECT cast(floor(conv_id / 5) AS bigint) AS project_id, conv_id AS asset_id, conv_id % 5 + 1 AS page_order,
           turn + 1 AS region_id, turn + 1 AS ord,
-          CASE WHEN (conv_id + turn) % 9 = 8 THEN 'sfx' WHEN role = 'user' THEN 'dialogue' WHEN role = 'assistant' THEN 'narration' ELSE 'game_ui' END AS text_role,
+          CASE WHEN (conv_id + turn) % 9 = 8 THEN 'sfx' WHEN (conv_id + turn) % 9 = 7 THEN 'game_ui' WHEN role = 'user' THEN 'dialogue' WHEN role = 'assistant' THEN 'narration' ELSE 'game_ui' END AS text_role,
           CASE WHEN (conv_id + turn) % 7 = 0 THEN split_part(replace(text, chr(10), ' '), ' ', 1)
-            WHEN (conv_id + turn) % 7 = 3 THEN concat(text, ' because of that') ELSE text END AS evidence_text
+            WHEN (conv_id + turn) % 7 = 3 THEN concat(text, ' dan den do') ELSE text END AS evidence_text
         FROM conversations""",
     "turns": """
         SELECT cast(floor(conv_id / 5) AS bigint) AS project_id, conv_id, turn, conv_id % 5 + 1 AS page_order,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagetrace.functions.numeric import round_exact_sql
 from pagetrace.operators import story_input as S
 from pagetrace.sources.lenses import table, with_lenses
 from pagetrace.sources.story_lens import with_story
@@ -180,11 +181,12 @@ def _world(spark, d):
 
 
 def _judged(spark, d):
-    from pagetrace.operators import grounding as G
+    from pagetrace.plans.story import ground_story
+    from pagetrace.sources.story_lens import story_world
 
-    w = _world(spark, d)
-    w["judged"] = G.judge_claims(w["claims"], w["valid"], w["evidence"], w["characters"])
-    w["grounded"] = G.ground_events(w["events"], w["judged"])
+    w = story_world(spark, d)
+    w["result"] = ground_story(w)
+    w.update(valid=w["result"]["valid_sources"], judged=w["result"]["claims"], grounded=w["result"]["events"])
     return w
 
 
@@ -430,3 +432,320 @@ def story_structure_issues(spark, d):
     claims = claims.withColumn("text", F.lit("t"))
     people = w["characters"].withColumn("name", F.lit("n"))
     return G.structure_issues(people, events, claims, w["claim_sources"], w["character_sources"])
+
+
+# --- Coverage and recovery ---------------------------------------------------------
+
+COVERED = JUDGED + f""", cites AS (SELECT DISTINCT v.project_id, v.asset_id, v.page_order, v.region_id FROM valid v JOIN judged j USING (project_id, event_id, claim_id) WHERE reason IS NULL),
+  regions AS (SELECT e.*, CASE WHEN text_role IN ('dialogue', 'narration', 'thought') THEN 'primary' WHEN text_role IN ('game_ui', 'other') THEN 'context' ELSE 'excluded' END AS category,
+      c.asset_id IS NOT NULL AS covered, (text_role IN ('dialogue', 'narration', 'thought') AND {NAME_ONLY.format('evidence_text')}) OR (e.asset_id + e.region_id) % 10 = 1 AS marked
+    FROM evidence e LEFT JOIN cites c USING (project_id, asset_id, page_order, region_id)),
+  open_ AS (SELECT * FROM regions WHERE category = 'primary' AND NOT covered AND NOT marked)"""
+
+
+def _coverage(spark, d):
+    from pagetrace.operators import coverage as V
+    from pagetrace.operators import grounding as G
+
+    w = _judged(spark, d)
+    cited = G.grounded_regions(w["valid"], w["judged"])
+    w["asides"] = w["evidence"].where("(asset_id + region_id) % 10 = 1")
+    w["regions"] = V.covered_regions(w["evidence"], cited, w["asides"])
+    return w
+
+
+@query(
+    "coverage_report",
+    with_story(*ALL_STORY) + COVERED
+    + f""" SELECT project_id, eligible_regions, important_regions, covered_regions, non_story_relevant_regions, unresolved_regions, optional_context_regions,
+      {round_exact_sql('coalesce(cast(resolved AS double) / nullif(important_regions, 0), 1.0)', 4)} AS coverage_score FROM (
+      SELECT project_id, count(*) FILTER (WHERE category <> 'excluded') AS eligible_regions, count(*) FILTER (WHERE category = 'primary') AS important_regions,
+      count(*) FILTER (WHERE category <> 'excluded' AND covered AND NOT marked) AS covered_regions, count(*) FILTER (WHERE category <> 'excluded' AND marked) AS non_story_relevant_regions,
+      count(*) FILTER (WHERE category = 'primary' AND NOT covered AND NOT marked) AS unresolved_regions, count(*) FILTER (WHERE category = 'context' AND NOT covered) AS optional_context_regions,
+      count(*) FILTER (WHERE category = 'primary' AND (covered OR marked)) AS resolved FROM regions GROUP BY 1)""",
+)
+def coverage_report(spark, d):
+    from pagetrace.operators import coverage as V
+
+    return V.coverage_report(_coverage(spark, d)["regions"])
+
+
+@query("uncovered_regions", with_story(*ALL_STORY) + COVERED + " SELECT project_id, asset_id, page_order, region_id, text_role FROM open_")
+def uncovered_regions(spark, d):
+    from pagetrace.operators import coverage as V
+
+    return V.uncovered_important(_coverage(spark, d)["regions"]).select("project_id", "asset_id", "page_order", "region_id", "text_role")
+
+
+@query(
+    "nearby_context",
+    with_story("evidence")
+    + """ SELECT DISTINCT e.project_id, e.asset_id, e.region_id FROM evidence e JOIN evidence t USING (project_id, asset_id) WHERE (t.asset_id + t.region_id) % 4 = 0 AND abs(e.ord - t.ord) <= 1""",
+)
+def nearby_context(spark, d):
+    from pagetrace.operators import coverage as V
+    from pagetrace.sources.story_lens import story
+
+    e = story(spark, d, "evidence")
+    return V.nearby_context(e, e.where("(asset_id + region_id) % 4 = 0")).select("project_id", "asset_id", "region_id")
+
+
+TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) > 1))"
+def _overlaps(regions, order, claims):
+    return f""", r_tokens AS (SELECT project_id, asset_id, page_order, region_id, {TOKENS.format('evidence_text')} AS a FROM {regions}),
+  c_tokens AS (SELECT project_id, {order} AS o, text, {TOKENS.format('text')} AS b FROM {claims}),
+  ov AS (SELECT r.project_id, r.asset_id, r.page_order, r.region_id, coalesce(max(cast(len(list_intersect(a, b)) AS double) / nullif(len(a), 0)), 0.0) AS overlap,
+      arg_max(text, row(len(list_intersect(a, b)), -o)) FILTER (WHERE len(list_intersect(a, b)) > 0) AS closest_text
+    FROM r_tokens r LEFT JOIN c_tokens c ON r.project_id = c.project_id GROUP BY 1, 2, 3, 4)"""
+
+
+@query(
+    "closest_claim_per_region",
+    with_story("evidence", "claims")
+    + _overlaps("evidence", "row_number() OVER (PARTITION BY project_id ORDER BY claim_id)", "claims")
+    + " SELECT project_id, asset_id, region_id, overlap, closest_text FROM ov",
+)
+def closest_claim_per_region(spark, d):
+    from pagetrace.operators import coverage as V
+    from pagetrace.operators.numbering import number_rows
+    from pagetrace.sources.story_lens import story_world
+
+    w = story_world(spark, d)
+    said = number_rows(w["claims"], ["project_id"], [F.col("claim_id")], into="n").select("project_id", F.col("n").alias("claim_ord"), "text")
+    return V.with_overlap(w["evidence"], said).select("project_id", "asset_id", "region_id", "overlap", "closest_text")
+
+
+SLOTS = COVERED + ", said AS (SELECT j.*, event_ord * 10 + claim_ord AS o FROM judged j JOIN events USING (project_id, event_id) WHERE reason IS NULL)" + _overlaps("open_", "o", "said") + """,
+  slots AS (SELECT *, concat('slot_', cast(row_number() OVER (PARTITION BY project_id ORDER BY page_order, asset_id, ord, region_id) AS varchar)) AS slot_id,
+      concat('coverage_recovery_p', cast(page_order AS varchar), '_r', cast(region_id AS varchar), '_', substr(sha256(cast(asset_id AS varchar)), 1, 8)) AS event_id
+    FROM open_ JOIN ov USING (project_id, asset_id, page_order, region_id))"""
+
+
+@query(
+    "recovery_slots",
+    with_story(*ALL_STORY) + SLOTS
+    + f""" SELECT project_id, asset_id, region_id, slot_id, event_id, closest_text AS closest_grounded_claim, {round_exact_sql('overlap', 4)} AS normalized_token_overlap,
+      overlap >= 0.8 AS equivalent_grounded_proposition FROM slots""",
+)
+def recovery_slots(spark, d):
+    from pagetrace.plans.story import cover_and_recover
+
+    w = _judged(spark, d)
+    asides = w["evidence"].where("(asset_id + region_id) % 10 = 1")
+    return cover_and_recover(w, w["result"], non_story=asides)["slots"].select(
+        "project_id", "asset_id", "region_id", "slot_id", "event_id", "closest_grounded_claim", "normalized_token_overlap", "equivalent_grounded_proposition"
+    )
+
+
+COMPATIBLE = """CASE reason WHEN 'standalone_label' THEN len(tk) BETWEEN 1 AND 4 AND length(trim(evidence_text)) <= 40 AND NOT regexp_matches(evidence_text, '[.!?;:]')
+      WHEN 'sfx_or_annotation' THEN text_role IN ('sfx', 'translator_note') WHEN 'non_story_ui' THEN text_role = 'game_ui' OR list_has_any(tk, ['system', 'achievement', 'unlocked', 'level', 'hp', 'mp'])
+      WHEN 'repeated_information' THEN overlap >= 0.6 WHEN 'redundant_context' THEN overlap >= 0.5 WHEN 'greeting_or_filler' THEN len(tk) BETWEEN 1 AND 5
+      WHEN 'no_factual_story_content' THEN len(tk) BETWEEN 1 AND 2 AND NOT regexp_matches(evidence_text, '\\p{Nd}') ELSE false END"""
+
+
+@query(
+    "non_story_reason_compatibility",
+    with_story("evidence")
+    + f""", r AS (SELECT *, {TOKENS.format('evidence_text')} AS tk, cast(region_id % 10 AS double) / 10 AS overlap,
+      unnest(['standalone_label', 'repeated_information', 'non_story_ui', 'greeting_or_filler', 'sfx_or_annotation', 'redundant_context', 'no_factual_story_content', 'other']) AS reason FROM evidence)
+    SELECT asset_id, region_id, reason, {COMPATIBLE} AS compatible FROM r""",
+)
+def non_story_reason_compatibility(spark, d):
+    from pagetrace.operators import coverage as V
+    from pagetrace.sources.story_lens import story
+
+    reasons = F.array(*[F.lit(c) for c in [*V.NON_STORY_CODES, "other"]])
+    rows = story(spark, d, "evidence").withColumn("reason", F.explode(reasons))
+    fits = V.reason_compatible(F.col("reason"), F.col("evidence_text"), F.col("text_role"), (F.col("region_id") % 10) / 10)
+    return rows.select("asset_id", "region_id", "reason", fits.alias("compatible"))
+
+
+# Answers to the slots: one kind per slot number, one unknown slot per project.
+ANSWERS_SQL = SLOTS + f""", numbered AS (SELECT *, cast(substr(slot_id, 6) AS bigint) AS n FROM slots),
+  verdicts AS (SELECT project_id, slot_id, n, n % 8 AS k, CASE n % 8
+      WHEN 0 THEN CASE WHEN len({TOKENS.format('evidence_text')}) BETWEEN 1 AND 4 AND length(trim(evidence_text)) <= 40 AND NOT regexp_matches(evidence_text, '[.!?;:]') THEN NULL ELSE 'incompatible_non_story_reason_code' END
+      WHEN 1 THEN 'invalid_non_story_reason_code' WHEN 3 THEN 'fixed_slot_claim_not_anchored_to_evidence' WHEN 4 THEN 'model_supplied_backend_owned_field'
+      WHEN 7 THEN CASE WHEN {CAUSAL.format(NORM.format('evidence_text'))} THEN NULL ELSE 'unsafe_fixed_slot_event' END END AS code FROM numbered WHERE n % 8 NOT IN (5, 6))"""
+
+
+def _answers(slots):
+    n = F.col("slot") % 8
+    none = F.lit(None)
+    rows = slots.where("slot % 8 <> 6").select(
+        "project_id", F.col("slot").alias("pos"), "slot_id",
+        F.when(n.isin(0, 1), "non_story_relevant").otherwise("new_event").alias("decision"),
+        F.when(n == 0, "standalone_label").when(n == 1, "made_up").alias("reason_code"),
+        F.when(n == 4, F.array(F.lit("asset_id"))).alias("supplied_fields"),
+        F.when(n == 3, F.array(F.lit("Xqzt wvfk")))
+        .when(n == 7, F.array(F.concat("evidence_text", F.lit(" because"))))
+        .when(n > 1, F.array("evidence_text")).alias("claims"),
+    )
+    stray = slots.select("project_id").distinct().select(
+        "project_id", F.lit(0).cast("long").alias("pos"), F.lit("slot_x").alias("slot_id"), F.lit("new_event").alias("decision"),
+        none.cast("string").alias("reason_code"), none.cast("array<string>").alias("supplied_fields"), none.cast("array<string>").alias("claims"),
+    )
+    return rows.unionByName(rows.where("slot_id IS NOT NULL AND pos % 8 = 5")).unionByName(stray)
+
+
+def _recovered(spark, d):
+    from pagetrace.operators import coverage as V
+    from pagetrace.plans.story import cover_and_recover
+
+    w = _judged(spark, d)
+    asides = w["evidence"].where("(asset_id + region_id) % 10 = 1")
+    slots = cover_and_recover(w, w["result"], non_story=asides)["slots"]
+    outputs = _answers(slots)
+    verdict, issues, _ = V.validate_slot_outputs(outputs, slots, w["events"], w)
+    return slots, outputs, verdict, issues
+
+
+@query(
+    "slot_answer_verdicts",
+    with_story(*ALL_STORY) + ANSWERS_SQL + """ SELECT project_id, slot_id, code, code IS NULL AS valid,
+      code IS NULL OR code IN ('incompatible_non_story_reason_code', 'fixed_slot_claim_not_anchored_to_evidence', 'unsafe_fixed_slot_event') AS structurally_valid FROM verdicts""",
+)
+def slot_answer_verdicts(spark, d):
+    return _recovered(spark, d)[2].select("project_id", "slot_id", "code", "valid", "structurally_valid")
+
+
+@query(
+    "slot_answer_metrics",
+    with_story(*ALL_STORY) + ANSWERS_SQL
+    + f""", m AS (SELECT project_id, count(*) AS requested_slots, count(*) FILTER (WHERE n % 8 <> 6) AS returned_known_slots, count(*) FILTER (WHERE n % 8 = 5) AS duplicate_slots, 1 AS unknown_slots FROM numbered GROUP BY 1),
+    v AS (SELECT project_id, count(*) FILTER (WHERE code IS NULL) AS ok, count(*) FILTER (WHERE code IN ('incompatible_non_story_reason_code', 'fixed_slot_claim_not_anchored_to_evidence', 'unsafe_fixed_slot_event')) AS sem FROM verdicts GROUP BY 1),
+    r AS (SELECT m.*, coalesce(ok, 0) AS valid_slots, coalesce(sem, 0) AS semantic_rejections, coalesce(ok, 0) + coalesce(sem, 0) AS structurally_valid_slots FROM m LEFT JOIN v USING (project_id))
+    SELECT *, requested_slots - structurally_valid_slots AS missing_slots, requested_slots - valid_slots AS unresolved_slots,
+      {round_exact_sql('cast(structurally_valid_slots AS double) / requested_slots', 4)} AS structural_completeness, {round_exact_sql('cast(valid_slots AS double) / requested_slots', 4)} AS decision_completeness FROM r""",
+)
+def slot_answer_metrics(spark, d):
+    from pagetrace.operators import coverage as V
+
+    slots, outputs, verdict, issues = _recovered(spark, d)
+    return V.slot_metrics(slots, outputs, verdict, issues)
+
+
+DECISIONS_SQL = f""", open_ AS (SELECT *, (asset_id * 7 + region_id) % 9 AS k FROM evidence WHERE region_id % 2 = 0),
+  verdicts AS (SELECT project_id, asset_id, page_order, region_id, 0 AS again, CASE k
+      WHEN 0 THEN CASE WHEN len({TOKENS.format('evidence_text')}) BETWEEN 1 AND 5 THEN NULL ELSE 'incompatible_non_story_reason_code' END
+      WHEN 1 THEN 'missing_non_story_reason_code' WHEN 2 THEN 'unknown_non_story_reason_code' WHEN 3 THEN 'duplicate_region_decision' WHEN 5 THEN 'recovery_event_does_not_cover_region'
+      WHEN 6 THEN 'recovery_event_id_conflict' WHEN 7 THEN 'unsafe_recovery_event' WHEN 8 THEN 'unknown_recovery_disposition' END AS code FROM open_
+    UNION ALL SELECT project_id, asset_id, page_order, region_id, 1, 'repeated_duplicate' FROM open_ WHERE k = 3
+    UNION ALL SELECT project_id, asset_id, page_order, region_id, 0, 'unknown_region' FROM evidence WHERE region_id = 1)"""
+
+
+def _decisions(spark, d):
+    from pagetrace.operators import coverage as V
+    from pagetrace.sources.story_lens import story
+
+    e = story(spark, d, "evidence")
+    k = (F.col("asset_id") * 7 + F.col("region_id")) % 9
+    open_rows = e.where("region_id % 2 = 0").withColumn("overlap", F.lit(0.0))
+    named = F.concat(F.lit("r"), "asset_id", F.lit("_"), "region_id")
+    base = e.where("region_id % 2 = 0 OR region_id = 1").select(
+        *V.KEY, (F.col("asset_id") * 100 + F.col("region_id")).alias("pos"), k.alias("k"),
+        F.when(k < 4, "non_story_relevant").when(k < 8, "new_event").otherwise("later").alias("disposition"),
+        F.when(k == 0, "greeting_or_filler").when(k == 2, "because").when(k == 3, "standalone_label").alias("reason_code"),
+        F.when(k == 1, "says hello").alias("reason"), F.when(k.between(4, 7), named).alias("event_id"),
+    )
+    again = base.where("k = 3 AND region_id <> 1").withColumn("pos", F.col("pos") + 50)
+    decisions = base.unionByName(again)
+    events = base.where("k BETWEEN 4 AND 7")
+    sources = events.where("k <> 5").select("project_id", "event_id", *V.REFERENCE)
+    ready = events.where("k <> 7").select("project_id", "event_id")
+    taken = events.where("k = 6").select("project_id", "event_id")
+    return open_rows, decisions, V.validate_decisions(decisions, open_rows, taken, sources, ready)
+
+
+@query("recovery_decision_verdicts", with_story("evidence") + DECISIONS_SQL + " SELECT * FROM verdicts")
+def recovery_decision_verdicts(spark, d):
+    verdicts = _decisions(spark, d)[2]
+    again = (F.col("pos") - F.col("asset_id") * 100 - F.col("region_id") > 0).cast("int")
+    return verdicts.select("project_id", "asset_id", "page_order", "region_id", again.alias("again"), "code")
+
+
+@query(
+    "recovery_reason_repair",
+    with_story("evidence") + DECISIONS_SQL
+    + """ SELECT 'repairable' AS part, project_id, count(*) AS n FROM verdicts WHERE code = 'missing_non_story_reason_code' GROUP BY 2
+    UNION ALL SELECT 'issues', project_id, count(*) FROM verdicts WHERE code IS NOT NULL AND code <> 'missing_non_story_reason_code' GROUP BY 2
+    UNION ALL SELECT 'open', project_id, count(*) FROM verdicts WHERE code IS NOT NULL AND code NOT IN ('missing_non_story_reason_code', 'unknown_region', 'repeated_duplicate') GROUP BY 2""",
+)
+def recovery_reason_repair(spark, d):
+    from pagetrace.operators import coverage as V
+
+    open_rows, decisions, verdicts = _decisions(spark, d)
+    left = V.unresolved(open_rows, verdicts)
+    repairable = V.repairable_reasons(decisions, left)
+    issues = verdicts.where("code IS NOT NULL").select(*V.KEY, "code")
+    kept, still_open = V.apply_repairs(issues, left, repairable, issues.where(F.lit(False)))
+    out = None
+    for part, rows in (("repairable", repairable), ("issues", kept), ("open", still_open)):
+        one = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "project_id", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "recovered_event_merge",
+    with_story("events", "progression", "evidence")
+    + """, added AS (SELECT project_id, event_id, CASE WHEN event_ord % 5 = 1 THEN event_id ELSE concat('new_', event_id) END AS new_id, event_ord FROM events WHERE event_ord % 2 = 1)
+    SELECT project_id, count(*) AS events, count(*) FILTER (WHERE clash) AS collisions, any_value(p) AS progression FROM (
+      SELECT project_id, event_id, false AS clash FROM events UNION ALL SELECT project_id, new_id, new_id = event_id FROM added)
+    JOIN (SELECT project_id, count(*) AS p FROM (SELECT project_id, pos, event_id FROM progression UNION ALL SELECT project_id, 0, new_id FROM added
+      WHERE (project_id, new_id) NOT IN (SELECT (project_id, event_id) FROM progression)) GROUP BY 1) USING (project_id) GROUP BY 1""",
+)
+def recovered_event_merge(spark, d):
+    from pagetrace.operators import coverage as V
+    from pagetrace.sources.story_lens import story
+
+    events = story(spark, d, "events")
+    fresh = F.when(F.col("event_ord") % 5 == 1, F.col("event_id")).otherwise(F.concat(F.lit("new_"), "event_id"))
+    added = events.where("event_ord % 2 = 1").withColumn("event_id", fresh)
+    merged, collisions = V.merge_events(events, added)
+    listed = V.extend_progression(story(spark, d, "progression"), added.select("project_id", F.col("event_ord").alias("pos"), "event_id"))
+    counts = merged.groupBy("project_id").agg(F.count(F.lit(1)).alias("events"))
+    clashes = collisions.groupBy("project_id").agg(F.count(F.lit(1)).alias("collisions"))
+    lines = listed.groupBy("project_id").agg(F.count(F.lit(1)).alias("progression"))
+    return counts.join(clashes, "project_id", "left").join(lines, "project_id", "left").fillna(0)
+
+
+@query(
+    "continuation_merge",
+    with_story("events", "evidence")
+    + """, second AS (SELECT *, event_ord % 3 = 0 AS clash FROM events),
+    cites AS (SELECT project_id, event_id, event_ord // 100 AS asset_id, event_ord % 100 + 1 AS region_id, clash FROM second),
+    still AS (SELECT count(*) AS n, e.project_id FROM evidence e LEFT JOIN cites c ON c.project_id = e.project_id AND c.asset_id = e.asset_id AND c.region_id = e.region_id
+      WHERE c.event_id IS NULL OR c.clash GROUP BY 2)
+    SELECT project_id, count(*) FILTER (WHERE event_ord % 3 = 0) + count(*) FILTER (WHERE event_ord % 3 <> 0) AS events, count(*) FILTER (WHERE clash) AS conflicts, any_value(n) AS open_regions
+    FROM second JOIN still USING (project_id) GROUP BY 1""",
+)
+def continuation_merge(spark, d):
+    from pagetrace.operators import coverage as V
+    from pagetrace.sources.story_lens import story
+
+    events, evidence = story(spark, d, "events"), story(spark, d, "evidence")
+    first = events.where("event_ord % 3 = 0")
+    sources = events.select(
+        "project_id", "event_id", F.floor(F.col("event_ord") / 100).alias("asset_id"), (F.col("event_ord") % 100 + 1).alias("region_id")
+    ).withColumn("page_order", F.col("asset_id") % 5 + 1)
+    merged, issues, left = V.merge_continuation(first, events, sources, evidence.select(*V.KEY), sources)
+    counts = merged.groupBy("project_id").agg(F.count(F.lit(1)).alias("events"))
+    clashes = issues.groupBy("project_id").agg(F.count(F.lit(1)).alias("conflicts"))
+    regions = left.groupBy("project_id").agg(F.count(F.lit(1)).alias("open_regions"))
+    return counts.join(clashes, "project_id", "left").join(regions, "project_id", "left").fillna(0)
+
+
+@query(
+    "story_source_revision",
+    STORY_INPUT + """ SELECT p.project_id, true AS same_when_shuffled, coalesce(n > 0, false) AS changed_when_moved FROM
+      (SELECT DISTINCT project_id FROM pages UNION ALL SELECT concat('empty_', cast(r_regionkey AS varchar)) FROM region) p
+      LEFT JOIN (SELECT project_id, count(*) AS n FROM stops WHERE stop IS NULL AND project_id NOT IN (FROM blocked) GROUP BY 1) k USING (project_id)""",
+)
+def story_source_revision(spark, d):
+    built = _input(spark, d)
+    first = S.source_revision(built["projects"], built["pages"], built["evidence"])
+    again = S.source_revision(built["projects"], built["pages"].repartition(3), built["evidence"].repartition(5, "final_text"))
+    moved = S.source_revision(built["projects"], built["pages"].withColumn("page_order", F.col("page_order") + 1), built["evidence"])
+    a, b, c = (r.select("project_id", F.col("source_revision").alias(n)) for r, n in ((first, "a"), (again, "b"), (moved, "c")))
+    joined = a.join(b, "project_id").join(c, "project_id")
+    return joined.select("project_id", (F.col("a") == F.col("b")).alias("same_when_shuffled"), (F.col("a") != F.col("c")).alias("changed_when_moved"))
