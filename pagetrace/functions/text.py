@@ -108,7 +108,8 @@ def similarity_arrow(raw: pd.Series, clean: pd.Series) -> pd.Series:
 def similarity_levenshtein(raw: Column, clean: Column) -> Column:
     """Built-in alternative: 1 - edit distance / longer length (a different measure)."""
     longest = F.greatest(F.length(raw), F.length(clean))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(
+    same = F.lower(raw) == F.lower(clean)
+    return F.when((longest == 0) | same, F.lit(1.0)).otherwise(
         1.0 - F.levenshtein(F.lower(raw), F.lower(clean)).cast("double") / longest.cast("double")
     )
 

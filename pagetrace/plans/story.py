@@ -83,3 +83,24 @@ def cover_and_recover(
         coverage=V.coverage_report(after),
     )
     return out
+
+
+def plan_scripts(
+    events: DataFrame, claims: DataFrame, progression: DataFrame,
+    selections: DataFrame | None = None, styles: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Beats and rendered segments; model selections are an optional input table."""
+    from pagetrace.operators import script as P
+
+    safe = P.safe_events(events, claims)
+    # Five rows per project, read by everything below.
+    told = cut(P.beats(P.beat_units(safe, claims, progression)))
+    chosen = None if selections is None else P.checked_selections(told, selections, styles)
+    segments = P.render(told, chosen)
+    return {
+        "problems": P.script_problems(events.select("project_id").distinct(), safe),
+        "beats": told,
+        "segments": segments,
+        "issues": P.script_issues(segments, safe, claims),
+        "totals": P.script_totals(segments),
+    }

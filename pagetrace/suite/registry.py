@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ["catalog", "telemetry", "dialogue", "layout", "story", "review", "audit"]
+SUBJECTS = ["catalog", "telemetry", "dialogue", "layout", "story", "review", "audit", "streams"]
 
 
 def registered() -> dict:
