@@ -38,7 +38,8 @@ def follow_verifications(
     table is the same either way.
     """
     fresh = (
-        feed.withWatermark("created_at", lateness)
+        feed.withColumn("created_at", F.col("created_at").cast("timestamp"))
+        .withWatermark("created_at", lateness)
         .dropDuplicatesWithinWatermark(["id"])
         .where(F.trim("verified_text") != "")
     )
@@ -48,7 +49,8 @@ def follow_verifications(
 def telemetry_windows(stages: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Seconds, records, failures per stage and event-time window."""
     return (
-        stages.withWatermark("ts", lateness)
+        stages.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", lateness)
         .groupBy(F.window("ts", width), "stage")
         .agg(
             F.sum("duration_seconds").alias("work_seconds"),
@@ -62,7 +64,8 @@ def telemetry_windows(stages: DataFrame, width: str = "1 hour", lateness: str =
 def call_windows(calls: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Calls, retries and inference seconds per stage and event-time window."""
     return (
-        calls.withWatermark("ts", lateness)
+        calls.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", lateness)
         .groupBy(F.window("ts", width), "stage")
         .agg(
             F.count(F.lit(1)).alias("calls"),

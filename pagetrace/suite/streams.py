@@ -32,6 +32,13 @@ def _lens_stream(spark, d, lens_name, source):
     return spark.sql(text, **{source: _stream(spark, d, source)})
 
 
+def _seconds(name):
+    """Seconds since 1970 of the wall-clock time, whatever the session's zone."""
+    wall = F.col(name).cast("timestamp_ntz")
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", start, wall).alias(name)
+
+
 def _folder(spark):
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -84,7 +91,7 @@ def stream_verified_truth(spark, d):
 def stream_stage_windows(spark, d):
     windows = J.telemetry_windows(_lens_stream(spark, d, "stages", "events"))
     return _windows(spark, windows).select(
-        F.unix_timestamp("window_start").alias("window_start"), "stage", F.round("work_seconds", 6).alias("work_seconds"), "records", "failures"
+        _seconds("window_start"), "stage", F.round("work_seconds", 6).alias("work_seconds"), "records", "failures"
     )
 
 
@@ -97,7 +104,7 @@ def stream_stage_windows(spark, d):
 def stream_call_windows(spark, d):
     windows = J.call_windows(_lens_stream(spark, d, "calls", "events"))
     return _windows(spark, windows).select(
-        F.unix_timestamp("window_start").alias("window_start"), "stage", "calls", "retries", F.round("inference_seconds", 6).alias("inference_seconds")
+        _seconds("window_start"), "stage", "calls", "retries", F.round("inference_seconds", 6).alias("inference_seconds")
     )
 
 
