@@ -20,10 +20,10 @@ PAGE_BOUND = 64
 
 
 def large_keys(rows: DataFrame, keys: Sequence[str], bound: int) -> DataFrame | None:
-    """Keys with more than ``bound`` rows, materialised; None when there are none."""
+    """Keys with more than ``bound`` rows, materialised; None when there are none (the usual case)."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = cut(sizes.where(F.col("_n") > bound).select(*keys))
-    return None if large.isEmpty() else large
+    large = sizes.where(F.col("_n") > bound).select(*keys)
+    return None if large.isEmpty() else cut(large)
 
 
 def spread_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:

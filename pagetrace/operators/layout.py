@@ -132,7 +132,9 @@ def split_regions(regions: DataFrame, region_blocks: DataFrame, boxes: DataFrame
     from_region_id) and reading_order.
     """
     cited = region_blocks.select("asset_id", "region_id", "block_id")
-    placed = cited.join(boxes.select("asset_id", "block_id", *SIDES), ["asset_id", "block_id"], "left")
+    # Read by every step below, so it is computed once.
+    placed = cut(cited.join(boxes.select("asset_id", "block_id", *SIDES), ["asset_id", "block_id"], "left"))
+    cited = placed.select("asset_id", "region_id", "block_id")
     uses = placed.groupBy("asset_id", "block_id").agg(
         F.count(F.lit(1)).alias("_uses"), F.bool_or(F.col("x0").isNull()).alias("_boxless")
     )

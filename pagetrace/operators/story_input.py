@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 from pagetrace.functions.json import json_list, kind, positive_int, text_field, true_field
+from pagetrace.session import cut
 
 # Fixed values -------------------------------------------------------------
 CONTRACT_VERSION = "story_input.v1"
@@ -124,6 +125,7 @@ def dialogue_rows(pages: DataFrame) -> DataFrame:
     typed = decode_pages(reached).join(region_types(reached), ["asset_id", "region_id"], "left")
     row = {n: F.col(n) for n in ("decision", "human_verified", "verified_text", "recovered_text", "clean_text")}
     final = typed.withColumn("_final", T.authoritative_text(row)).withColumn("final_text", F.col("_final.text"))
+    final = final.withColumn("_note", T.note_position(F.col("final_text")))
     text = F.col("final_text")
     code = (
         F.when(F.col("unusable"), "invalid_dialogues")
@@ -135,8 +137,9 @@ def dialogue_rows(pages: DataFrame) -> DataFrame:
     return final.select(
         "project_id", "asset_id", "page_order", "idx", "region_id", "ord", "decision",
         "final_text", F.col("_final.source").alias("text_source"),
-        T.evidence_text(text).alias("evidence_text"), T.excluded_text(text).alias("excluded_text"),
-        T.text_role(text, F.col("region_type")).alias("text_role"),
+        T.evidence_text(text, F.col("_note")).alias("evidence_text"),
+        T.excluded_text(text, F.col("_note")).alias("excluded_text"),
+        T.text_role(text, F.col("region_type"), F.col("_note")).alias("text_role"),
         code.alias("code"),
     )
 
@@ -148,7 +151,8 @@ def build_story_input(projects: DataFrame, assets: DataFrame) -> dict[str, DataF
     pages and no evidence. Excluded pages only warn.
     """
     pages = page_states(assets)
-    dialogues = dialogue_rows(pages)
+    # Issues, evidence and counts all read the decoded rows: the JSON is parsed once.
+    dialogues = cut(dialogue_rows(pages))
     place = ["project_id", "asset_id", "page_order"]
     none = F.lit(None).cast("long").alias("region_id")
     with_region = F.col("code").isin("unsupported_dialogue_decision", "missing_authoritative_text")
