@@ -49,3 +49,57 @@ def settle_dialogues(
     recovered = D.recover(decided, recoveries)
     overlaid = D.apply_truth(recovered, truth)
     return D.gate_recovered_regions(overlaid, regions)
+
+
+def layout_quality(
+    pages: DataFrame, blocks: DataFrame, boxes: DataFrame, regions: DataFrame, region_blocks: DataFrame,
+    order: DataFrame, candidates: DataFrame, attempts: DataFrame,
+) -> dict[str, DataFrame]:
+    """Check assignments, split merged regions, add recovered text regions in reading order.
+
+    candidates(asset_id, candidate_id, x0, y0, x1, y1, core_x0.., confidence) come
+    from ``text_candidates``; attempts(asset_id, candidate_id, rank, ..) from the
+    resolvers. Only pages with a sound assignment are changed.
+    """
+    from pagetrace.operators import layout as L
+    from pagetrace.operators.numbering import number_rows
+    from pagetrace.session import cut
+
+    validity = L.page_validity(L.assignment(blocks, region_blocks))
+    sound = cut(validity.where("is_valid").select("asset_id"))
+
+    def of_sound(rows: DataFrame) -> DataFrame:
+        return rows.join(sound, "asset_id", "left_semi")
+
+    split = L.split_regions(of_sound(regions), of_sound(region_blocks), boxes, of_sound(order))
+    free = L.uncovered_candidates(of_sound(candidates), boxes, "core_")
+    kept = L.distinct_candidates(free).drop("confidence")
+    named = kept.join(free.groupBy("asset_id", *L.SIDES).agg(F.min("candidate_id").alias("candidate_id")), ["asset_id", *L.SIDES])
+    found = D.rank_attempts(attempts).where("resolved").join(named, ["asset_id", "candidate_id"])
+    numbered = number_rows(
+        found, ["asset_id"], [F.col("y0"), F.col("x0"), F.col("candidate_id")], into="seq", bucket=F.floor(F.col("y0") / 256)
+    )
+    last_region = split["regions"].groupBy("asset_id").agg(F.max("region_id").alias("_region"))
+    last_block = blocks.groupBy("asset_id").agg(F.max("block_id").alias("_block"))
+    added = cut(
+        numbered.join(last_region, "asset_id", "left")
+        .join(last_block, "asset_id", "left")
+        .withColumn("region_id", F.coalesce("_region", F.lit(0)) + F.col("seq"))
+        .withColumn("block_id", F.coalesce("_block", F.lit(-1)) + F.col("seq"))
+        .drop("_region", "_block")
+    )
+    centres = D.region_boxes(split["region_blocks"], boxes).select("asset_id", "region_id", "center_x", "center_y")
+    placed = L.insert_by_position(split["reading_order"], centres, added.select("asset_id", "seq", "region_id", *L.SIDES))
+    all_regions = split["regions"].select("asset_id", "region_id", "region_source").unionByName(
+        added.select("asset_id", "region_id", "region_source")
+    )
+    return {
+        "validity": validity,
+        "no_dialogue": L.no_dialogue_pages(pages, blocks, regions, order),
+        "regions": all_regions,
+        "recovered": added,
+        "region_blocks": split["region_blocks"].unionByName(added.select("asset_id", "region_id", "block_id")),
+        "split_sources": split["split_sources"],
+        "reading_order": placed,
+        "order_check": L.valid_reading_order(all_regions, placed),
+    }

@@ -386,3 +386,24 @@ def layout_snapshot_check(spark, d):
         F.when(k == 1, 2).alias("important_missing_blocks"), F.lit(None).cast("boolean").alias("reading_order_complete"),
     )
     return L.snapshot_pass(runs, expected).select(F.col("filename").alias("asset_id"), "snapshot_pass")
+
+
+@query("layout_quality_summary")
+def layout_quality_summary(spark, d):
+    """The composed layout dataflow; recovered candidates come from the stroke features."""
+    from pagetrace.plans.page import layout_quality
+
+    boxes = lens(spark, d, "boxes")
+    cited = boxes.select("asset_id", F.when(F.col("x0") < 200, 1).otherwise(2).alias("region_id"), "block_id")
+    regions = cited.select("asset_id", "region_id").distinct()
+    order = regions.select("asset_id", (F.col("region_id") - 1).alias("pos"), "region_id")
+    candidates = L.text_candidates(_features(spark, d))
+    pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("asset_id"))
+    attempts = candidates.select("asset_id", "candidate_id").distinct().select(
+        "asset_id", "candidate_id", F.lit(1).alias("rank"), F.lit("local_ocr_recovery").alias("source"), F.lit("Hãy đi").alias("text"),
+        F.lit(0.95).alias("confidence"), (F.col("asset_id") % 3 != 0).alias("usable"), F.lit(False).alias("needs_review"),
+    )
+    out = layout_quality(pages, boxes, boxes, regions, cited, order, candidates, attempts)
+    sources = out["regions"].groupBy("region_source").agg(F.count(F.lit(1)).alias("regions"))
+    checked = out["order_check"].agg(F.bool_and("valid_order").alias("all_orders_valid"))
+    return sources.withColumn("one", F.lit(1)).join(checked.withColumn("one", F.lit(1)), "one").drop("one")
