@@ -404,6 +404,11 @@ def layout_quality_summary(spark, d):
         F.lit(0.95).alias("confidence"), (F.col("asset_id") % 3 != 0).alias("usable"), F.lit(False).alias("needs_review"),
     )
     out = layout_quality(pages, boxes, boxes, regions, cited, order, candidates, attempts)
-    sources = out["regions"].groupBy("region_source").agg(F.count(F.lit(1)).alias("regions"))
-    checked = out["order_check"].agg(F.bool_and("valid_order").alias("all_orders_valid"))
-    return sources.withColumn("one", F.lit(1)).join(checked.withColumn("one", F.lit(1)), "one").drop("one")
+    sources = out["regions"].groupBy(F.concat(F.lit("regions:"), "region_source").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    orders = out["order_check"].groupBy(F.concat(F.lit("valid order:"), F.col("valid_order").cast("string")).alias("part")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    quiet = out["no_dialogue"].groupBy(F.concat(F.lit("no dialogue:"), F.col("no_dialogue").cast("string")).alias("part")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return sources.unionByName(orders).unionByName(quiet)
