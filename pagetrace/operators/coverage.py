@@ -240,7 +240,7 @@ def recovery_slots(uncovered: DataFrame, claims: DataFrame) -> DataFrame:
     numbered = number_rows(
         uncovered, ["project_id"],
         [F.col("page_order"), F.col("asset_id"), F.col("ord"), F.col("region_id")],
-        into="slot", bucket=F.floor(F.col("page_order") / 1024),
+        into="slot",
     )
     suffix = F.substring(F.sha2(F.col("asset_id").cast("string"), 256), 1, 8)
     event = F.concat(F.lit("coverage_recovery_p"), "page_order", F.lit("_r"), "region_id", F.lit("_"), suffix)

@@ -22,9 +22,10 @@ def number_rows(
 
     Rows of one key are spread over buckets that are monotone in the order;
     each bucket is numbered on its own and shifted by the rows before it. With a
-    ``bucket`` expression nothing is materialised. Without one the buckets are
-    the ranges of a range partitioning, fixed by a checkpoint so that both
-    passes see the same ranges even when a task is retried.
+    ``bucket`` expression nothing is materialised; it suits an integer order
+    column with few rows per value. Without one the buckets are the ranges of a
+    range partitioning, even for any distribution, fixed by a checkpoint so that
+    both passes see the same ranges even when a task is retried.
     """
     keys = list(keys)
     if bucket is None:

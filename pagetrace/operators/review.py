@@ -105,7 +105,7 @@ def final_events(
     numbered = number_rows(
         ai.unionByName(added), ["project_id"],
         [F.col(c) for c in ("_page", "_region", "_kind", "_ord", "event_id")],
-        into="position", bucket=F.floor(F.col("_page") / 1024),
+        into="position",
     )
     return numbered.drop("_page", "_region", "_kind", "_ord")
 

@@ -94,7 +94,7 @@ def beat_units(safe: DataFrame, claims: DataFrame, progression: DataFrame) -> Da
     )
     numbered = number_rows(
         units, ["project_id"], [F.col("_late"), F.col("_rank"), F.col("event_id"), F.col("claim_ord")],
-        into="n", bucket=F.struct("_late", F.floor(F.col("_rank") / 4096)),
+        into="n",
     ).select("project_id", "n", "event_id", "claim_id", "fact_text")
     placed = numbered.select("project_id", F.least("n", F.lit(5)).cast("int").alias("beat"), F.col("n").alias("unit"), "event_id", "claim_id", "fact_text")
     last = numbered.groupBy("project_id").agg(F.max_by(F.struct("n", "event_id", "claim_id", "fact_text"), "n").alias("_l"))
