@@ -46,13 +46,6 @@ def number_rows(
     )
 
 
-def rows_at(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], wanted: DataFrame, bucket: Column | None = None
-) -> DataFrame:
-    """The rows whose position is listed in ``wanted(keys.., position)``."""
-    return number_rows(df, keys, order, bucket=bucket).join(wanted, [*keys, "position"], "left_semi")
-
-
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],

@@ -436,7 +436,7 @@ def settled_dialogues(spark, d):
     from pagetrace.operators.catalog import newest_per_key
 
     truth = newest_per_key(lens(spark, d, "truth"), ["asset_id", "region_id"], ["created_at", "id"])
-    built = _built(spark, d).withColumn("region_id", F.col("region_id"))
+    built = _built(spark, d)
     originals = built.select("asset_id", "region_id", "raw_text")
     k = F.col("asset_id") + F.col("region_id")
     corrections = originals.select(
@@ -490,9 +490,6 @@ def region_bounding_boxes(spark, d):
     return D.region_boxes(cited, boxes)
 
 
-REVIEW_KEYS = "o_orderkey AS asset_id, o_orderkey % 5 AS region_id"
-
-
 @query(
     "review_queue",
     with_lenses("boxes", "assets") + BOXED
