@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["simhash"]
+MODULES = ["simhash", "mixing"]
 
 
 def registered() -> dict:
