@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["simhash", "mixing"]
+MODULES = ["simhash", "mixing", "personal_data"]
 
 
 def registered() -> dict:
