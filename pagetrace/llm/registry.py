@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["warc", "simhash", "byte_bpe", "mixing", "personal_data"]
+MODULES = ["warc", "token_store", "simhash", "byte_bpe", "mixing", "personal_data"]
 
 
 def registered() -> dict:
