@@ -181,8 +181,9 @@ def encoded(
         F.sequence(F.lit(0), count.cast("int") - 1),
         lambda k: F.struct(k.alias("k"), (k == count - 1).alias("last"), F.substring(F.col("text"), k * step + 1, F.lit(chunk)).alias("text")),
     )
-    long = docs.where(length > chunk).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.explode(cut).alias("c"))
-    long = long.select("key", "row", "c.k", "c.last", "c.text").repartition("row", "k")
+    # The row number is given before the cut: chunks of one text share it.
+    long = docs.where(length > chunk).select(F.col(key).alias("key"), "text", F.monotonically_increasing_id().alias("row"))
+    long = long.select("key", "row", F.explode(cut).alias("c")).select("key", "row", "c.k", "c.last", "c.text").repartition("row", "k")
 
     def pre_tokenise(given: ArrowBatches) -> ArrowBatches:
         own = codec(path, pattern)
