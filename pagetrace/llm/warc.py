@@ -184,26 +184,50 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
         yield gap, len(data) - gap, reason
 
 
+#: Rows handled at once inside a batch.
+_ROWS = 500
+_PAGE = ["page_id", "url", "length", "sha1"]
+
+
+def _base32(sha1: str) -> str:
+    return base64.b32encode(bytes.fromhex(sha1)).decode()
+
+
 def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = 100_000, level: int = 6) -> None:
     """A record per row of pages (page_id, url, html) to archives in ``path``."""
-    rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("length", F.octet_length("payload"))
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    size, sha1 = F.octet_length(payload).alias("length"), F.sha1(payload).alias("sha1")
     # Only payloads that occur twice have revisits; the sum of a hot one is combined before the shuffle.
-    first = rows.where(F.col("length") >= least).groupBy("sha1", "length").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    met = rows.join(first.where("n > 1").select("sha1", "length", "first"), ["sha1", "length"], "left")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
-    met = met.select("page_id", "url", "sha1", "length", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
+    first = pages.select("page_id", size, sha1).where(F.col("length") >= least)
+    first = first.groupBy("sha1", "length").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
-    def write(given: ArrowBatches) -> ArrowBatches:
+    def respond(given: ArrowBatches) -> ArrowBatches:
+        """Every page as a response, so that only compressed bytes are shuffled."""
+        for batch in given:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                found = []
+                for row in part.to_pylist():
+                    body = row["payload"]
+                    found.append(member(build(row["page_id"], row["url"], body, _base32(row["sha1"]), len(body), None), level)[:-1])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in _PAGE), pa.array(found, pa.binary())], [*_PAGE, "value"])
+
+    def refer(given: ArrowBatches) -> ArrowBatches:
         for batch in given:
-            found = []
-            for row in batch.to_pylist():
-                sha1 = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
-                record = build(row["page_id"], row["url"], row["payload"] or b"", sha1, row["length"], row["refers_to"])
-                found.append(member(record, level)[:-1])
+            found = [
+                member(build(r["page_id"], r["url"], b"", _base32(r["sha1"]), r["length"], r["refers_to"]), level)[:-1]
+                if r["refers_to"] is not None
+                else r["value"]
+                for r in batch.to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["value"])
 
-    lines = met.mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
+    responses = pages.select("page_id", "url", size, sha1, payload.alias("payload"))
+    responses = responses.mapInArrow(respond, "page_id bigint, url string, length int, sha1 string, value binary")
+    met = responses.join(first.select("sha1", "length", "first"), ["sha1", "length"], "left")
+    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
+    met = met.select(*_PAGE, refers.alias("refers_to"), F.when(refers.isNull(), F.col("value")).alias("value"))
+    lines = met.mapInArrow(refer, "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
@@ -224,7 +248,6 @@ READ_SCHEMA = (
     "file string, offset bigint, length bigint, gap string, record_id string, record_type string, target_uri string, "
     "refers_to string, payload_bytes bigint, payload_digest string, payload binary"
 )
-_ROWS = 500
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
