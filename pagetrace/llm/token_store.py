@@ -38,7 +38,11 @@ MAGIC = b"EFTK\n"
 #: Set bits per select sample.
 SAMPLE = 256
 #: Words whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 500_000
+#: Marks that may follow a word, and the first character beyond the Latin blocks.
+MARKS = ",.;:!?%&*#$|()[]{}-_=+~/\"<>"
+LATIN = "\u0250"
+_ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class EliasFano:
@@ -137,9 +141,10 @@ class TokenFile:
 class WordEncoder:
     """Encodes texts by a tokenizers file, each distinct word once.
 
-    ``separable``: the tokenizer's normaliser and pre-tokeniser never look across a space or a
-    line feed and drop both, as those that split into words and discard white space do; then the
-    ids of a text are those of its words in a row. Else whole texts go through the library.
+    ``separable``: the tokenizer lower-cases, splits a text into runs of letters, single digits
+    and runs of other marks, discards white space, and ends each such part's last token with its
+    end-of-word suffix. Then the ids of a text are those of its words in a row, and new words are
+    encoded many at a time and told apart by the suffix. Else whole texts go through the library.
     """
 
     def __init__(self, path: str, separable: bool) -> None:
@@ -147,24 +152,69 @@ class WordEncoder:
         self.library.encode_special_tokens = True
         self.separable = separable
         self.known: dict[str, bytes] = {"": b""}
+        if separable:
+            suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+            vocabulary = self.library.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.marks: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new words: runs of Latin letters together, others one by one; a run of marks behind letters is a part of its own."""
+        known, letters, marked, other = self.known, [], [], []
+        wanted: set[str] = set()
+        for word in new:
+            if word.isalpha() and max(word) < LATIN:
+                wanted.add(word)
+            elif (run := word.rstrip(MARKS)) != word and run.isalpha() and max(run) < LATIN:
+                marked.append((word, run))
+                if run not in known:
+                    wanted.add(run)
+            else:
+                other.append(word)
+        letters = list(wanted)
+        groups = [letters[at : at + 512] for at in range(0, len(letters), 512)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            stops = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
+            if len(stops) != len(group):
+                known.update(zip(group, self._encode(group), strict=True))
+                continue
+            start = 0
+            for word, stop in zip(group, stops.tolist(), strict=True):
+                known[word] = ids[start:stop]
+                start = stop
+        known.update(zip(other, self._encode(other), strict=True))
+        for word, run in marked:
+            marks = word[len(run) :]
+            if marks not in self.marks:
+                self.marks[marks] = self._encode([marks])[0]
+            known[word] = known[run] + self.marks[marks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.separable:
             return self._encode(texts)
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for row in rows for w in row if w not in self.known})
+        rows = [_lower(t).replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*rows)
+        new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-            new = list({w for row in rows for w in row if w})
-        for at in range(0, len(new), 10_000):
-            self.known.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
+            self.known, self.marks = {"": b""}, {}
+            new = words.difference(self.known)
+        self._learn(list(new))
         known = self.known.__getitem__
         return [b"".join(map(known, row)) for row in rows]
 
 
+def _lower(text: str) -> str:
+    """A-Z lower-cased where nothing in the text could combine with them."""
+    try:
+        return text.encode("latin-1").translate(_ASCII_LOWER).decode("latin-1")
+    except UnicodeEncodeError:
+        return text
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, separable: bool) -> WordEncoder:
     return WordEncoder(path, separable)
