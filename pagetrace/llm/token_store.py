@@ -39,9 +39,9 @@ MAGIC = b"EFTK\n"
 SAMPLE = 256
 #: Words whose ids a worker keeps.
 CACHE = 500_000
-#: Marks that may follow a word, and the first character beyond the Latin blocks.
+#: Marks that may follow a word, and the first letter whose lower case is not one letter.
 MARKS = ",.;:!?%&*#$|()[]{}-_=+~/\"<>"
-LATIN = "\u0250"
+LATIN = "\u0130"
 _ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
