@@ -35,6 +35,7 @@ _CHUNK = 8192
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of the shingles, repeats included; none of a text without words."""
     words = WORD_BYTES_RE.findall(text.translate(LOWER))
     if not words:
         return np.zeros(0, np.uint64)
@@ -48,11 +49,18 @@ def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(joined[i:j], seed) for i, j in slices), np.uint64, len(words) - shingle + 1)
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> list[int]:
-    """A bit is 1 if set in over half of the shingle hashes; word ``k`` uses seed 42 + k."""
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1, strict: bool = True) -> list[int]:
+    """A bit is 1 if set in over half of the shingle hashes; word ``k`` uses seed 42 + k.
+
+    Not ``strict``: an even split goes with the first shingle, and a text without words has one
+    empty shingle, so that very short texts do not crowd around the fingerprint zero.
+    """
     found = []
     for k in range(words):
         hashes = shingle_hashes(text, shingle, SEED + k)
+        if not strict:
+            first = hashes[:1] if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED + k)], np.uint64)
+            hashes = hashes if len(hashes) % 2 else np.concatenate([first, hashes])
         ones = np.zeros(64, np.int64)
         for at in range(0, len(hashes), _CHUNK):
             part = np.ascontiguousarray(hashes[at : at + _CHUNK]).view(np.uint8).reshape(-1, 8)
@@ -66,14 +74,14 @@ def word_columns(words: int) -> list[str]:
     return [f"w{k}" for k in range(words)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, key: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, key: str = "doc_id", strict: bool = True) -> DataFrame:
     """(key, w0, ...): the fingerprint words as signed longs."""
     names = word_columns(words)
     kind = dict(docs.select(key).dtypes)[key]
 
     def run(given: ArrowBatches) -> ArrowBatches:
         for batch in given:
-            rows = [fingerprint((t or "").encode(), shingle, words) for t in batch.column(1).to_pylist()]
+            rows = [fingerprint((t or "").encode(), shingle, words, strict) for t in batch.column(1).to_pylist()]
             columns = np.array(rows, np.int64).reshape(-1, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(columns[:, k]) for k in range(words))], [key, *names])
 
@@ -203,11 +211,11 @@ def links(distinct: DataFrame, radius: int, words: int = 1, tile: int = TILE) ->
 
 
 def near_duplicates(
-    docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1, tile: int = TILE, key: str = "doc_id"
+    docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1, tile: int = TILE, key: str = "doc_id", strict: bool = True
 ) -> DataFrame:
     """(key, fingerprint, component_id): component_id is the smallest key reachable over links."""
     names = word_columns(words)
-    prints = stored(fingerprints(docs, shingle, words, key), "simhash")
+    prints = stored(fingerprints(docs, shingle, words, key, strict), "simhash")
     distinct = prints.groupBy(*names).agg(F.min(key).alias("least"))
     distinct = stored(distinct, "simhash-distinct")
     found = components(links(distinct, radius, words, tile))
