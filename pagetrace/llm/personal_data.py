@@ -310,7 +310,7 @@ def _by_kind_number(kind: Column) -> Column:
 
 
 def find(docs: DataFrame, model: Model | None = None, sure: float = SURE) -> DataFrame:
-    """docs with ``_base`` and ``_spans``: arrays of (start, k, end, kind) in the listed order."""
+    """docs with ``_base`` and ``_spans``, arrays of (start, k, end, kind) in the listed order; columns of these names are replaced."""
     model = fit(docs) if model is None else model
     found = judged(docs)
     found = found.withColumn("_base", _sorted(F.filter("_judged", lambda c: c["base"] & c["ok"])))

@@ -181,7 +181,8 @@ def fit(docs: DataFrame, ratings: DataFrame, size: int = SAMPLE) -> Ordinal:
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """docs with ``_expected`` grade and ``_tail`` probability of being kept."""
+    """docs with ``_expected`` grade and ``_tail`` probability of being kept; columns of these names are replaced."""
+    docs = docs.drop("_expected", "_tail")
     names = docs.columns
     kinds = StructType([*docs.schema.fields]).add("_expected", DoubleType()).add("_tail", DoubleType())
     text = names.index("text")

@@ -9,7 +9,7 @@ read alike; damage costs the records it touches and no other.
 Writing: of records with equal payloads that with the largest page_id is the response, others
 are revisits without payload that refer to it; payloads shorter than ``least`` bytes are all
 responses. Null html is an empty payload. Rows tied at the largest page_id (repeated rows, or
-all ids null) are all responses. Null ids and urls leave their header out; line ends in urls are
+all ids null) are all responses. Null ids leave the number out of the record's id, null urls their header; line ends in urls are
 percent-encoded. An empty table writes no record. Extra columns are ignored.
 
 Archives are written by Spark's text writer, so any store that Spark writes to will do: a gzip
@@ -81,8 +81,7 @@ def build(page_id: int | None, url: str | None, payload: bytes, sha1: str, lengt
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     lines = [VERSION.decode(), f"WARC-Type: {'response' if refers_to is None else 'revisit'}", "WARC-Date: 1970-01-01T00:00:00Z"]
-    if page_id is not None:
-        lines.append(f"WARC-Record-ID: <{ID}{page_id}>")
+    lines.append(f"WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>")
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if refers_to is not None:
@@ -120,8 +119,8 @@ def parse(data: bytes, start: int = 0) -> tuple[Record, int]:
             headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isascii() or not headers.get("content-length", "").isdigit():
         raise Damaged("no length")
-    if not headers.get("warc-type"):
-        raise Damaged("no type")
+    if not all(headers.get(name) for name in ("warc-type", "warc-record-id", "warc-date")):
+        raise Damaged("named field missing")
     begin = end + 4
     stop = begin + int(headers["content-length"])
     if data[stop : stop + 4] != b"\r\n\r\n":
