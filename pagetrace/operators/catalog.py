@@ -11,7 +11,6 @@ from pagetrace.operators.numbering import number_rows
 
 # Fixed values -------------------------------------------------------------
 IMAGE_EXTENSIONS = [".jpg", ".jpeg", ".png", ".webp"]
-BROADCAST_ROWS = 100_000
 # --------------------------------------------------------------------------
 
 

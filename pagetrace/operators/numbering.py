@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from pagetrace.session import cut
 
 
+def join_by(rows: DataFrame, other: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Inner join on equal names, where NULL equals NULL; ``other`` adds its remaining columns."""
+    right = other.select(*[F.col(n).alias(f"_on_{i}") for i, n in enumerate(names)], *[c for c in other.columns if c not in names])
+    same = [F.col(n).eqNullSafe(F.col(f"_on_{i}")) for i, n in enumerate(names)]
+    return rows.join(right, same).drop(*[f"_on_{i}" for i in range(len(names))])
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -20,7 +27,8 @@ def number_rows(
 ) -> DataFrame:
     """Add 1-based positions per ``keys`` following ``order`` (a total order).
 
-    Rows of one key are spread over buckets that are monotone in the order;
+    NULL keys are a key and NULL orders have a bucket of their own, so every row comes
+    out. Rows of one key are spread over buckets that are monotone in the order;
     each bucket is numbered on its own and shifted by the rows before it. With a
     ``bucket`` expression nothing is materialised; it suits an integer order
     column with few rows per value. Without one the buckets are the ranges of a
@@ -40,7 +48,7 @@ def number_rows(
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        rows.join(offsets, [*keys, "_bucket"])
+        join_by(rows, offsets, [*keys, "_bucket"])
         .withColumn(into, (F.col("_offset") + F.row_number().over(inside)).cast("long"))
         .drop("_bucket", "_offset")
     )
@@ -56,13 +64,15 @@ def with_neighbours(
     """Previous and next row's ``fields`` per key, by an integer order column.
 
     The window runs inside ``span``-wide order buckets; the rows at a bucket's
-    edge take their neighbour from the summary of the adjacent non-empty bucket.
+    edge take their neighbour from the summary of the adjacent non-empty bucket. Rows
+    without an order come first, NULL keys are a key.
     """
     keys = list(keys)
     row = F.struct(*[F.col(f) for f in fields])
     rows = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(span)))
     edges = rows.groupBy(*keys, "_bucket").agg(
-        F.min_by(row, F.col(order)).alias("_first"), F.max_by(row, F.col(order)).alias("_last")
+        F.coalesce(F.min_by(row, F.col(order)), F.first(row)).alias("_first"),
+        F.coalesce(F.max_by(row, F.col(order)), F.first(row)).alias("_last"),
     )
     across = W.partitionBy(*keys).orderBy("_bucket")
     edges = edges.select(
@@ -72,7 +82,7 @@ def with_neighbours(
         F.lead("_first").over(across).alias("_after"),
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy(order)
-    joined = rows.join(edges, [*keys, "_bucket"])
+    joined = join_by(rows, edges, [*keys, "_bucket"])
     return joined.select(
         *df.columns,
         F.coalesce(F.lag(row).over(inside), F.col("_before")).alias("previous"),

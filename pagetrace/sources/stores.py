@@ -1,13 +1,11 @@
-"""Readers and writers: database tables, images, reports, keyed upserts."""
+"""Readers and writers: database tables, images, reports."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetrace.operators.catalog import is_image, newest_per_key
+from pagetrace.operators.catalog import is_image
 
 # Fixed values -------------------------------------------------------------
 # Case-insensitive glob for .jpg .jpeg .png .webp.
@@ -38,51 +36,3 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def write_report(report: DataFrame, path: str, kind: str = "json") -> None:
     """Replace a report; the commit protocol shows either the old or the new one."""
     report.write.mode("overwrite").format(kind).save(path)
-
-
-class UpsertLog:
-    """A keyed table as a base plus per-batch change folders.
-
-    A batch writes only its own rows, into a folder named by its number, so a
-    repeated delivery replaces itself. Readers take the newest row per key; a
-    compaction folds the batches so far into the next base without touching the
-    files readers may be using.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str]):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.keys, self.version = list(keys), list(version)
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        newest = newest_per_key(rows, self.keys, self.version)
-        newest.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch}")
-
-    def _numbers(self, folder: str, label: str) -> list[int]:
-        """Complete folders of one kind (a finished write leaves its marker)."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith(f"{label}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                found.append(int(name.split("=")[1]))
-        return sorted(found)
-
-    def current(self) -> DataFrame | None:
-        """The newest row of every key, None before the first write."""
-        bases = self._numbers("base", "upto")
-        done = bases[-1] if bases else -1
-        paths = [f"{self.path}/base/upto={done}"] if bases else []
-        paths += [f"{self.path}/changes/batch={n}" for n in self._numbers("changes", "batch") if n > done]
-        if not paths:
-            return None
-        return newest_per_key(self.spark.read.parquet(*paths), self.keys, self.version)
-
-    def compact(self) -> None:
-        batches = self._numbers("changes", "batch")
-        rows = self.current()
-        if rows is not None and batches:
-            rows.write.mode("overwrite").parquet(f"{self.path}/base/upto={batches[-1]}")

@@ -1,85 +1,93 @@
-"""Structured Streaming jobs: live progress, verification feed, telemetry windows."""
+"""Structured Streaming jobs: live progress, verification feed, telemetry windows.
+
+Keyed feeds go to Spark's file sink as they are, whose own log makes a delivery count once;
+tables are the newest row per key of what lies there, so the order of arrival, repeats and
+late rows make no difference. Windows are kept as additive sums per batch. Folders are the
+caller's. A feed's files are as many as its triggers; ``fold`` writes the newest rows to a new
+folder, from which, with the feed after it, readers go on.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
+
+from pagetrace.operators.catalog import newest_per_key, project_progress
+
+PAGE = ["project_id", "asset_id"]
+CHANGE = ["changed_at", "change_id"]
+REGION = ["asset_id", "region_id"]
+VERIFIED = ["created_at", "id"]
+
+
+def _start(writer: DataStreamWriter, checkpoint: str, once: bool, every: str = "1 minute") -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def _append(stream: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
+    return _start(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, once)
+
 
-from pagetrace.operators.catalog import project_progress
-from pagetrace.sources.stores import UpsertLog
+def newest(spark: SparkSession, paths: Sequence[str], schema: StructType, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
+    """The newest row of every key over the folders of a feed and of its folds."""
+    rows = [spark.read.schema(schema).parquet(path) for path in paths]
+    for other in rows[1:]:
+        rows[0] = rows[0].unionByName(other)
+    return newest_per_key(rows[0], keys, version)
 
 
-def _start(stream: DataFrame, handle, checkpoint: str, mode: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
+def fold(table: DataFrame, path: str) -> None:
+    """A table as it is now, to a folder of its own; the files it was read from stay."""
+    table.write.mode("error").parquet(path)
 
 
-def follow_status(changes: DataFrame, log: UpsertLog, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the latest state per page from a status-change stream.
+def follow_status(changes: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """changes(project_id, asset_id, status, ocr_text, changed_at, change_id); see ``current_progress``."""
+    return _append(changes, path, checkpoint, once)
 
-    changes(project_id, asset_id, status, ocr_text, changed_at, change_id); the
-    progress of any moment is ``current_progress(log)``.
+
+def current_progress(spark: SparkSession, paths: Sequence[str], schema: StructType) -> DataFrame:
+    return project_progress(newest(spark, paths, schema, PAGE, CHANGE))
+
+
+def follow_verifications(feed: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Verified texts: feed(id, asset_id, region_id, verified_text, created_at).
+
+    However late or often one arrives, ``newest`` by REGION and VERIFIED is the truth table.
     """
-    return _start(changes, lambda rows, batch: log.write(rows, batch), checkpoint, "append", once)
+    return _append(feed.where(F.trim("verified_text") != ""), path, checkpoint, once)
 
 
-def current_progress(log: UpsertLog) -> DataFrame:
-    return project_progress(log.current())
+def stage_sums() -> dict[str, Column]:
+    return {"work_seconds": F.sum("duration_seconds"), "records": F.count(F.lit(1)), "failures": F.count_if(~F.col("success"))}
 
 
-def follow_verifications(
-    feed: DataFrame, log: UpsertLog, checkpoint: str, lateness: str = "1 day", once: bool = False
+def call_sums() -> dict[str, Column]:
+    return {"calls": F.count(F.lit(1)), "retries": F.count_if(F.col("attempt") > 1), "inference_seconds": F.sum("duration_seconds")}
+
+
+def follow_windows(
+    records: DataFrame, sums: dict[str, Column], path: str, checkpoint: str, width: str = "1 hour", once: bool = False
 ) -> StreamingQuery:
-    """Verified texts into the truth table, each delivery counted once.
+    """Sums per event-time window and stage of each batch of records(ts, stage, ..).
 
-    feed(id, asset_id, region_id, verified_text, created_at). Repeats of an id within the
-    lateness are dropped in state; later ones meet the same key in the log, so the
-    table is the same either way.
+    Nothing waits for a watermark and no record is too late: it adds to its window in the
+    batch it comes with. A batch that is repeated replaces its own folder.
     """
-    fresh = (
-        feed.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        .withWatermark("created_at", lateness)
-        .dropDuplicatesWithinWatermark(["id"])
-        .where(F.trim("verified_text") != "")
-    )
-    return _start(fresh, lambda rows, batch: log.write(rows, batch), checkpoint, "append", once)
-
-
-def telemetry_windows(stages: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Seconds, records, failures per stage and event-time window."""
-    return (
-        stages.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", width), "stage")
-        .agg(
-            F.sum("duration_seconds").alias("work_seconds"),
-            F.count(F.lit(1)).alias("records"),
-            F.count_if(~F.col("success")).alias("failures"),
-        )
-        .select(F.col("window.start").alias("window_start"), "stage", "work_seconds", "records", "failures")
-    )
-
-
-def call_windows(calls: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Calls, retries and inference seconds per stage and event-time window."""
-    return (
-        calls.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", width), "stage")
-        .agg(
-            F.count(F.lit(1)).alias("calls"),
-            F.count_if(F.col("attempt") > 1).alias("retries"),
-            F.sum("duration_seconds").alias("inference_seconds"),
-        )
-        .select(F.col("window.start").alias("window_start"), "stage", "calls", "retries", "inference_seconds")
-    )
-
-
-def follow_windows(windows: DataFrame, log: UpsertLog, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Updated windows into a log keyed by (window_start, stage), newest batch first."""
 
     def handle(rows: DataFrame, batch: int) -> None:
-        log.write(rows.withColumn("batch_id", F.lit(batch).cast("long")), batch)
+        window = F.window(F.col("ts").cast("timestamp"), width)["start"].alias("window_start")
+        parts = rows.groupBy(window, "stage").agg(*[c.alias(n) for n, c in sums.items()])
+        parts.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return _start(records.writeStream.outputMode("append").foreachBatch(handle), checkpoint, once)
+
 
-    return _start(windows, handle, checkpoint, "update", once)
+def windows(spark: SparkSession, path: str, sums: Sequence[str]) -> DataFrame:
+    """(window_start, stage, sums): the batches so far added up."""
+    return spark.read.parquet(path).groupBy("window_start", "stage").agg(*[F.sum(n).alias(n) for n in sums])

@@ -299,12 +299,6 @@ def correction_scores(spark, d):
     return _scored(spark, d).select("asset_id", "region_id", "ocr_confidence", "text_similarity", "correction_score", "needs_review")
 
 
-@query("correction_scores_sequence_matcher")
-def correction_scores_sequence_matcher(spark, d):
-    rows = lens(spark, d, "dialogues").withColumnRenamed("ocr_confidence", "ocr_average")
-    return D.score(rows).select("asset_id", "region_id", "text_similarity", "correction_score", "needs_review")
-
-
 DECIDED = SCORED + f""", words AS (SELECT *, {WORDS.format('raw_text')} AS a, {WORDS.format('clean_text')} AS b FROM scored),
     risk AS (SELECT *, CASE WHEN len(a) <> len(b) THEN true ELSE changed >= 2 OR (len(a) <= 12 AND changed >= 1) END AS risky_text_change
       FROM (SELECT *, len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS changed FROM words)),

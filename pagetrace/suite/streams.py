@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from pagetrace.session import checkpoint_dir
 from pagetrace.sources.lenses import SPARK, table, with_lenses
-from pagetrace.sources.stores import UpsertLog
 from pagetrace.streaming import jobs as J
 
 QUERIES = {}
@@ -60,9 +59,8 @@ def stream_project_progress(spark, d):
     changes = final.select("project_id", "asset_id", F.col("created_at").alias("changed_at"), F.explode(F.array(first, last)).alias("c"))
     changes = changes.select("project_id", "asset_id", "changed_at", "c.*")
     folder = _folder(spark)
-    log = UpsertLog(spark, f"{folder}/table", ["project_id", "asset_id"], ["changed_at", "change_id"])
-    J.follow_status(changes, log, f"{folder}/checkpoint", once=True).awaitTermination()
-    return J.current_progress(log)
+    J.follow_status(changes, f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
+    return J.current_progress(spark, [f"{folder}/table"], changes.schema)
 
 
 @query(
@@ -76,10 +74,8 @@ def stream_verified_truth(spark, d):
     feed = _lens_stream(spark, d, "truth", "events")
     twice = feed.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
     folder = _folder(spark)
-    log = UpsertLog(spark, f"{folder}/table", ["asset_id", "region_id"], ["created_at", "id"])
-    J.follow_verifications(twice, log, f"{folder}/checkpoint", once=True).awaitTermination()
-    log.compact()
-    return log.current().drop("created_at")
+    J.follow_verifications(twice, f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
+    return J.newest(spark, [f"{folder}/table"], twice.schema, J.REGION, J.VERIFIED).drop("created_at")
 
 
 @query(
@@ -89,8 +85,7 @@ def stream_verified_truth(spark, d):
       count(*) FILTER (WHERE NOT success) AS failures FROM stages GROUP BY 1, 2""",
 )
 def stream_stage_windows(spark, d):
-    windows = J.telemetry_windows(_lens_stream(spark, d, "stages", "events"))
-    return _windows(spark, windows).select(
+    return _windows(spark, _lens_stream(spark, d, "stages", "events"), J.stage_sums()).select(
         _seconds("window_start"), "stage", F.round("work_seconds", 6).alias("work_seconds"), "records", "failures"
     )
 
@@ -102,14 +97,12 @@ def stream_stage_windows(spark, d):
       round(sum(duration_seconds), 6) AS inference_seconds FROM calls GROUP BY 1, 2""",
 )
 def stream_call_windows(spark, d):
-    windows = J.call_windows(_lens_stream(spark, d, "calls", "events"))
-    return _windows(spark, windows).select(
+    return _windows(spark, _lens_stream(spark, d, "calls", "events"), J.call_sums()).select(
         _seconds("window_start"), "stage", "calls", "retries", F.round("inference_seconds", 6).alias("inference_seconds")
     )
 
 
-def _windows(spark, windows):
+def _windows(spark, records, sums):
     folder = _folder(spark)
-    log = UpsertLog(spark, f"{folder}/table", ["window_start", "stage"], ["batch_id"])
-    J.follow_windows(windows, log, f"{folder}/checkpoint", once=True).awaitTermination()
-    return log.current().drop("batch_id")
+    J.follow_windows(records, sums, f"{folder}/sums", f"{folder}/checkpoint", once=True).awaitTermination()
+    return J.windows(spark, f"{folder}/sums", list(sums))

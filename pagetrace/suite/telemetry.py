@@ -191,12 +191,13 @@ def run_stability_table(spark, d):
     return M.stability(runs, _calls(spark, d))
 
 
-AUDIT = """WITH hits AS (SELECT b.item_id AS audit_id, d.doc_id AS region_id
-    FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+AUDIT = r"""WITH b AS (SELECT item_id, concat(' ', trim(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS words FROM benchmark),
+  d AS (SELECT doc_id, concat(' ', trim(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS words FROM documents),
+  hits AS (SELECT b.item_id AS audit_id, d.doc_id AS region_id FROM b JOIN d ON trim(b.words) <> '' AND contains(d.words, b.words)),
   expected AS (SELECT concat('f', cast(b.item_id % 10 AS varchar)) AS filename, b.item_id AS audit_id, h.region_id,
       CASE WHEN h.region_id IS NULL THEN 'OCR_MISSING' WHEN b.item_id % 4 = 0 THEN 'DETECTED_PARTIAL' ELSE 'DETECTED' END AS classification,
       CASE WHEN b.item_id % 3 = 0 THEN 'GARBLED' ELSE 'COMPLETE' END AS text_quality
-    FROM benchmark b LEFT JOIN hits h ON h.audit_id = b.item_id WHERE b.item_id % 11 <> 5),
+    FROM benchmark b LEFT JOIN hits h ON h.audit_id = b.item_id),
   per_region AS (SELECT filename, audit_id, count(region_id) AS hits, max(classification) AS c, max(text_quality) AS q
     FROM expected GROUP BY 1, 2),
   usage AS (SELECT filename, count(*) AS detected_pipeline_regions, count(*) FILTER (WHERE n > 1) AS merge_errors
@@ -217,26 +218,23 @@ AUDIT = """WITH hits AS (SELECT b.item_id AS audit_id, d.doc_id AS region_id
 def _audit_regions(spark, d):
     """Expected passages of the benchmark and the documents that hold them.
 
-    Documents and passages meet on the passage's longest inner word, then the
-    whole passage is looked for in the whole text.
+    A document holds a passage if its words, in order and whole, occur in the document's. They
+    meet on the passage's longest word; pairs of ids come before the texts are joined.
     """
-    items = table(spark, d, "benchmark")
-    documents = table(spark, d, "documents")
-    words = F.array_distinct(F.split("text", r"[^\p{L}\p{N}]+"))
-    keyed = items.select(
-        "item_id", F.col("text").alias("passage"), F.array_max(F.transform(_inner_words("text"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word")
-    )
-    spread = documents.select("doc_id", "text", F.explode(words).alias("word"))
-    wanted = keyed.select("word").distinct()
+    items = table(spark, d, "benchmark").select("item_id", _spaced("text").alias("passage"))
+    documents = table(spark, d, "documents").select("doc_id", _spaced("text").alias("words"))
+    longest = F.array_max(F.transform(F.split(F.trim("passage"), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = items.select("item_id", longest.alias("word")).where("word <> ''")
+    spread = documents.select("doc_id", F.explode(F.array_distinct(F.split(F.trim("words"), " "))).alias("word"))
+    pairs = spread.join(keyed, "word").select("doc_id", "item_id")
     hits = (
-        spread.join(wanted, "word", "left_semi")
-        .join(keyed, "word")
-        .where(F.contains("text", F.col("passage")))
+        pairs.join(items, "item_id")
+        .join(documents, "doc_id")
+        .where(F.contains("words", F.col("passage")))
         .select("item_id", F.col("doc_id").alias("detected_region_id"))
     )
     return (
-        items.where("item_id % 11 <> 5")
-        .select("item_id")
+        items.select("item_id")
         .join(hits, "item_id", "left")
         .select(
             F.concat(F.lit("f"), F.col("item_id") % 10).alias("filename"),
@@ -252,11 +250,9 @@ def _audit_regions(spark, d):
     )
 
 
-def _inner_words(column):
-    """Words of a passage that cannot be cut by its edges."""
-    parts = F.split(column, r"[^\p{L}\p{N}]+")
-    inner = F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 2))
-    return F.filter(inner, lambda w: w != "")
+def _spaced(column):
+    """The words of a text between single spaces, one at either end."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(column, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 @query(

@@ -132,3 +132,13 @@ def test_rounding_follows_the_binary_value(spark):
 def test_strict_json(spark, text, valid):
     frame = spark.createDataFrame([(text,)], "t string")
     assert (frame.select(F.to_json(strict_json(F.col("t"))).alias("v")).first().v is not None) is valid
+
+
+def test_rows_without_key_or_order_are_numbered_too(spark):
+    rows = [(None, 3, 0), (None, None, 1), ("a", None, 2), ("a", 1, 3), ("a", 9, 4), ("a", None, 5)]
+    frame = spark.createDataFrame(rows, "k string, o int, id int")
+    for bucket in (None, F.floor(F.col("o") / 4)):
+        got = {r.id: r.position for r in number_rows(frame, ["k"], [F.col("o"), F.col("id")], bucket=bucket).collect()}
+        assert got == {1: 1, 0: 2, 2: 1, 5: 2, 3: 3, 4: 4}
+    near = {r.id: (r.previous and r.previous.id, r.next and r.next.id) for r in with_neighbours(frame, ["k"], "o", ["id"], span=4).collect()}
+    assert len(near) == 6 and near[4] == (3, None) and near[1] == (None, 0) and near[0] == (1, None)

@@ -10,7 +10,8 @@ from pagetrace.operators import dialogue as D
 from pagetrace.operators.recall import read_snapshot
 from pagetrace.operators.review import store_results
 from pagetrace.plans.reports import performance_report, recall_audit
-from pagetrace.sources.stores import UpsertLog, read_images, write_report
+from pagetrace.sources.stores import read_images, write_report
+from pagetrace.streaming import jobs as J
 
 
 def test_recall_of_a_snapshot_file(spark, tmp_path):
@@ -68,21 +69,42 @@ def test_report_is_replaced(spark, tmp_path):
     assert [r.v for r in spark.read.json(path).collect()] == [2]
 
 
-def test_upsert_log(spark, tmp_path):
-    log = UpsertLog(spark, str(tmp_path / "log"), ["k"], ["v"])
-    assert log.current() is None
-
-    def rows(*pairs):
-        return spark.createDataFrame(list(pairs), "k int, v int, t string")
-
-    log.write(rows((1, 1, "a"), (2, 1, "b")), 0)
-    log.write(rows((1, 2, "c"), (1, 3, "d")), 1)
-    log.write(rows((1, 2, "c"), (1, 3, "d")), 1)
-    want = [(1, 3, "d"), (2, 1, "b")]
-    assert sorted(map(tuple, log.current().collect())) == want
-    log.compact()
-    log.write(rows((2, 5, "e")), 2)
-    assert sorted(map(tuple, log.current().collect())) == [(1, 3, "d"), (2, 5, "e")]
+FEED = "id bigint, asset_id bigint, region_id bigint, verified_text string, created_at string"
+
+
+def feed_files(spark, folder, rows, schema):
+    """A file a row, in the given order of arrival."""
+    for n, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{folder}/{n}")
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return reader.parquet(str(folder))
+
+
+def test_late_and_repeated_verifications_reach_the_truth_table(spark, tmp_path):
+    days = [10, 11, 12, 1, 11]
+    rows = [(n if n < 4 else 1, 1, n % 4, f"t{n % 4}", f"2024-01-{d:02d}T00:00:00") for n, d in enumerate(days)]
+    feed = feed_files(spark, tmp_path / "in", [*rows, (9, 1, 0, "  ", "2024-02-01T00:00:00"), (8, 1, 0, "old", "2023-01-01T00:00:00")], FEED)
+    path = str(tmp_path / "out")
+    J.follow_verifications(feed, path, str(tmp_path / "check"), once=True).awaitTermination()
+    got = J.newest(spark, [path], feed.schema, J.REGION, J.VERIFIED)
+    want = {(0, "t0"), (1, "t1"), (2, "t2"), (3, "t3")}
+    assert {(r.region_id, r.verified_text) for r in got.collect()} == want
+    J.fold(got, str(tmp_path / "fold"))
+    assert {(r.region_id, r.verified_text) for r in J.newest(spark, [str(tmp_path / "fold"), path], feed.schema, J.REGION, J.VERIFIED).collect()} == want
+
+
+def test_windows_add_up_whatever_the_order_of_arrival(spark, tmp_path):
+    hours = [5, 9, 1, 5, 0, 9, 1]
+    rows = [(f"2024-01-01T{h:02d}:30:00", "ocr", float(n), n % 3 != 0) for n, h in enumerate(hours)]
+    records = feed_files(spark, tmp_path / "in", rows, "ts string, stage string, duration_seconds double, success boolean")
+    path = str(tmp_path / "sums")
+    J.follow_windows(records, J.stage_sums(), path, str(tmp_path / "check"), once=True).awaitTermination()
+    got = {r.window_start.hour: (r.work_seconds, r.records, r.failures) for r in J.windows(spark, path, list(J.stage_sums())).collect()}
+    want = {}
+    for n, h in enumerate(hours):
+        a, b, c = want.get(h, (0.0, 0, 0))
+        want[h] = (a + n, b + 1, c + (n % 3 == 0))
+    assert got == want
 
 
 def test_new_result_voids_an_approval(spark):
