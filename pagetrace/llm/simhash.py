@@ -170,14 +170,9 @@ def links(distinct: DataFrame, radius: int, words: int = 1, tile: int = TILE) ->
     names = word_columns(words)
     placed = distinct.select(*names, cell_of(names, radius).alias("cell"))
     counts = [(r["cell"], r["n"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]
-    # Few cells still spread over the cores; a tile is never larger than `tile` for that.
+    # Few cells still spread over the cores.
     spread = max(1, 2 * spark.sparkContext.defaultParallelism // max(1, len(counts)))
     cells = [(c, max(-(-n // tile), min(spread, -(-n // 2048)))) for c, n in counts]
-    pairs = spark.createDataFrame(cell_pairs(cells, words, radius), "a int, na int, b int, nb int")
-    pairs = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "nb").select(
-        "a", "i", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")
-    )
-    pairs = pairs.where("a < b OR i <= j").repartition("a", "i", "b", "j")
     tiles_of = spark.createDataFrame(cells, "cell int, tiles int")
     tiles = (
         placed.join(F.broadcast(tiles_of), "cell")  # at most 33 * 33 rows
@@ -185,26 +180,33 @@ def links(distinct: DataFrame, radius: int, words: int = 1, tile: int = TILE) ->
         .agg(F.collect_list(F.struct(*names)).alias("rows"))
     )
     tiles = stored(tiles, "simhash-tiles")
-    left = tiles.select(F.col("cell").alias("a"), F.col("tile").alias("i"), F.col("rows").alias("left"))
-    right = tiles.select(F.col("cell").alias("b"), F.col("tile").alias("j"), F.col("rows").alias("right"))
-    met = pairs.join(left, ["a", "i"]).join(right, ["b", "j"])
-    met = met.select("left", "right", (F.expr("a = b AND i = j")).alias("same"))
+    # Each tile goes once to every pair it is in; the pairs of cells are as few as the cells.
+    pairs = F.broadcast(spark.createDataFrame(cell_pairs(cells, words, radius), "a int, na int, b int, nb int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = tiles.join(pairs, F.col("cell") == F.col("a")).withColumn("i", F.col("tile")).withColumn("j", F.explode(upto("nb")))
+    right = tiles.join(pairs, F.col("cell") == F.col("b")).withColumn("j", F.col("tile")).withColumn("i", F.explode(upto("na")))
+    # Of two tiles of one cell the lower is on the left; a tile with itself needs one copy.
+    left, right = left.where("a < b OR i <= j"), right.where("a < b OR i < j")
+    keys = ["a", "i", "b", "j"]
+    sides = [side.select(*keys, F.lit(n).alias("side"), "rows") for n, side in enumerate((left, right))]
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    # A pair is much work for its bytes, so its partitions are not to be merged by size.
+    met = sides[0].unionByName(sides[1]).repartition(count, *keys)
+
+    ends = [f"{s}{k}" for s in "xy" for k in range(words)]
 
     def words_of(rows: pa.Array) -> np.ndarray:
         return np.stack([rows.field(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
 
-    sides = [f"{s}{k}" for s in "xy" for k in range(words)]
+    def compare(pair: pa.Table) -> pa.Table:
+        pair = pair.combine_chunks()
+        tiles = {side: words_of(pair.column("rows")[n].values) for n, side in enumerate(pair.column("side").to_pylist())}
+        x, y = tiles[0], tiles.get(1, tiles[0])
+        a, b = _forest(x, y, 1 not in tiles, radius)
+        found = [*(x[a, k] for k in range(words)), *(y[b, k] for k in range(words))]
+        return pa.table({n: pa.array(np.ascontiguousarray(c).view(np.int64)) for n, c in zip(ends, found, strict=True)})
 
-    def run(given: ArrowBatches) -> ArrowBatches:
-        for batch in given:
-            for at in range(batch.num_rows):
-                x, y = (words_of(batch.column(k)[at].values) for k in (0, 1))
-                a, b = _forest(x, y, batch.column(2)[at].as_py(), radius)
-                if len(a):
-                    found = [*(x[a, k] for k in range(words)), *(y[b, k] for k in range(words))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in found], sides)
-
-    found = met.mapInArrow(run, ", ".join(f"{n} bigint" for n in sides))
+    found = met.groupBy(*keys).applyInArrow(compare, ", ".join(f"{n} bigint" for n in ends))
     return found.select(
         node_of([F.col(f"x{k}") for k in range(words)]).alias("a"), node_of([F.col(f"y{k}") for k in range(words)]).alias("b")
     )
