@@ -12,7 +12,7 @@ from pagetrace.operators import layout as L
 from pagetrace.operators.components import box_components
 from pagetrace.operators.numbering import number_rows, with_neighbours
 from pagetrace.operators.telemetry import page_statistics
-from tests.test_components import _expected, _near_boxes
+from tests.test_components import expected, near_boxes
 
 
 def test_page_with_most_of_the_rows(spark):
@@ -25,7 +25,7 @@ def test_page_with_most_of_the_rows(spark):
     rows = [(p, b, *box) for p, items in pages.items() for b, box in items]
     frame = spark.createDataFrame(rows, "asset_id int, block_id int, x0 int, y0 int, x1 int, y1 int")
     got = {(r.asset_id, r.block_id, r.component) for r in box_components(frame).collect()}
-    assert got == _expected(pages, _near_boxes)
+    assert got == expected(pages, near_boxes)
 
 
 @pytest.mark.parametrize("width", [None, 7])
