@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -26,8 +28,8 @@ REVIEW_REASON_CODES = [
 ]
 UNCERTAIN_REASONS = ["proper_name_uncertain", "ambiguous_visual", "needs_review"]
 UI_MARKERS = ["THÀNH TỰU", "ĐẶC QUYỀN", "ACHIEVEMENT", "UNLOCKED", "SYSTEM"]
-TRANSLATOR_NOTE = r"(?iu)(?:\*|\b)TRANS\s*NOTE\s*:"
-TRANSLATOR_NOTE_PREFIX = r"(?iu)^\s*\*?TRANS\s*NOTE\s*:"
+TRANSLATOR_NOTE = r"(?iuU)(?:\*|\b)TRANS\s*NOTE\s*:"
+TRANSLATOR_NOTE_PREFIX = r"(?iuU)^\s*\*?TRANS\s*NOTE\s*:"
 ROLE_BY_REGION_TYPE = {
     "speech_bubble": "dialogue",
     "dialogue": "dialogue",
@@ -41,7 +43,7 @@ ROLE_BY_REGION_TYPE = {
 PRIMARY_ROLES = ["dialogue", "narration", "thought"]
 CONTEXT_ROLES = ["game_ui", "other"]
 CAUSALITY = (
-    r"\bVI\b|\bBOI\b|\bNHO\b|DAN DEN|CHO PHEP|\bBECAUSE\b|\bTHEREFORE\b"
+    r"(?U)\bVI\b|\bBOI\b|\bNHO\b|DAN DEN|CHO PHEP|\bBECAUSE\b|\bTHEREFORE\b"
     r"|RESULTS? IN|\bCAUSES?\b|\bGRANTS?\b"
 )
 QUOTE_CHARACTERS = "\"'“”‘’«»"
@@ -241,11 +243,31 @@ def role_category(role: Column) -> Column:
     )
 
 
+_LAST = 0x1FBFF
+
+
+def _ranges(codes: Sequence[int]) -> str:
+    """A character class of the code points, given in ascending order."""
+    parts, start = [], None
+    for code, following in zip(codes, [*codes[1:], None], strict=True):
+        start = code if start is None else start
+        if following != code + 1:
+            parts.append(f"\\x{{{start:x}}}-\\x{{{code:x}}}")
+            start = None
+    return f"[{''.join(parts)}]"
+
+
+@lru_cache(maxsize=1)
+def _combining() -> str:
+    """Marks with a combining class; vowel signs and enclosing marks have none and stay."""
+    return _ranges([c for c in range(0x300, _LAST) if unicodedata.combining(chr(c))])
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
     """Characters whose compatibility decomposition, marks dropped, is one other character."""
     source, target = [], []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, _LAST):
         char = chr(code)
         if unicodedata.combining(char) or 0xD800 <= code <= 0xDFFF:
             continue
@@ -258,15 +280,85 @@ def _fold_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=1)
+def _compositions() -> list[tuple[str, str, str]]:
+    """(mark, bases, composed characters) of the general combining marks, lower classes first."""
+    bases = [chr(c) for c in [*range(0x41, 0x590), *range(0x1E00, 0x2000)] if chr(c).isalpha()]
+    marks = sorted((chr(c) for c in range(0x300, 0x346)), key=unicodedata.combining)
+    found = []
+    for mark in marks:
+        pairs = [(b, unicodedata.normalize("NFKC", b + mark)) for b in bases]
+        pairs = [(b, c) for b, c in pairs if len(c) == 1]
+        if pairs:
+            found.append((mark, "".join(b for b, _ in pairs), "".join(c for _, c in pairs)))
+    return found
+
+
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters that compatibility composition turns into one other, and letters that it spells out."""
+    source, target, spelled = [], [], []
+    for code in [*range(0xA0, 0xD800), *range(0xF900, _LAST)]:
+        char, whole = chr(code), unicodedata.normalize("NFKC", chr(code))
+        if len(whole) == 1 and whole != char:
+            source.append(char)
+            target.append(whole)
+        elif char.isalpha() and len(whole) > 1 and (code < 0x2200 or 0xFB00 <= code < 0xFB50):
+            spelled.append((char, whole))
+    return "".join(source), "".join(target), spelled
+
+
+def composed(text: Column) -> Column:
+    """Compatibility composition for letters, in the JVM; texts without marks or such letters pass untouched.
+
+    A mark joins the character before it where the two have a composed form; a second round
+    serves marks that came in another order.
+    """
+    source, target, _ = _compatible()
+    done = F.translate(_spelled_out(text), source, target)
+    marks = _rows(["mark", "bases", "whole"], _compositions())
+    joined = F.aggregate(F.concat(marks, marks), done, _with_mark)
+    return F.when(text.rlike(r"[\x{300}-\x{345}]"), joined).otherwise(done)
+
+
+def _rows(names: list[str], rows: list[tuple[str, ...]]) -> Column:
+    """A constant array of structs, as one literal that the optimiser folds."""
+    kind = ",".join(f"{n}:string" for n in names)
+    return F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), f"array<struct<{kind}>>")
+
+
+def _spelled_out(text: Column) -> Column:
+    """Ligatures and other letters that stand for several, as those."""
+    spelled = _compatible()[2]
+    rows = _rows(["char", "whole"], spelled)
+    done = F.aggregate(rows, text, lambda so_far, r: F.replace(so_far, r["char"], r["whole"]))
+    return F.when(text.rlike(_ranges(sorted(ord(c) for c, _ in spelled))), done).otherwise(text)
+
+
+def _with_mark(text: Column, row: Column) -> Column:
+    """``text`` with the row's mark joined to the characters before it, where they are among its bases."""
+    pieces = F.split(text, row["mark"], -1)
+
+    def join(so_far: Column, piece: Column) -> Column:
+        last = F.right(so_far, F.lit(1))
+        fits = F.contains(row["bases"], last) & (last != "")
+        whole = F.call_function("translate", last, row["bases"], row["whole"])
+        head = F.left(so_far, F.length(so_far) - 1)
+        return F.concat(F.when(fits, F.concat(head, whole)).otherwise(F.concat(so_far, row["mark"])), piece)
+
+    rest = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.aggregate(rest, F.element_at(pieces, 1), join)
+
+
 def normalize_name(text: Column) -> Column:
     """Accents folded, upper case, single blanks (decomposition by ``translate``).
 
-    Characters that decompose into several letters stay composed on both sides
-    of a comparison; ``normalize_name_arrow`` expands those as well.
+    Signs that decompose into several characters (fractions, squared words) stay as they are;
+    ``normalize_name_arrow`` expands those as well.
     """
     source, target = _fold_table()
-    folded = F.translate(F.coalesce(text, F.lit("")), source, target)
-    unmarked = F.regexp_replace(folded, r"\p{M}+", "")
+    folded = F.translate(_spelled_out(F.coalesce(text, F.lit(""))), source, target)
+    unmarked = F.regexp_replace(folded, _combining() + "+", "")
     return strip(F.regexp_replace(F.upper(unmarked), r"(?U)\s+", " "))
 
 
@@ -328,7 +420,7 @@ def name_only(text: Column) -> Column:
 def semantic_tokens(text: Column) -> Column:
     """Distinct lower-case letter/digit runs longer than one character."""
     found = F.regexp_extract_all(
-        F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)
+        F.lower(composed(F.coalesce(text, F.lit("")))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)
     )
     return F.array_distinct(F.filter(found, lambda x: F.length(x) > 1))
 

@@ -113,3 +113,23 @@ def test_stroke_gate(spark):
     rows = [good, (2, *good[1:8], 8, *good[9:]), (3, *good[1:9], 0.3, 0.01), (4, *good[1:10], 0.05), (5, 900, 1280, 100, 200, 90, 20, 500, 6, 0.15, 0.01)]
     got = L.text_candidates(spark.createDataFrame(rows, schema)).collect()
     assert [(r.asset_id, r.x0, r.y0, r.x1, r.y1, r.confidence) for r in got] == [(1, 88, 188, 152, 232, round(min(0.9, 0.72 + 0.12 + 0.04 * (1 - 0.25)), 3))]
+
+
+def test_decomposed_and_other_scripts_equal_the_unicode_rules(spark):
+    import re
+    import unicodedata as u
+
+    from pagetrace.functions import text as T
+
+    words = ["à nhà trường đẹp quá", "Việt Nam ậ ế ữ ợ", "ﬁn ﬂow ſt", "Ώ ά й ё", "ｆｕｌｌ ２３", "ệ ệ", "कि हिन्दी", "ก็ที่", "x́y", "\u0301start", "𝐁𝐨𝐥𝐝 ²", "ǆ ŉa ĳs", "a⃝ b"]
+    rows = sorted({form for w in words for form in (w, *(u.normalize(f, w) for f in ("NFC", "NFD", "NFKC", "NFKD")))})
+
+    def name(value):
+        return " ".join("".join(c for c in u.normalize("NFKD", value) if not u.combining(c)).upper().split())
+
+    def tokens(value):
+        return {t for t in re.findall(r"[^\W_]+", u.normalize("NFKC", value).casefold()) if len(t) > 1}
+
+    frame = spark.createDataFrame([(r,) for r in rows], "t string")
+    for r in frame.select("t", T.normalize_name(F.col("t")).alias("n"), T.semantic_tokens(F.col("t")).alias("s")).collect():
+        assert (r.n, set(r.s)) == (name(r.t), tokens(r.t)), r.t
