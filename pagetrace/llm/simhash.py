@@ -30,7 +30,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 #: Fingerprints in one tile: a task holds two tiles.
 TILE = 16384
-_STEP = 1024
+_STEP = 256
 _CHUNK = 8192
 
 
@@ -138,16 +138,24 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tup
             x = parent[x]
         return x
 
-    counts = [np.bitwise_count(t).sum(axis=1, dtype=np.int16) for t in (left, right)]
-    orders = [np.argsort(c, kind="stable") for c in counts]
+    # Rows are sorted by the counts of their quarter words and cut into blocks; two blocks whose
+    # counts differ by more than the radius, summed over the quarters, hold no link.
+    blocks = []
+    for tile in (left, right):
+        quarters = np.bitwise_count(np.ascontiguousarray(tile).view(np.uint16)).astype(np.int16)
+        order = np.lexsort(quarters.T)
+        starts = np.arange(0, len(order), _STEP)
+        quarters = quarters[order]
+        blocks.append((order, starts, np.minimum.reduceat(quarters, starts), np.maximum.reduceat(quarters, starts)))
+    (order_a, starts_a, low_a, high_a), (order_b, starts_b, low_b, high_b) = blocks
     keep_a, keep_b = [], []
-    for at in range(0, len(left), _STEP):
-        rows = orders[0][at : at + _STEP]
-        low, high = int(counts[0][rows[0]]), int(counts[0][rows[-1]])
-        start, end = np.searchsorted(counts[1][orders[1]], [low - radius, high + radius + 1])
-        start = max(start, at) if same else start
-        for to in range(int(start), int(end), _STEP):
-            columns = orders[1][to : min(to + _STEP, end)]
+    for number, at in enumerate(starts_a.tolist()):
+        rows = order_a[at : at + _STEP]
+        apart = np.maximum(np.maximum(low_a[number] - high_b, low_b - high_a[number]), 0).sum(axis=1)
+        for to in starts_b[apart <= radius].tolist():
+            if same and to < at:
+                continue
+            columns = order_b[to : to + _STEP]
             distance = np.bitwise_count(left[rows, 0, None] ^ right[None, columns, 0])
             for k in range(1, left.shape[1]):
                 distance = distance + np.bitwise_count(left[rows, k, None] ^ right[None, columns, k])
