@@ -38,9 +38,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to their kind in brackets; every document stays."""
     found = personal_data.find(docs.select(*COLUMNS))
-    text = personal_data.redacted(F.col("text"), F.col("_spans"))
-    size = F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("bigint")
-    return found.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    found = found.withColumn("_redacted", personal_data.redacted(F.col("text"), F.col("_spans")))
+    size = F.when(F.size("_spans") > 0, F.length("_redacted")).otherwise(F.col("n_chars")).cast("bigint")
+    return found.select("doc_id", F.col("_redacted").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
