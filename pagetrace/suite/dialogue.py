@@ -299,6 +299,19 @@ def correction_scores(spark, d):
     return _scored(spark, d).select("asset_id", "region_id", "ocr_confidence", "text_similarity", "correction_score", "needs_review")
 
 
+@query(
+    "reattached_corrections",
+    with_lenses("dialogues") + " SELECT asset_id, region_id, ord, raw_text, concat(clean_text, ' (answer)') AS clean_text FROM dialogues",
+)
+def reattached_corrections(spark, d):
+    """Answers change order and source text and invent a region a page; the originals' fields win."""
+    rows = lens(spark, d, "dialogues").select("asset_id", "region_id", "ord", "raw_text", "clean_text")
+    answers = rows.withColumns({"ord": F.col("ord") + 100, "raw_text": F.lit("changed"), "clean_text": F.concat("clean_text", F.lit(" (answer)"))})
+    invented = answers.select("asset_id", F.lit(999).cast("long").alias("region_id"), "ord", "raw_text", "clean_text").distinct()
+    done = D.reattach(rows.drop("clean_text"), answers.unionByName(invented))
+    return done.select("asset_id", "region_id", "ord", "raw_text", "clean_text")
+
+
 DECIDED = SCORED + f""", words AS (SELECT *, {WORDS.format('raw_text')} AS a, {WORDS.format('clean_text')} AS b FROM scored),
     risk AS (SELECT *, CASE WHEN len(a) <> len(b) THEN true ELSE changed >= 2 OR (len(a) <= 12 AND changed >= 1) END AS risky_text_change
       FROM (SELECT *, len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS changed FROM words)),

@@ -156,7 +156,7 @@ def centre_distance_groups(spark, d):
 
 
 # Regions for the split: page halves by x0, so neighbours may sit in different regions.
-SPLIT_SQL = """, cited AS (SELECT asset_id, block_id, CASE WHEN x0 < 200 THEN 1 ELSE 2 END AS region_id, x0, y0, x1, y1 FROM boxes WHERE asset_id % 3 = 0),
+SPLIT_SQL = """, cited AS (SELECT asset_id, block_id, CASE WHEN x0 < 200 THEN 1 ELSE 2 END AS region_id, x0, y0, x1, y1 FROM boxes),
     pairs AS (SELECT a.asset_id, a.block_id AS a, b.block_id AS b, a.region_id = b.region_id AS same FROM cited a JOIN cited b ON a.asset_id = b.asset_id AND a.block_id <> b.block_id
       WHERE (cast(least(a.x1, b.x1) - greatest(a.x0, b.x0) AS double) / greatest(1, least(a.x1 - a.x0, b.x1 - b.x0)) >= 0.2
           AND greatest(0, greatest(a.y0, b.y0) - least(a.y1, b.y1)) <= 36)
@@ -176,7 +176,7 @@ SPLIT_SQL = """, cited AS (SELECT asset_id, block_id, CASE WHEN x0 < 200 THEN 1
 
 
 def _split(spark, d):
-    boxes = lens(spark, d, "boxes").where("asset_id % 3 = 0")
+    boxes = lens(spark, d, "boxes")
     cited = boxes.select("asset_id", F.when(F.col("x0") < 200, 1).otherwise(2).alias("region_id"), "block_id")
     regions = cited.select("asset_id", "region_id").distinct()
     order = regions.select("asset_id", (F.col("region_id") - 1).alias("pos"), "region_id")

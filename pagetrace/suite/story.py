@@ -624,7 +624,7 @@ def slot_answer_metrics(spark, d):
     return V.slot_metrics(slots, outputs, verdict, issues)
 
 
-DECISIONS_SQL = f""", open_ AS (SELECT *, (asset_id * 7 + region_id) % 9 AS k FROM evidence WHERE region_id % 2 = 0),
+DECISIONS_SQL = f""", open_ AS (SELECT *, (asset_id * 7 + region_id) % 9 AS k FROM evidence WHERE region_id <> 1),
   verdicts AS (SELECT project_id, asset_id, page_order, region_id, 0 AS again, CASE k
       WHEN 0 THEN CASE WHEN len({TOKENS.format('evidence_text')}) BETWEEN 1 AND 5 THEN NULL ELSE 'incompatible_non_story_reason_code' END
       WHEN 1 THEN 'missing_non_story_reason_code' WHEN 2 THEN 'unknown_non_story_reason_code' WHEN 3 THEN 'duplicate_region_decision' WHEN 5 THEN 'recovery_event_does_not_cover_region'
@@ -639,9 +639,9 @@ def _decisions(spark, d):
 
     e = story(spark, d, "evidence")
     k = (F.col("asset_id") * 7 + F.col("region_id")) % 9
-    open_rows = e.where("region_id % 2 = 0").withColumn("overlap", F.lit(0.0))
+    open_rows = e.where("region_id <> 1").withColumn("overlap", F.lit(0.0))
     named = F.concat(F.lit("r"), "asset_id", F.lit("_"), "region_id")
-    base = e.where("region_id % 2 = 0 OR region_id = 1").select(
+    base = e.select(
         *V.KEY, (F.col("asset_id") * 100 + F.col("region_id")).alias("pos"), k.alias("k"),
         F.when(k < 4, "non_story_relevant").when(k < 8, "new_event").otherwise("later").alias("disposition"),
         F.when(k == 0, "greeting_or_filler").when(k == 2, "because").when(k == 3, "standalone_label").alias("reason_code"),

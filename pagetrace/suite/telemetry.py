@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagetrace.operators import recall as R
 from pagetrace.operators import telemetry as M
+from pagetrace.session import checkpoint_dir
 from pagetrace.sources.lenses import lens, table, with_lenses
+from pagetrace.sources.stores import write_report
 
 QUERIES = {}
 
@@ -266,6 +270,21 @@ def page_recall_audit(spark, d):
     return R.page_audit(_audit_regions(spark, d))
 
 
+@query(
+    "recall_report_file",
+    AUDIT + " SELECT filename, expected_dialogue_regions, detected_expected_regions, ocr_missing, split_errors, merge_errors FROM pages_",
+)
+def recall_report_file(spark, d):
+    """The audit written as a JSON report, replaced, and read back."""
+    report = R.page_audit(_audit_regions(spark, d)).select(
+        "filename", "expected_dialogue_regions", "detected_expected_regions", "ocr_missing", "split_errors", "merge_errors"
+    )
+    path = f"{checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_report(report.limit(0), path)
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 @query(
     "dataset_recall_audit",
     AUDIT
