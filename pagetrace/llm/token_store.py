@@ -12,7 +12,7 @@ directory, "EFTK" and a line end. The directory is JSON: counts and the sections
 
 Documents are in ascending doc_id order, null ids first, rows of one id by a hash of the text;
 null and empty texts hold only the end id. Repeated rows are all kept. An empty table gives
-empty files. Extra columns are ignored. A task holds one file: a range of doc_ids with its ids.
+no file. Extra columns are ignored. A task holds one file's ids.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ END_ID = 2
 MAGIC = b"EFTK\n"
 #: Set bits per select sample.
 SAMPLE = 256
+#: Ids in a file; a reader holds one file.
+PER_FILE = 2_000_000
 #: Words whose ids a worker keeps.
 CACHE = 500_000
 #: Marks that may follow a word, and the first letter whose lower case is not one letter.
@@ -220,28 +222,38 @@ def encoder(path: str, separable: bool) -> WordEncoder:
     return WordEncoder(path, separable)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, separable: bool = False) -> None:
-    """Files of (doc_id, text) in ``path``; file names sort as doc_ids do."""
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, separable: bool = False, per_file: int = PER_FILE
+) -> None:
+    """Files of (doc_id, text) in ``path``, numbered as doc_ids ascend, of about ``per_file`` ids or one longer document."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     placed = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def write(given: ArrowBatches) -> ArrowBatches:
-        own, doc_ids, lengths, ids = encoder(tokenizer, separable), [], [], []
+        own, doc_ids, lengths, ids, held = encoder(tokenizer, separable), [], [], [], 0
         for batch in given:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [f + end for f in own.encode([t or "" for t in part.column(1).to_pylist()])]
-                doc_ids += part.column(0).to_pylist()
-                lengths.append(np.array([len(f) // 4 for f in found], np.int64))
-                whole = np.frombuffer(b"".join(found), "<u4")
-                ids.append(whole.astype(np.uint16) if whole.max() < 65536 else whole)
+                for doc_id, one in zip(part.column(0).to_pylist(), found, strict=True):
+                    if held and held + len(one) // 4 > per_file:
+                        yield _file(doc_ids, lengths, ids)
+                        doc_ids, lengths, ids, held = [], [], [], 0
+                    doc_ids.append(doc_id)
+                    lengths.append(len(one) // 4)
+                    ids.append(one)
+                    held += len(one) // 4
         if doc_ids:
-            value = pack(doc_ids, np.concatenate(lengths), np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
+            yield _file(doc_ids, lengths, ids)
 
     files = placed.mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
-    files.write.option("lineSep", "\n").text(path)
+    files.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
+
+
+def _file(doc_ids: list[int | None], lengths: list[int], ids: list[bytes]) -> pa.RecordBatch:
+    value = pack(doc_ids, np.array(lengths, np.int64), np.frombuffer(b"".join(ids), "<u4"))
+    return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], ["value"])
 
 
 def _documents(name: str, content: bytes) -> Iterator[pa.RecordBatch]:
@@ -276,7 +288,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     found = stored(found, "tokens-read")
     # One row a file: the ids in the files before it.
     sums = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(W.orderBy(F.length("file"), "file").rowsBetween(W.unboundedPreceding, -1))
+    # Names hold the number of the range and of the file in it.
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("bigint")
+    order = W.orderBy(number(r"^part-(\d+)-"), number(r"-c(\d+)\."))
+    before = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1))
     bases = sums.select("file", F.coalesce(before, F.lit(0)).alias("base"))
     return found.join(bases, "file").select("file", "number", "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

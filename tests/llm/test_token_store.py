@@ -56,7 +56,7 @@ def test_words_together_equal_whole_texts():
 def test_odd_rows(spark):
     path = shared_folder(spark, "test-tokens")
     docs = odd_documents(spark)
-    T.write_tokens(docs, path, PATH, T.END_ID)
+    T.write_tokens(docs, path, PATH, T.END_ID, per_file=8)
     found = T.read_tokens(spark, path).orderBy("start").collect()
     library = T.WordEncoder(PATH, separable=False).library
     want = sorted((str(r["doc_id"]), crc([*library.encode(r["text"] or "", add_special_tokens=False).ids, T.END_ID])) for r in docs.collect())
