@@ -18,6 +18,7 @@ no file. Extra columns are ignored. A task holds one file's ids.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -40,7 +41,7 @@ SAMPLE = 256
 #: Ids in a file; a reader holds one file.
 PER_FILE = 2_000_000
 #: Words whose ids a worker keeps.
-CACHE = 500_000
+CACHE = 400_000
 #: Marks that may follow a word, and the first letter whose lower case is not one letter.
 MARKS = ",.;:!?%&*#$|()[]{}-_=+~/\"<>"
 LATIN = "\u0130"
@@ -150,6 +151,9 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, separable: bool) -> None:
+        # A task has one core; the library's own threads would each keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.separable = separable
