@@ -13,10 +13,13 @@ from pagetrace.llm import byte_bpe, mixing, personal_data, quality, simhash
 from pagetrace.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near-duplicates: five-word shingles, two fingerprint words, at least 0.8 of the bits equal.
+#: Near-duplicates: five-word shingles, two fingerprint words, at least 0.8 of the bits equal; of
+#: these candidates, those whose sets of shingles have an exact Jaccard of at least 0.8 if a text
+#: has fewer than 64 shingles, whose votes say little, and of at least 0.5 otherwise.
 SHINGLE = 5
 WORDS = 2
 RADIUS = 24
+FLOORS = (64, 0.8, 0.5)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates the document with the smallest id stays; repeated rows count as documents."""
     numbered = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), "pipeline-numbered")
     keyed = numbered.select(F.struct("doc_id", F.col("_row").alias("row")).alias("key"), "text")
-    groups = simhash.near_duplicates(keyed, RADIUS, SHINGLE, WORDS, key="key", strict=False)
+    groups = simhash.alike(keyed, RADIUS, SHINGLE, WORDS, FLOORS, key="key")
     first = groups.where("key = component_id").select(F.col("key.row").alias("_row"))
     return numbered.join(first, "_row", "left_semi").select(*COLUMNS)
 

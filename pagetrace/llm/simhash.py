@@ -10,6 +10,11 @@ Null or empty texts have no word and the fingerprint zero, which links like any
 Equal texts, equal rows and equal ids share a fingerprint row. A null id takes part
 through its fingerprint; the component is named after the smallest non-null id in it
 (null if there is none). Extra columns are ignored.
+
+In ``alike`` the fingerprints only find candidates: a link also needs an exact Jaccard between the
+two sets of shingles, ``short`` if one has fewer than ``few`` and ``long`` otherwise. Texts of one set
+are one; sets that chains of near fingerprints connect meet in tiles of their own, each pair once,
+and forests of what passes are closed again.
 """
 
 from __future__ import annotations
@@ -32,6 +37,11 @@ SEED = 42
 TILE = 16384
 _STEP = 256
 _CHUNK = 8192
+#: Under ``few`` shingles a fingerprint has fewer voters than a word has bits; see ``alike``.
+FLOORS = (64, 0.8, 0.5)
+#: Sets of shingles, and hashes in them, in one tile where sets are compared.
+SETS = 512
+HASHES = 1 << 19
 
 
 def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
@@ -55,19 +65,19 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, strict: bool = Tr
     Not ``strict``: an even split goes with the first shingle, and a text without words has one
     empty shingle, so that very short texts do not crowd around the fingerprint zero.
     """
-    found = []
-    for k in range(words):
-        hashes = shingle_hashes(text, shingle, SEED + k)
-        if not strict:
-            first = hashes[:1] if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", SEED + k)], np.uint64)
-            hashes = hashes if len(hashes) % 2 else np.concatenate([first, hashes])
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), _CHUNK):
-            part = np.ascontiguousarray(hashes[at : at + _CHUNK]).view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-        found.append(int(bits.view(np.int64)[0]))
-    return found
+    return [_vote(shingle_hashes(text, shingle, SEED + k), SEED + k, strict) for k in range(words)]
+
+
+def _vote(hashes: np.ndarray, seed: int, strict: bool) -> int:
+    if not strict:
+        first = hashes[:1] if len(hashes) else np.array([xxhash.xxh64_intdigest(b"", seed)], np.uint64)
+        hashes = hashes if len(hashes) % 2 else np.concatenate([first, hashes])
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + _CHUNK]).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
+    return int(bits.view(np.int64)[0])
 
 
 def word_columns(words: int) -> list[str]:
@@ -88,6 +98,27 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, key: str = "
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
 
+def printed_sets(docs: DataFrame, shingle: int, words: int, key: str, strict: bool) -> DataFrame:
+    """(key, w0, ..., shingles, size): also a digest of the set of shingle hashes, and how many there are."""
+    names = word_columns(words)
+    kind = dict(docs.select(key).dtypes)[key]
+
+    def run(given: ArrowBatches) -> ArrowBatches:
+        for batch in given:
+            prints, digests, sizes = np.zeros((batch.num_rows, words), np.int64), [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                text = (text or "").encode()
+                hashes = shingle_hashes(text, shingle, SEED)
+                prints[row] = [_vote(shingle_hashes(text, shingle, SEED + k) if k else hashes, SEED + k, strict) for k in range(words)]
+                hashes = np.unique(hashes)
+                digests.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
+                sizes.append(len(hashes))
+            columns = [batch.column(0), *(pa.array(prints[:, k]) for k in range(words)), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [key, *names, "shingles", "size"])
+
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} bigint" for n in names) + ", shingles string, size bigint")
+
+
 def node_of(columns: Sequence[Column]) -> Column:
     """The fingerprint as lower-case hex digits."""
     return F.concat(*(F.lpad(F.lower(F.hex(c)), 16, "0") for c in columns))
@@ -237,6 +268,104 @@ def near_duplicates(
     return prints.join(named.select(*names, "component_id"), names, "left").select(key, node.alias("fingerprint"), "component_id")
 
 
+def _alike(sets: list[np.ndarray], prints: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, floors: tuple[int, float, float]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows ``left`` and rows ``right`` (the same rows, or none in common)."""
+    sizes = np.array([len(s) for s in sets])
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = np.split(numbers, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(numbers), bool)
+    label = np.arange(len(sets))
+    (few, short, long), same, found = floors, np.array_equal(left, right), []
+    for i in left.tolist():
+        others = right[right > i] if same else right
+        others = others[label[others] != label[i]]
+        # No Jaccard is above the sizes' ratio.
+        smaller = np.minimum(sizes[others], sizes[i])
+        others = others[smaller >= np.where(smaller < few, short, long) * np.maximum(sizes[others], sizes[i]) - 1e-6]
+        others = others[np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1, dtype=np.int64) <= radius]
+        mark[parts[i]] = True
+        for j in others.tolist():
+            if label[j] == label[i]:
+                continue
+            both = int(np.count_nonzero(mark[parts[j]]))
+            if both and both / int(sizes[i] + sizes[j] - both) >= (short if min(sizes[i], sizes[j]) < few else long):
+                label[label == label[j]] = label[i]
+                found.append((i, j))
+        mark[parts[i]] = False
+    return found
+
+
+def set_links(docs: DataFrame, contents: DataFrame, radius: int, shingle: int, words: int, key: str, floors: tuple[int, float, float]) -> DataFrame:
+    """(a, b) digests of sets of shingles: forests of the links among the ``contents`` of each group.
+
+    contents: (w0, ..., shingles, size, key, group), a row per fingerprint and set, ``key`` a document with both.
+    """
+    names = word_columns(words)
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / SETS), F.ceil(F.sum("size") / HASHES)).cast("int")
+    groups = contents.groupBy("group").agg(F.count(F.lit(1)).alias("n"), tiles.alias("tiles")).where("n > 1").drop("n")
+    members = contents.join(groups, "group").withColumn("tile", F.pmod(F.xxhash64("shingles", *names), F.col("tiles")).cast("int"))
+    members = members.select("group", "tiles", "tile", "shingles", *names, key).join(docs.select(key, "text"), key)
+
+    def hashed(given: ArrowBatches) -> ArrowBatches:
+        for batch in given:
+            sets = [np.unique(shingle_hashes((t or "").encode(), shingle, SEED)).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n) for n in ("group", "tiles", "tile", "shingles", *names)), pa.array(sets, pa.list_(pa.int64()))],
+                ["group", "tiles", "tile", "shingles", *names, "hashes"],
+            )
+
+    row = "shingles string, " + ", ".join(f"{n} bigint" for n in names) + ", hashes array<bigint>"
+    members = members.select("group", "tiles", "tile", "shingles", *names, "text").mapInArrow(hashed, "group string, tiles int, tile int, " + row)
+    # A row a tile; one of a group of several meets each of the others once, on the partition of the pair.
+    held = members.groupBy("group", "tiles", "tile").agg(F.collect_list(F.struct("shingles", *names, "hashes")).alias("rows"))
+    held = stored(held, "simhash-sets")
+    alone = held.where("tiles = 1").select(F.col("rows").alias("x"), F.lit(None).cast(held.schema["rows"].dataType).alias("y"))
+    several = held.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    i, j = F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")
+    several = several.groupBy("group", i, j).agg(F.collect_list("rows").alias("sides"))
+    several = several.select(F.col("sides")[0].alias("x"), F.get("sides", F.lit(1)).alias("y"))
+
+    def compare(given: ArrowBatches) -> ArrowBatches:
+        for batch in given:
+            a, b = [], []
+            for number in range(batch.num_rows):
+                sides = [side[number].values for side in batch.columns if side[number].is_valid]
+                rows = pa.concat_arrays(sides)
+                digests = rows.field("shingles").to_pylist()
+                prints = np.stack([rows.field(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
+                lists = rows.field("hashes")
+                offsets = lists.offsets.to_numpy()
+                flat = lists.values.to_numpy(zero_copy_only=False)
+                sets = [flat[at:to] for at, to in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                every, cut = np.arange(len(sets)), len(sides[0])
+                left, right = (every, every) if len(sides) == 1 else (every[:cut], every[cut:])
+                for i, j in _alike(sets, prints, left, right, radius, floors):
+                    a.append(digests[i])
+                    b.append(digests[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+    return alone.unionByName(several).mapInArrow(compare, "a string, b string")
+
+
+def alike(
+    docs: DataFrame, radius: int, shingle: int, words: int, floors: tuple[int, float, float] = FLOORS, tile: int = TILE, key: str = "doc_id", strict: bool = False
+) -> DataFrame:
+    """(key, fingerprint, component_id) as of near_duplicates, over links that pass ``floors`` (few, short, long). Keys are distinct."""
+    names = word_columns(words)
+    prints = stored(printed_sets(docs, shingle, words, key, strict), "simhash")
+    contents = stored(prints.groupBy(*names, "shingles", "size").agg(F.min(key).alias(key)), "simhash-contents")
+    distinct = stored(contents.select(*names).distinct(), "simhash-distinct")
+    near = components(links(distinct, radius, words, tile)).withColumnRenamed("component", "group")
+    node = node_of([F.col(n) for n in names])
+    grouped = contents.withColumn("node", node).join(near, "node", "left").withColumn("group", F.coalesce("group", "node")).drop("node")
+    grouped = stored(grouped, "simhash-groups")
+    found = components(set_links(docs, grouped, radius, shingle, words, key, floors)).withColumnRenamed("node", "shingles")
+    sets = contents.groupBy("shingles").agg(F.min(key).alias("first")).join(found, "shingles", "left")
+    sets = sets.withColumn("component", F.coalesce("component", "shingles"))
+    named = sets.join(sets.groupBy("component").agg(F.min("first").alias("component_id")), "component")
+    return prints.join(named.select("shingles", "component_id"), "shingles", "left").select(key, node.alias("fingerprint"), "component_id")
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 

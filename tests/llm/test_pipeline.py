@@ -88,3 +88,38 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*texts, texts[0]])], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     found = C.drop_near_duplicates(spark, docs.union(docs.where("doc_id = 3")), FOLDER).collect()
     assert sorted(r["doc_id"] for r in found) == [0, 3, 4, 5, 6]
+
+
+def test_short_texts_with_a_common_opening_all_stay(spark):
+    texts = [f"a b c d e {x}" for x in "xyzvw"] + ["a b c d e"] + [f"k l m n o p q {x}" for x in "rst"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate([*texts, texts[0]])], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = C.drop_near_duplicates(spark, docs, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(len(texts)))
+
+
+def test_links_need_their_jaccard_in_tiles_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SETS", 3)
+    own = np.random.default_rng(5)
+    texts = [f"k l m n o p q {x}" for x in "rst"] + [" ".join(["x"] * 200) + f" {k} end" for k in range(9)]
+    texts += [" ".join(["x"] * 400 + [f"{k}y{i}" for i in range(100)]) for k in range(3)]
+    for size in (30, 120, 120, 40):
+        base = [f"w{int(v)}" for v in own.integers(0, 10**6, size)]
+        for n in (0, 1, 1, 2, 3, 4, 6):
+            at = own.choice(size, n, replace=False)
+            texts.append(" ".join("new" + w if i in at else w for i, w in enumerate(base)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    prints = [np.array(simhash.fingerprint(t.encode(), 5, 2, False), np.int64).view(np.uint64) for t in texts]
+
+    def linked(i, j):
+        floor = 0.8 if min(len(sets[i]), len(sets[j])) < 64 else 0.5
+        return np.bitwise_count(prints[i] ^ prints[j]).sum() <= 24 and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= floor
+
+    near = [[j for j in range(len(texts)) if linked(i, j)] for i in range(len(texts))]
+    group, moved = list(range(len(texts))), True
+    while moved:
+        least = [min(group[j] for j in js) for js in near]
+        moved, group = least != group, least
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.alike(docs, 24, 5, 2).collect()}
+    assert found == dict(enumerate(group)) and 4 < len(set(group)) < len(texts)
+    assert [group[i] for i in range(12, 15)] == [12, 13, 14] and max(len(js) for js in near) > 3
