@@ -4,7 +4,10 @@ The reader checks each record: version line, header lines, lengths, the blank li
 block, block and payload digests, and the checksum of its member. Where one fails it searches
 for the next member or version line from which a valid record follows, goes on there, and logs
 the bytes in between as a gap with the reason. Plain and compressed archives, and mixtures, are
-read alike; damage costs the records it touches and no other.
+read alike; damage costs the records it touches and no other. Inside a member the content is
+searched in the same way, as far as it inflates: its records and gaps have the offset of the member,
+gaps the length 0. Of a member of several records that is itself damaged, which is a gap too, only
+records with a block digest that holds are taken, with the length 0; one alone in a damaged member is lost.
 
 Writing: of records with equal payloads that with the largest page_id is the response, others
 are revisits without payload that refer to it; payloads shorter than ``least`` bytes are all
@@ -24,6 +27,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -134,50 +138,98 @@ def parse(data: bytes, start: int = 0) -> tuple[Record, int]:
     return record, stop + 4
 
 
-def unpack(data: memoryview, start: int) -> tuple[bytes, int]:
-    """The content of the member at ``start`` and the offset behind it."""
+def unpack(data: memoryview, start: int) -> tuple[bytes, int, str]:
+    """The content of the member at ``start`` as far as it inflates, the offset behind that, and what is wrong with it."""
     inflate, parts, at = zlib.decompressobj(31), [], start
-    try:
-        while not inflate.eof and at < len(data):
+    while not inflate.eof and at < len(data):
+        before = inflate.copy()
+        try:
             parts.append(inflate.decompress(data[at : at + _FED]))
-            at = min(at + _FED, len(data))
-    except zlib.error as error:
-        raise Damaged("member damaged") from error
-    if not inflate.eof:
-        raise Damaged("member not ended")
-    return b"".join(parts), at - len(inflate.unused_data)
-
-
-def read_at(data: bytes, start: int) -> tuple[list[Record], int]:
-    """Valid records that begin at ``start``: of a member, or one plain record."""
-    if data.startswith(GZIP, start):
-        content, stop = unpack(memoryview(data), start)
-        found, at = [], 0
-        while at < len(content):
-            record, at = parse(content, at)
-            found.append(record)
-        return found, stop
-    record, stop = parse(data, start)
-    return [record], stop
+        except zlib.error:
+            # What precedes the error in this piece, byte by byte.
+            try:
+                for at in range(at, min(at + _FED, len(data))):
+                    parts.append(before.decompress(data[at : at + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), at, "member damaged"
+        at = min(at + _FED, len(data))
+    return b"".join(parts), at - len(inflate.unused_data), "" if inflate.eof else "member not ended"
+
+
+def inside(content: bytes, trusted: bool) -> Iterator[tuple[bytes, Record | str]]:
+    """(bytes, record) of each valid record of a member's content and (bytes, reason) of each gap, in order."""
+    at, gap, reason = 0, None, ""
+    while at < len(content):
+        try:
+            record, stop = parse(content, at)
+            if not trusted and not record.headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damaged("member damaged")
+        except Damaged as error:
+            if gap is None:
+                gap, reason = at, str(error)
+            following = _VERSION_LINE.search(content, at + 1)
+            at = following.start() if following else len(content)
+            continue
+        if gap is not None:
+            yield content[gap:at], reason
+            gap = None
+        yield content[at:stop], record
+        at = stop
+    if gap is not None:
+        yield content[gap:], reason
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
     """(offset, length, record) of each valid record and (offset, length, reason) of each gap, in order."""
     at, gap, reason = 0, None, ""
+    # Records taken out of a damaged member, which may lie in its bytes up to ``upto`` as they are.
+    taken, upto = Counter(), 0
     while at < len(data):
+        found = []
         try:
-            found, stop = read_at(data, at)
+            if data.startswith(GZIP, at):
+                content, stop, wrong = unpack(memoryview(data), at)
+                found = list(inside(content, not wrong))
+                if wrong:
+                    raise Damaged(wrong)
+                if found and all(isinstance(what, str) for _, what in found):
+                    raise Damaged(found[0][1])
+            else:
+                record, stop = parse(data, at)
+                found = [(data[at:stop], record)]
         except Damaged as error:
-            if gap is None:
+            # A record alone in its member has the member's checksum among its own checks.
+            found = found if len(found) > 1 else []
+            valid = [(raw, what) for raw, what in found if not isinstance(what, str) and not (at < upto and taken[raw])]
+            if valid:
+                if gap is not None and gap < at:
+                    yield gap, at - gap, reason
+                gap, reason = at, str(error)
+                # The damaged member stays a gap; its records begin with it.
+                for raw, what in valid:
+                    yield at, 0, what
+                    taken[raw] += 1
+                upto = max(upto, stop)
+            elif gap is None:
                 gap, reason = at, str(error)
             following = _START.search(data, at + 1)
             at = following.start() if following else len(data)
             continue
+        if at < upto:
+            again = [raw for raw, what in found if not isinstance(what, str) and taken[raw]]
+            taken.subtract(again)
+            found = [(raw, what) for raw, what in found if isinstance(what, str) or raw not in again]
+            if again and not found:
+                if gap is None:
+                    gap, reason = at, "read before"
+                at = stop
+                continue
         if gap is not None:
             yield gap, at - gap, reason
             gap = None
-        for record in found:
-            yield at, stop - at, record
+        for _, what in found:
+            yield at, 0 if isinstance(what, str) else stop - at, what
         at = stop
     if gap is not None:
         yield gap, len(data) - gap, reason

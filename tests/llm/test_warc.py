@@ -128,3 +128,37 @@ def test_gaps_are_logged_by_the_reader(spark, tmp_path):
     assert A.records(read).count() == 4
     gaps = {(r["file"].rsplit("/", 1)[-1], r["offset"], r["length"]) for r in A.quarantined(read).collect()}
     assert gaps == {("a.warc.gz", len(parts[0]), 9), ("b.warc", sum(map(len, archive(2, False))), 4)}
+
+
+def ids_and_gaps(data):
+    result = list(A.salvage(data))
+    ids = [int(r.headers["warc-record-id"][len(A.ID) + 1 : -1]) for _, _, r in result if not isinstance(r, str)]
+    return ids, [r for r in result if isinstance(r[2], str)]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_members_of_many_records_lose_only_what_is_damaged(level):
+    plain = archive(9, False)
+    after = archive(10, True)[9]
+    pack = lambda parts: A.member(b"".join(parts), level)
+    bad = [*plain[:4], plain[4].replace(b"payload 4", b"payload x", 1), *plain[5:]]
+    whole = pack(bad)
+    assert ids_and_gaps(whole + after) == ([0, 1, 2, 3, 5, 6, 7, 8, 9], [(0, 0, "block digest differs")])
+    # A wrong checksum and a lost end cost no record before them, and none is read twice.
+    whole = bytearray(pack(plain))
+    end = len(whole) - 1 if level else whole.rindex(b"payload 8") + 3
+    whole[end - 4 - 8 if level else end] ^= 0x55
+    ids, gaps = ids_and_gaps(bytes(whole) + after)
+    assert set(range(8)) | {9} <= set(ids) and len(ids) == len(set(ids)) and gaps
+    cut = pack([*plain, b"\r\n" * 9])
+    ids, gaps = ids_and_gaps(cut[: len(cut) - 12] + after)
+    assert set(range(8)) | {9} <= set(ids) and len(ids) == len(set(ids)) and gaps
+    ids, gaps = ids_and_gaps(cut[: len(cut) - 12])
+    assert set(range(8)) <= set(ids) and len(ids) == len(set(ids)) and gaps[-1][2] == "member not ended"
+
+
+def test_unproven_records_of_a_damaged_member_are_not_taken():
+    bare = [r.replace(b"WARC-Block-Digest", b"X-Block-Digest") for r in archive(3, False)]
+    whole = A.member(b"".join(bare))
+    assert ids_and_gaps(whole)[0] == [0, 1, 2]
+    assert ids_and_gaps(whole[:-10])[0] == []
