@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["warc", "token_store", "toxic_spans", "simhash", "byte_bpe", "mixing", "quality", "embedding_dedup", "personal_data", "vector_search", "decontamination", "importance"]
+MODULES = ["warc", "token_store", "toxic_spans", "simhash", "byte_bpe", "mixing", "quality", "embedding_dedup", "personal_data", "vector_search", "decontamination", "importance", "lexical_search"]
 
 
 def registered() -> dict:
