@@ -156,7 +156,9 @@ def scan(docs: DataFrame, items: DataFrame, carry: list[str], size: int = SIZE,
     ids = sets.select("classes", F.explode("classes").alias("class")).join(members, "class").select("classes", F.col("item_id").cast("string").alias("item_id"))
     listed = ids.groupBy("classes").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     digests = listed.select(F.col("classes").alias("_classes"), F.size("ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("digest"))
-    joined = per_row.join(digests, F.col("classes") == F.col("_classes"), "left")
+    # Documents without a hit, the most of them, have no set to look up.
+    none = per_row.where(F.size("classes") == 0).select("*", F.lit(0).cast("bigint").alias("n_items"), F.sha2(F.lit(NO_ITEM), 256).alias("digest"))
+    joined = per_row.where(F.size("classes") > 0).join(digests, F.col("classes") == F.col("_classes"), "left").drop("_classes").unionByName(none)
     return joined.select(
         *(F.col(f"carried.`{c}`").alias(c) for c in carry),
         F.col("n_words").cast("bigint").alias("_n_words"),

@@ -111,7 +111,7 @@ class Block:
         order = np.argsort(terms, kind="stable")
         self.rows = rows[order]
         found, starts = np.unique(terms[order], return_index=True)
-        ends = np.append(starts[1:], len(order))
+        ends = np.append(starts, len(order))[1:]
         most = np.maximum.reduceat(self.share[order], starts) if len(found) else np.zeros(0, np.int64)
         #: term -> (first, end) of its rows, highest share
         self.of_term = {t: (a, b, m) for t, a, b, m in zip(found.tolist(), starts.tolist(), ends.tolist(), most.tolist(), strict=True)}
