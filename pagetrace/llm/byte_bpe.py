@@ -7,7 +7,8 @@ and there they are stitched. Boundaries next to a chunk's end are not sure, as a
 might have gone on. Where an overlap holds no shared boundary (a pre-token longer than the
 overlap), matching goes on from the last sure boundary until it meets one of the chunk's own,
 so every text gets the pre-tokens that it would get as a whole. The pieces between stitches are
-then encoded in parallel and put together by text. A text of one chunk needs no stitching.
+then encoded and put together by text. Every text goes this way; of texts longer than ``SPREAD`` the
+chunks and pieces are dealt to several tasks, those of other texts stay in the task that reads them.
 
 Each pre-token is encoded separately by the ranks, without special tokens. Decoding concatenates
 the raw bytes of the ids. Null and empty texts have no id. Equal rows give equal rows, null keys
@@ -34,8 +35,11 @@ from pagetrace.llm.common import ArrowBatches, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Code points of a chunk, and of its overlap with the next.
-CHUNK = 65536
-OVERLAP = 1024
+CHUNK = 4096
+OVERLAP = 256
+#: The same for texts whose chunks are dealt to several tasks, and the length from which they are.
+SPREAD = 65536
+SPREAD_OVERLAP = 1024
 #: The pattern decides on a boundary by at most so many characters behind it.
 AHEAD = 3
 #: Pre-tokens whose ids a worker keeps.
@@ -73,6 +77,14 @@ class Codec:
             start = end
         return b"".join(found)
 
+    def encode_chunked(self, text: str, chunk: int, overlap: int) -> bytes:
+        """The ids of a text, from its chunks."""
+        step = chunk - overlap
+        count = max(1, -(-(len(text) - overlap) // step))
+        cuts = [(k * step, text[k * step : k * step + chunk]) for k in range(count)]
+        chunks = [(at, part, boundaries(self.pattern, part, k == count - 1)) for k, (at, part) in enumerate(cuts)]
+        return b"".join(self.encode_pieces(*piece) for piece in pieces(chunks, stitched(self.pattern, chunks)))
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -157,6 +169,8 @@ def encoded(
     overlap: int = OVERLAP,
     key: str = "doc_id",
     keep_ids: bool = False,
+    spread: int = SPREAD,
+    spread_overlap: int = SPREAD_OVERLAP,
 ) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256[, ids]) of every text; ids as little-endian unsigned 32-bit integers."""
     path = ranks_path or public_tokenizers.path(RANKS)
@@ -167,22 +181,22 @@ def encoded(
     def whole(given: ArrowBatches) -> ArrowBatches:
         own = codec(path, pattern)
         for batch in given:
-            ids = [own.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            ids = [own.encode_chunked(t, chunk, overlap) if t else b"" for t in batch.column(1).to_pylist()]
             digests = list(zip(*(_digest(i, own.decode(i)) for i in ids), strict=True)) or [[], [], []]
             columns = [batch.column(0), *map(pa.array, digests), *[pa.array(ids, pa.binary())] * keep_ids]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     length = F.coalesce(F.length("text"), F.lit(0))
-    short = docs.where(length <= chunk).select(key, "text").mapInArrow(whole, schema)
+    short = docs.where(length <= spread).select(key, "text").mapInArrow(whole, schema)
 
-    step = chunk - overlap
-    count = F.ceil((F.length("text") - overlap) / step)
+    step = spread - spread_overlap
+    count = F.ceil((F.length("text") - spread_overlap) / step)
     cut = F.transform(
         F.sequence(F.lit(0), count.cast("int") - 1),
-        lambda k: F.struct(k.alias("k"), (k == count - 1).alias("last"), F.substring(F.col("text"), k * step + 1, F.lit(chunk)).alias("text")),
+        lambda k: F.struct(k.alias("k"), (k == count - 1).alias("last"), F.substring(F.col("text"), k * step + 1, F.lit(spread)).alias("text")),
     )
     # The row number is given before the cut: chunks of one text share it.
-    long = docs.where(length > chunk).select(F.col(key).alias("key"), "text", F.monotonically_increasing_id().alias("row"))
+    long = docs.where(length > spread).select(F.col(key).alias("key"), "text", F.monotonically_increasing_id().alias("row"))
     long = long.select("key", "row", F.explode(cut).alias("c")).select("key", "row", "c.k", "c.last", "c.text").repartition("row", "k")
 
     def pre_tokenise(given: ArrowBatches) -> ArrowBatches:

@@ -45,12 +45,14 @@ def test_odd_rows_whole_and_in_chunks(spark):
     docs = odd_documents(spark)
     want = sorted(((r["doc_id"], *expected(r["text"])) for r in docs.collect()), key=str)
     for size, overlap in ((B.CHUNK, B.OVERLAP), (10, 4), (1000, 50)):
-        found = [tuple(r) for r in B.encoded(docs, chunk=size, overlap=overlap).collect()]
-        assert sorted(found, key=str) == want
+        # In one task, and dealt to several.
+        for spread in ({}, {"spread": size, "spread_overlap": overlap}):
+            found = [tuple(r) for r in B.encoded(docs, chunk=size, overlap=overlap, **spread).collect()]
+            assert sorted(found, key=str) == want
     assert B.encoded(none(spark)).collect() == []
 
 
 def test_ids_are_kept_on_request(spark):
     for size in (B.CHUNK, 300):
-        for row in B.encoded(odd_documents(spark), chunk=size, overlap=20, keep_ids=True).collect():
+        for row in B.encoded(odd_documents(spark), chunk=size, overlap=20, keep_ids=True, spread=size, spread_overlap=20).collect():
             assert hashlib.sha256(row["ids"]).hexdigest() == row["ids_sha256"] and len(row["ids"]) == 4 * row["n_tokens"]
