@@ -14,8 +14,9 @@ Lists are cut into tiles and their queries into groups of bounded size, so a lis
 third of all vectors is many tasks. Pairs are counted where they are found and never emitted; a
 task emits, per vector, a count, and the components of the links it found. Equal vectors are one.
 
-Vectors that are null, zero, or hold null or non-finite components, and those whose length is not
-the table's most frequent one, link with nothing and are components of their own. So are vectors
+Vectors of each length have an index of their own, as vectors of different lengths have no cosine; so a
+table of many lengths takes as many rounds. Vectors that are null, zero, or hold null or non-finite
+components link with nothing and are components of their own. So are vectors
 without id, whose component is null and who are not kept. Rows with the same id and different
 vectors are all compared. An empty table gives no row. Extra columns are ignored.
 """
@@ -33,8 +34,9 @@ from pagetrace.llm.common import ArrowBatches, stored, table
 from pagetrace.llm.graph import components
 
 COSINE = 0.95
-#: Rows that the index is fitted on, at most.
+#: Rows that the index is fitted on, at most, and components of all of them.
 SAMPLE = 16384
+VALUES = 2**23
 LISTS = 1024
 SUBSPACE = 8
 CODES = 256
@@ -129,35 +131,48 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, lists: int = LISTS, reach: float = REACH) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per vector."""
-    spark = vectors.sparkSession
-    radius = float(np.sqrt(2 - 2 * cosine))
     given = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = given.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-    sizes = usable.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.orderBy(F.desc("n"), "dims").first()
+    lengths = sorted(r[0] for r in usable.select(F.size("v")).distinct().collect())
     own = F.col("vec_id").alias("component_id")
-    if most is None:
+    if not lengths:
         return vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), own, F.col("vec_id").isNotNull().alias("kept"))
-    usable = usable.where(F.size("v") == most["dims"])
+    known = _of_length(usable, lengths[0], cosine, sample, lists, reach)
+    for dims in lengths[1:]:
+        known = known.unionByName(_of_length(usable, dims, cosine, sample, lists, reach))
+    rows = given.withColumn("_key", F.when(F.col("vec_id").isNotNull() & fine, F.col("v")))
+    return rows.join(known, F.col("_key") == F.col("_v"), "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"),
+    )
+
+
+def _of_length(usable: DataFrame, dims: int, cosine: float, sample: int, lists: int, reach: float) -> DataFrame:
+    """(_v, n_links, component_id) of the distinct vectors of one length."""
+    radius = float(np.sqrt(2 - 2 * cosine))
+    usable = usable.where(F.size("v") == dims)
     classes = usable.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "pq-classes")
 
     # Fit on a sample by hash, then encode every distinct vector.
     total = classes.count()
+    sample = max(1, min(sample, VALUES // dims))
     share = min(1.0, sample / max(1, total))
-    chosen = classes.where(F.xxhash64("v") / F.lit(2.0**64) + 0.5 <= share).orderBy("cid").limit(2 * sample).select("v").collect()
-    if not chosen:
-        chosen = classes.select("v").limit(1).collect()
-    points = np.array([r["v"] for r in chosen])
-    index = fit(points / _norms(points), max(1, min(lists, round(total**0.5), len(points))), radius, reach)
+    chosen = classes.where(F.xxhash64("v") / F.lit(2.0**64) + 0.5 <= share).orderBy("cid").limit(2 * sample).select("v").toArrow()
+    if not chosen.num_rows:
+        chosen = classes.select("v").limit(1).toArrow()
+    points = _vectors(chosen.column("v").combine_chunks())
+    index = fit(_units(points), max(1, min(lists, round(total**0.5), len(points))), radius, reach)
 
     def encode(batches: ArrowBatches) -> ArrowBatches:
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = _vectors(batch.column("v"))
-            of_list, codes, error, probes = index.encode(raw / _norms(raw))
+            of_list, codes, error, probes = index.encode(_units(raw))
             columns = [
                 *(batch.column(n) for n in ("cid", "copies", "v")),
                 pa.array(of_list, pa.int32()),
@@ -196,7 +211,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         if not here.num_rows or not there.num_rows:
             return empty
         y, x = (_vectors(t.column("v").combine_chunks()) for t in (here, there))
-        y, x = y / _norms(y), x / _norms(x)
+        y, x = _units(y), _units(x)
         ids_y, ids_x = here.column("cid").to_numpy(), there.column("cid").to_numpy()
         copies_y, copies_x = here.column("copies").to_numpy(), there.column("copies").to_numpy()
         codes = np.stack([np.frombuffer(c, np.uint8) for c in here.column("codes").to_pylist()])
@@ -235,18 +250,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
         "v", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")
     )
     named = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = known.join(named, "component").select(F.col("v").alias("_v"), "n_links", "component_id")
-    rows = given.withColumn("_key", F.when(F.col("vec_id").isNotNull() & (F.size("v") == most["dims"]) & fine, F.col("v")))
-    return rows.join(known, F.col("_key") == F.col("_v"), "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"),
-    )
+    return known.join(named, "component").select(F.col("v").alias("_v"), "n_links", "component_id")
 
 
-def _norms(x: np.ndarray) -> np.ndarray:
-    return np.sqrt((x**2).sum(1))[:, None]
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that no square leaves the doubles."""
+    scaled = x / np.abs(x).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(1))[:, None]
 
 
 def op8_embedding_near_dedup(spark, sf_dir):

@@ -53,6 +53,15 @@ def test_recall_on_groups_of_near_copies(spark, lists, monkeypatch):
     assert sum(a[2] == b[2] for a, b in zip(result, want, strict=True)) >= 0.99 * len(x)
 
 
+def test_each_length_and_any_size_of_numbers(spark):
+    """Vectors meet those of their own length, be it frequent or not, and squares may leave the doubles."""
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [3.0, 2.0, 1.0]), (2, [1.0, 2.0, 3.01]), (3, [1.0, 2.0]), (4, [1.0, 2.0]), (5, [2.0, 4.001]), (6, [7.0])]
+    rows += [(7, [1e200, 2e200, 3e200]), (8, [1e-200, 2e-200, 3e-200]), (9, [-1e300, 0.0, 1e10])]
+    df = spark.createDataFrame([(i, v, 1, "c", 0) for i, v in rows], SCHEMA)
+    want = [(0, 3, 0, True), (1, 0, 1, True), (2, 3, 0, False), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False), (6, 0, 6, True)]
+    assert found(D.near_duplicates(df)) == [*want, (7, 3, 0, False), (8, 3, 0, False), (9, 0, 9, True)]
+
+
 def test_odd_rows(spark):
     rows = {}
     for r in D.near_duplicates(odd_vectors(spark)).collect():
