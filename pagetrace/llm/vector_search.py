@@ -7,8 +7,8 @@ the k-th best exact score beats every bound left. So a block gives its exact k b
 smaller id, and the k best of all blocks' are the answer. The work is queries times rows; every
 query block meets every row block once, and no task holds more than one of each.
 
-Components are floor(1024 * x), clamped to 28 bits so that a score fits a long for up to 128
-dimensions. Null vectors, and those with null or non-finite components, take no part, nor do rows
+Components are floor(1024 * x) as 64-bit integers. Scores are added in 64 bits where they surely fit and
+exactly elsewhere; a component of 2^61 or more, or a score outside 64 bits, is an error. Null vectors, and those with null or non-finite components, take no part, nor do rows
 without id. Scores of vectors of different lengths count the shorter as filled up with zeros.
 Repeated ids are candidates each; a query id that repeats gives each row its own ranks only once:
 its first vector (the smallest) is the query. Equal vectors are compared once and stand for their k + 1
@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from pagetrace.llm.common import ArrowBatches, stored, table
 
 SCALE = 1024
-CLAMP = 2**28
+#: Components stay below this, so that differences of two fit 64 bits.
+LARGEST = 2**61
+#: Parts that the rows of one query block are dealt to where they are joined.
+SALT = 16
 K = 10
 CELLS = 256
 #: Rows and queries that meet in one task.
@@ -38,8 +41,10 @@ def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, v): components floor(scale * x) of the vectors that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     taken = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    bounded = lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(CLAMP))), F.lit(float(-CLAMP)))).cast("int")
-    return taken.select("vec_id", F.transform("embedding", bounded).alias("v"))
+    large = lambda x: F.abs(x.cast("double") * scale) >= float(LARGEST)
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
+    error = F.raise_error(F.lit(f"a component times {scale} is not below 2^61")).cast("array<bigint>")
+    return taken.select("vec_id", F.when(F.exists("embedding", large), error).otherwise(whole).alias("v"))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -49,7 +54,7 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     lengths = np.diff(offsets)
     if len(lengths) and (lengths == dims).all():
         return flat[offsets[0] : offsets[-1]].reshape(-1, dims)
-    found = np.zeros((len(lengths), dims), np.int32)
+    found = np.zeros((len(lengths), dims), np.int64)
     for i, (a, n) in enumerate(zip(offsets[:-1], lengths, strict=True)):
         found[i, :n] = flat[a : a + n]
     return found
@@ -77,11 +82,20 @@ class Block:
         return found + np.where(most < 2.0**53, 0.0, most * 2.0**-44)[:, None]
 
 
+def _exact_scores(rows: np.ndarray, query: np.ndarray) -> list[int]:
+    scores = [sum(a * b for a, b in zip(row, query.tolist(), strict=True)) for row in rows.tolist()]
+    if any(not -(2**63) <= s < 2**63 for s in scores):
+        raise OverflowError("a score does not fit 64 bits")
+    return scores
+
+
 def block_best(block: Block, queries: np.ndarray, query_ids: np.ndarray, k: int, step: int = 64) -> list[tuple[int, int, int]]:
     """(query number, vec_id, score): the exact k best of the block for each query, fewer if there are fewer."""
     found = []
     bounds = block.bounds(queries)
+    largest = float(np.abs(block.exact).max(initial=0))
     for q, query in enumerate(queries.astype(np.int64)):
+        fits = largest * float(np.abs(query).astype(np.float64).sum()) < 2.0**62
         bound = bounds[q]
         # A class holds up to k + 1 ids, so k classes, or one more if the query's own is among them, are enough.
         first = np.argpartition(-bound, step)[:step] if len(bound) > step else np.arange(len(bound))
@@ -89,8 +103,8 @@ def block_best(block: Block, queries: np.ndarray, query_ids: np.ndarray, k: int,
         read, at, rest = 0, 0, None
         while True:
             part = order[at : at + step]
-            scores = block.exact[part].astype(np.int64) @ query
-            for row, score in zip(part.tolist(), scores.tolist(), strict=True):
+            scores = (block.exact[part].astype(np.int64) @ query).tolist() if fits else _exact_scores(block.exact[part], query)
+            for row, score in zip(part.tolist(), scores, strict=True):
                 best += [(-score, i) for i in block.keys[row] if i != query_ids[q]]
             best = sorted(best)[:k]
             read += len(part)
@@ -130,11 +144,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
                 whole = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
                 yield pa.RecordBatch.from_arrays([whole], ["rows"])
 
-    kind = "array<struct<v:array<int>,ids:array<bigint>>>"
+    kind = "array<struct<v:array<bigint>,ids:array<bigint>>>"
     # Small tables still spread over the cores; blocks follow partitions.
     packed = classes.repartition(F.xxhash64("v")).mapInArrow(gather, f"rows {kind}")
-    every = packed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = every.join(grouped, "b").select("rows", "asked")
+    # Where the queries are too many to be broadcast, the rows that meet one query block are dealt to several tasks.
+    every = packed.withColumn("s", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    every = every.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    grouped = grouped.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    met = every.join(grouped, ["b", "s"]).select("rows", "asked")
 
     def search(given: ArrowBatches) -> ArrowBatches:
         for batch in given:

@@ -36,7 +36,7 @@ def test_ties_and_hot_vectors(spark, k, copies, monkeypatch):
 
 def test_bounds_hold_for_wide_and_large_components():
     random = np.random.default_rng(5)
-    for scale in (10, 10**4, V.CLAMP):
+    for scale in (10, 10**4, 2**28):
         exact = random.integers(-scale, scale + 1, (300, 8))
         queries = random.integers(-scale, scale + 1, (20, 8))
         block = V.Block(exact, np.zeros(0), [[i] for i in range(300)])
@@ -48,6 +48,25 @@ def test_bounds_hold_for_wide_and_large_components():
         assert best == want
 
 
+def test_large_components_are_not_clamped(spark):
+    rows = [(0, [1.0]), (1, [300_000.0]), (2, [400_000.0]), (3, [-400_000.0]), (4, [2.0**40])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted(tuple(r) for r in V.top_k(df, df.where("vec_id = 0")).collect())
+    assert found == [(0, 1, 4, 2**60), (0, 2, 2, 419_430_400_000), (0, 3, 1, 314_572_800_000), (0, 4, 3, -419_430_400_000)]
+    # What does not fit 64 bits is an error, not a wrong number.
+    for bad in ("vec_id = 4", "vec_id = 9"):
+        more = df.union(spark.createDataFrame([(9, [1e30])], df.schema)) if bad == "vec_id = 9" else df
+        with pytest.raises(Exception, match="2\\^61|64 bits"):
+            V.top_k(more, more.where("vec_id = 4")).collect()
+
+
+def test_exact_scores_beyond_64_bits_of_the_sum_of_sizes():
+    rows = np.array([[2**31, -(2**31)], [2**31, 2**30]], np.int64)
+    assert V._exact_scores(rows, np.array([2**31, 2**31], np.int64)) == [0, 2**62 + 2**61]
+    with pytest.raises(OverflowError):
+        V._exact_scores(np.array([[2**40]]), np.array([2**40]))
+
+
 def test_odd_rows(spark):
     found = V.top_k(odd_vectors(spark), odd_vectors(spark).where("vec_id % 100 = 0"))
     rows = [tuple(r) for r in found.collect()]
