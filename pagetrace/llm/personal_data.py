@@ -312,12 +312,13 @@ def _by_kind_number(kind: Column) -> Column:
 def find(docs: DataFrame, model: Model | None = None, sure: float = SURE) -> DataFrame:
     """docs with ``_base`` and ``_spans``, arrays of (start, k, end, kind) in the listed order; columns of these names are replaced."""
     model = fit(docs) if model is None else model
-    found = judged(docs)
+    found = judged(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_given"), "text"))
     found = found.withColumn("_base", _sorted(F.filter("_judged", lambda c: c["base"] & c["ok"])))
     free = lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     more = F.filter("_judged", lambda c: ~(c["base"] & c["ok"]) & (model.score(c) >= sure) & free(c))
     found = found.withColumn("_more", F.when(F.size("_judged") > 0, _sorted(more)).otherwise(_sorted(F.filter("_judged", lambda c: F.lit(False)))))
-    return found.withColumn("_spans", F.array_sort(F.concat("_base", "_more"))).drop("_judged", "_more")
+    own = [F.col(f"_given.`{c}`").alias(c) for c in docs.columns if c not in ("_base", "_spans")]
+    return found.select(*own, "_base", F.array_sort(F.concat("_base", "_more")).alias("_spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -155,9 +155,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.separable = separable
         self.known: dict[str, bytes] = {"": b""}
+        self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         if separable:
             suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
             vocabulary = self.library.get_vocab()
@@ -199,10 +199,15 @@ class WordEncoder:
                 self.marks[marks] = self._encode([marks])[0]
             known[word] = known[run] + self.marks[marks]
 
+    def _lowered(self, text: str) -> str:
+        """Special tokens count as written only, so a text that seems to hold one keeps its case."""
+        found = _lower(text)
+        return text if any(s in found for s in self.special) else found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.separable:
             return self._encode(texts)
-        rows = [_lower(t).replace("\n", " ").split(" ") for t in texts]
+        rows = [self._lowered(t).replace("\n", " ").split(" ") for t in texts]
         words = set().union(*rows)
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE:

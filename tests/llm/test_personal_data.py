@@ -89,6 +89,11 @@ def test_reliabilities_are_learnt():
 def test_odd_rows_and_redaction(spark):
     assert P.find(odd_documents(spark)).count() == 10
     assert P.find(none(spark)).collect() == []
+    names = ["_found", "_seen", "_judged", "_more", "_given"]
+    more = documents(spark, ["a@b.com"]).selectExpr("*", *(f"'{n}' AS {n}" for n in names))
+    kept = P.find(more)
+    assert kept.columns == [*[c for c in more.columns if c != "_base"], "_base", "_spans"]
+    assert [kept.first()[n] for n in names] == names
     docs = documents(spark, ["é a@b.com, 1.2.3.4\U0001f600 and 4111 1111 1111 1111", "+14155551234a@b.com", None, "clean"])
     found = P.find(docs)
     texts = [r["t"] for r in found.select("doc_id", P.redacted(F.col("text"), F.col("_spans")).alias("t")).orderBy("doc_id").collect()]

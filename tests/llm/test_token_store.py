@@ -9,6 +9,8 @@ import pytest
 from pagetrace.llm import token_store as T
 from pagetrace.llm.common import shared_folder
 from pagetrace.llm.registry import registered
+from tokenizers import Tokenizer
+
 from tests.llm.fixtures import none, odd_documents
 
 PATH = public_tokenizers.path(T.TOKENIZER)
@@ -37,7 +39,7 @@ def test_elias_fano_is_small():
 def test_query_equals_the_library(spark):
     folder = "/root/testdata/sf0.001"
     found = sorted(tuple(r) for r in registered()["op2_token_store"][0](spark, folder).collect())
-    library = T.WordEncoder(PATH, separable=False).library
+    library = Tokenizer.from_file(PATH)
     want, start = [], 0
     for row in sorted(pq.read_table(f"{folder}/documents.parquet").to_pylist(), key=lambda r: r["doc_id"]):
         ids = [*library.encode(row["text"] or "", add_special_tokens=False).ids, T.END_ID]
@@ -46,6 +48,14 @@ def test_query_equals_the_library(spark):
     assert found == want
 
 
+def test_special_tokens_in_a_text_are_what_the_library_makes_of_them():
+    library, own = Tokenizer.from_file(PATH), T.WordEncoder(PATH, separable=True)
+    texts = ["a<|startoftext|>b", "<|endoftext|>", "x <|endoftext|>. y<|ENDOFTEXT|> <|startoftext|><|endoftext|>1", "<|endoftext", "a<|StartOfText|>b|>"]
+    for text in texts:
+        ids = list(np.frombuffer(own.encode([text])[0], "<u4"))
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
 def test_words_together_equal_whole_texts():
     own, random_ = T.WordEncoder(PATH, separable=True), random.Random(3)
     bits = ["A", "Σ", "ΑΣ", " ", "  ", "\n", "\t", "\xa0", "'re", "'", "l", "1", "23", "é", "é", "́", "ö!", "...", "日本", "<|endoftext|>", "\U0001f600", "\x1c", "\x85", "ß", "İ", ",", "?!", "J̌"]
@@ -58,7 +68,7 @@ def test_odd_rows(spark):
     docs = odd_documents(spark)
     T.write_tokens(docs, path, PATH, T.END_ID, per_file=8)
     found = T.read_tokens(spark, path).orderBy("start").collect()
-    library = T.WordEncoder(PATH, separable=False).library
+    library = Tokenizer.from_file(PATH)
     want = sorted((str(r["doc_id"]), crc([*library.encode(r["text"] or "", add_special_tokens=False).ids, T.END_ID])) for r in docs.collect())
     assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in found) == want
     ids = [r["doc_id"] for r in found]
