@@ -36,7 +36,6 @@ BEGINNINGS = (4, 5, 6)
 #: Words on each side of a labelled one, windows a document, and parts in the lexicon, at most.
 SIDE = 6
 WINDOWS = 6
-LEXICON = 4096
 #: A part enters the lexicon with so many toxic documents, and by so much likelier in them.
 SUPPORT = 3
 LIKELIER = 12.0
@@ -144,7 +143,7 @@ def lexicon(given: DataFrame) -> list[str]:
     sizes = dict(given.groupBy("label").count().collect())
     ratio = (F.col("toxic") / F.lit(sizes.get(1, 0) + 1.0)) / ((F.col("clean") + 0.5) / F.lit(sizes.get(0, 0) + 1.0))
     best = counts.withColumn("ratio", ratio).where(F.col("ratio") >= LIKELIER)
-    return [r["part"] for r in best.orderBy(F.desc(F.log("ratio") * F.sqrt("toxic")), "part").limit(LEXICON).collect()]
+    return [r["part"] for r in best.orderBy("part").collect()]
 
 
 def windows(given: DataFrame, parts: frozenset[str]) -> list[tuple[list[str], list[int]]]:
@@ -158,7 +157,9 @@ def windows(given: DataFrame, parts: frozenset[str]) -> list[tuple[list[str], li
                 hits = [i for i, w in enumerate(own) if len(w) > 2 and any(p in parts for p in parts_of(w))] if label else []
                 marked = set(hits)
                 spread = max(1, len(own) // 3)
-                for i in [*hits[: WINDOWS - 2], *range(spread // 2, len(own), spread)][:WINDOWS]:
+                # Which hits have a window is drawn from the whole text.
+                drawn = sorted(hits, key=lambda i: crc32(f"{i}:{own[i]}".encode()))[: WINDOWS - 2]
+                for i in [*drawn, *range(spread // 2, len(own), spread)][:WINDOWS]:
                     part = range(max(0, i - SIDE), min(len(own), i + SIDE + 1))
                     words.append(" ".join(own[j] for j in part))
                     tags.append("".join("1" if j in marked else "0" for j in part))
