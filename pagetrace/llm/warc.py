@@ -199,8 +199,6 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | str]]:
                 record, stop = parse(data, at)
                 found = [(data[at:stop], record)]
         except Damaged as error:
-            # A record alone in its member has the member's checksum among its own checks.
-            found = found if len(found) > 1 else []
             valid = [(raw, what) for raw, what in found if not isinstance(what, str) and not (at < upto and taken[raw])]
             if valid:
                 if gap is not None and gap < at:
@@ -244,7 +242,7 @@ def _base32(sha1: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1)).decode()
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = 100_000, level: int = 6) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, per_file: int = 20_000, level: int = 6) -> None:
     """A record per row of pages (page_id, url, html) to archives in ``path``."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     size, sha1 = F.octet_length(payload).alias("length"), F.sha1(payload).alias("sha1")

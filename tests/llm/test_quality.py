@@ -1,4 +1,8 @@
+import math
+from zlib import crc32
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagetrace.llm import quality as Q
@@ -59,3 +63,22 @@ def test_odd_rows(spark):
     for given in (labels.limit(0), labels.where("quality = 1 AND toxic = 0")):
         untaught = Q.scored(documents(spark, ["a", "", None]), Q.fit(docs, Q.graded(given)))
         assert {(round(r["_expected"]), r["_tail"] >= Q.KEEP) for r in untaught.collect()} == {(2, True)}
+
+
+def test_every_row_equals_a_plain_scorer(spark):
+    """Expected grade and tail of all rows from the fitted weights, one feature after the other."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = Q.fit(docs, Q.graded(labels))
+    got = {r["doc_id"]: r for r in Q.scored(docs, model).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for row in rows:
+        words, shapes, figures = Q.counted(row["text"] or "")
+        n = max(1, sum(words.values()))
+        names = [("w" + w, k / n) for w, k in words.items()] + [("s" + s.decode("ascii", "replace"), k / n) for s, k in shapes.items()]
+        names += [("f" + f, Q.FIGURE) for f in figures]
+        score = sum(model.weights[crc32(name.encode()) % Q.BUCKETS] * value for name, value in names)
+        tails = [1 - 1 / (1 + math.exp(-max(-60, min(60, t - score)))) for t in model.thresholds]
+        own = got[row["doc_id"]]
+        assert (own["_expected"], own["_tail"]) == pytest.approx((sum(tails), tails[0]), abs=1e-6)

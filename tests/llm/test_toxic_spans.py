@@ -1,6 +1,9 @@
+import math
 import random
+from zlib import crc32
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagetrace.llm import toxic_spans as T
@@ -74,3 +77,54 @@ def test_without_both_labels(spark):
     for given, score in ((labels.limit(0), 0.0), (labels.where("toxic = 1"), 1.0), (labels.withColumn("toxic", F.lit(0)), 0.0)):
         assert {r["score"] for r in T.tagged(docs, T.fit(docs, given)).collect()} == {score}
     assert T.fit(none(spark), labels).constant == 0.0
+
+
+def plain_marginals(words, model):
+    """P(toxic) of each word by the textbook recursions in logarithms, from the weights."""
+    out = []
+    if not words:
+        return out
+    parts = lambda w: ["=" + w, *(w[:n] for n in (4, 5, 6) if len(w) > n), "~" + w[-3:]]
+    toxic = [model.bias + sum(model.weights[crc32(p.encode()) % T.BUCKETS] for p in parts(w)) for w in words]
+    emit = [(0.0, e) for e in toxic]
+    add = np.logaddexp
+    ahead, back = [emit[0]], [(0.0, 0.0)]
+    for e in emit[1:]:
+        a = ahead[-1]
+        ahead.append(tuple(e[s] + add(a[0] + model.moves[0][s], a[1] + model.moves[1][s]) for s in (0, 1)))
+    for e in emit[:0:-1]:
+        b = back[0]
+        back.insert(0, tuple(add(model.moves[s][0] + e[0] + b[0], model.moves[s][1] + e[1] + b[1]) for s in (0, 1)))
+    for a, b in zip(ahead, back, strict=True):
+        whole = add(a[0] + b[0], a[1] + b[1])
+        out.append((a[0] + b[0] - whole, a[1] + b[1] - whole))
+    return out
+
+
+def test_every_row_equals_a_plain_scorer(spark):
+    """Score, decision and offsets of all rows from the fitted weights, word by word."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = T.fit(docs, labels)
+    got = {r["doc_id"]: r for r in T.tagged(docs, model).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for row in rows:
+        text = row["text"]
+        found = [(m.start(), m.end(), m.group()) for m in T._WORD.finditer(text.lower())] if len(text.lower()) == len(text) else None
+        words = [w for _, _, w in found] if found is not None else T.words_of(text)
+        marginals = plain_marginals(words, model)
+        high, sums = T.summary(np.array([t - o for o, t in marginals]))
+        a, b, c = model.calibration
+        score = 1 / (1 + math.exp(-max(-60, min(60, a + b * high + c * sums))))
+        own = got[row["doc_id"]]
+        assert own["score"] == pytest.approx(score, abs=1e-6) and own["predicted"] == int(own["score"] >= 0.3)
+        if found is not None:
+            spans = []
+            for (start, end, _), (o, t) in zip(found, marginals, strict=True):
+                if t - o >= 0:
+                    spans.append((start, end))
+            joined = own["spans"].split(",") if own["spans"] else []
+            covered = [(s, e) for s, e in spans if any(int(x.split(":")[0]) <= s and e <= int(x.split(":")[1]) for x in joined)]
+            # Words at exactly one half may fall to either side by rounding.
+            assert covered == spans or any(abs(t - o) < 1e-6 for o, t in marginals)
