@@ -161,14 +161,7 @@ def cell_pairs(cells: Sequence[tuple[int, int]], words: int, radius: int) -> lis
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as row numbers, of the links between two tiles of shape (rows, words)."""
     offset = 0 if same else len(left)
-    parent = np.arange(len(left) + (0 if same else len(right)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    label = np.arange(len(left) + (0 if same else len(right)))
     # Rows are sorted by the counts of their quarter words and cut into blocks; two blocks whose
     # counts differ by more than the radius, summed over the quarters, hold no link.
     blocks = []
@@ -191,16 +184,17 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tup
             for k in range(1, left.shape[1]):
                 distance = distance + np.bitwise_count(left[rows, k, None] ^ right[None, columns, k])
             close = distance <= radius
-            if not close.any():
-                continue
-            for i, j in zip(*np.nonzero(close), strict=True):
-                a, b = int(rows[i]), int(columns[j])
-                x, y = root(a), root(offset + b)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    keep_a.append(a)
-                    keep_b.append(b)
-    return np.array(keep_a, np.int64), np.array(keep_b, np.int64)
+            # A step for each row that still links different trees, not for each pair.
+            for i in np.flatnonzero((close & (label[rows, None] != label[None, offset + columns])).any(axis=1)):
+                own, near = label[rows[i]], columns[close[i]]
+                others, first = np.unique(label[offset + near], return_index=True)
+                new = others != own
+                if new.any():
+                    keep_a.append(np.full(new.sum(), rows[i]))
+                    keep_b.append(near[first[new]])
+                    label[np.isin(label, others[new])] = own
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *keep_a]), np.concatenate([none, *keep_b])
 
 
 def links(distinct: DataFrame, radius: int, words: int = 1, tile: int = TILE) -> DataFrame:

@@ -84,3 +84,38 @@ def test_lenient_fingerprints_keep_short_texts_apart():
     assert S.fingerprint(b"", strict=False) != [0]
     assert S.fingerprint(b"a b c d", strict=False) == S.fingerprint(b"a b c", strict=False)
     assert S.fingerprint(b"a b c d e", 3, 2)[0] == S.fingerprint(b"a b c d e", 3, 1)[0]
+
+
+def test_a_tile_of_near_copies_is_closed_quickly():
+    """A step for each row and not for each pair: this many pairs, one by one, would take minutes."""
+    import time
+
+    random_ = np.random.default_rng(4)
+    near = np.full((16_384, 2), 0x0F0F_3333_5555_00FF, np.uint64) ^ (np.uint64(1) << random_.integers(0, 63, (16_384, 2)).astype(np.uint64))
+    start = time.perf_counter()
+    a, b = S._forest(near, near, True, 24)
+    assert time.perf_counter() - start < 30
+    assert len(a) == len(near) - 1 and len(set(a.tolist()) | set(b.tolist())) == len(near)
+
+
+def test_forests_span_the_components_of_all_pairs():
+    random_ = np.random.default_rng(9)
+    centres = random_.integers(0, 2**63, (6, 2)).astype(np.uint64)
+    rows = centres[random_.integers(0, 6, 700)] ^ (np.uint64(1) << random_.integers(0, 63, (700, 2)).astype(np.uint64))
+
+    def groups(n, pairs):
+        label = list(range(n))
+        for x, y in pairs:
+            old, new = max(label[x], label[y]), min(label[x], label[y])
+            label = [new if k == old else k for k in label]
+        return label
+
+    for radius in (1, 2, 3, 40):
+        distance = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2)
+        a, b = S._forest(rows, rows, True, radius)
+        assert groups(700, zip(*np.nonzero(np.triu(distance <= radius, 1)), strict=True)) == groups(700, zip(a, b, strict=True))
+        left, right = rows[:300], rows[300:]
+        a, b = S._forest(left, right, False, radius)
+        across = [(x, 300 + y) for x, y in zip(*np.nonzero(distance[:300, 300:] <= radius), strict=True)]
+        assert groups(700, across) == groups(700, zip(a, 300 + b, strict=True))
+        assert all(distance[x, 300 + y] <= radius for x, y in zip(a, b, strict=True))
