@@ -9,7 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
@@ -20,6 +24,10 @@ from pagetrace.session import cut
 
 REFERENCE = ["asset_id", "page_order", "region_id"]
 KEY = ["project_id", *REFERENCE]
+#: Claims of a project up to which a token is rare; signatures that meet in a task, and at once inside it.
+HOT = 64
+TILE = 4096
+STEP = 256
 
 # Fixed values -------------------------------------------------------------
 NON_STORY_CODES = [
@@ -94,117 +102,105 @@ def nearby_context(evidence: DataFrame, targets: DataFrame) -> DataFrame:
     return evidence.join(around, ["project_id", "asset_id", "page_order", "ord"], "left_semi")
 
 
-def closest_claims(
-    regions: DataFrame, claims: DataFrame, key: Sequence[str], hot: int = 256, floors: Sequence[float] = (0.5, 0.2)
-) -> DataFrame:
+def closest_claims(regions: DataFrame, claims: DataFrame, key: Sequence[str], hot: int = HOT) -> DataFrame:
     """For every region the first claim with the greatest share of the region's tokens.
 
     regions(project_id, key.., tokens), claims(project_id, claim_ord, text, tokens);
     returns (key.., closest_text, overlap), NULL and 0.0 without a shared token.
 
-    Exact without comparing all pairs. Equal token sets are compared once. For a
-    floor f, a claim sharing at least f of n tokens must hold one of the region's
-    n - ceil(f n) + 1 rarest ones, so only those meet the claims; whoever finds a
-    claim above the floor is done. What is left shares little with any claim: its
-    rare tokens are matched in full and its frequent tokens (more than ``hot``
-    claims) as whole frequent-token sets, one representative claim per set.
+    Equal token sets are compared once. A pair that shares a rare token (held by at
+    most ``hot`` claims) is found by joining the rare tokens, so a region meets at most
+    ``hot`` claims a token. Frequent tokens, numbered within their project, are bits of a
+    signature: pairs that share only those are looked for among the distinct signatures,
+    in tiles, where a region leaves as soon as no signature left can hold more of its
+    tokens. Pairs carry ids and numbers; the text is joined to the winners.
     """
     key = list(key)
-    sets = regions.select("project_id", F.array_sort("tokens").alias("tokens")).where(F.size("tokens") > 0).distinct()
-    sets = sets.withColumn("set_id", F.sha2(F.array_join("tokens", " "), 256))
-    bags = (
-        claims.withColumn("tokens", F.array_sort("tokens"))
-        .where(F.size("tokens") > 0)
-        .groupBy("project_id", "tokens")
-        .agg(F.min(F.struct("claim_ord", "text")).alias("first"))
-        .select("project_id", "tokens", "first", F.sha2(F.array_join("tokens", " "), 256).alias("bag_id"))
-    )
-    bags = cut(bags)
-    postings = bags.select("project_id", "bag_id", F.explode("tokens").alias("token"))
-    frequency = cut(postings.groupBy("project_id", "token").agg(F.count(F.lit(1)).alias("df")))
-    # Tokens of a region that no claim holds are rarest of all (df 0): they keep their
-    # place in the order and find nothing. A region's own tokens make its array.
-    weighed = (
-        sets.select("project_id", "set_id", F.explode("tokens").alias("token"))
-        .join(frequency, ["project_id", "token"], "left")
-        .groupBy("project_id", "set_id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ranked"))
-    )
-    waiting = cut(weighed)
-    candidates = bags.select("project_id", "bag_id", F.col("tokens").alias("bag_tokens"), "first")
-    best = None
-
-    def shares(pairs: DataFrame) -> DataFrame:
-        met = pairs.distinct().join(candidates, ["project_id", "bag_id"]).join(waiting, ["project_id", "set_id"])
-        own = F.transform("ranked", lambda r: r["token"])
-        shared = F.size(F.array_intersect(own, F.col("bag_tokens")))
-        return met.groupBy("project_id", "set_id").agg(
-            F.max_by(
-                F.struct(F.col("first.text").alias("text"), shared.alias("shared"), F.size("ranked").alias("n")),
-                F.struct(shared, -F.col("first.claim_ord")),
-            ).alias("hit")
-        )
-
-    def remember(found: DataFrame) -> DataFrame:
-        rows = found.select("project_id", "set_id", F.col("hit.text").alias("closest_text"), (F.col("hit.shared") / F.col("hit.n")).alias("overlap"))
-        return rows if best is None else best.unionByName(rows)
-
-    for floor in floors:
-        size = F.size("ranked")
-        prefix = (size - F.ceil(size * F.lit(floor)) + 1).cast("int")
-        rare = waiting.select(
-            "project_id", "set_id", F.explode(F.filter(F.slice("ranked", F.lit(1), prefix), lambda r: r["df"] > 0)).alias("r")
-        ).select("project_id", "set_id", F.col("r.token").alias("token"))
-        pairs = rare.join(postings, ["project_id", "token"]).select("project_id", "set_id", "bag_id")
-        found = cut(shares(pairs).where(F.col("hit.shared") >= F.ceil(F.col("hit.n") * F.lit(floor))))
-        best = remember(found)
-        waiting = cut(waiting.join(found, ["project_id", "set_id"], "left_anti"))
-        if waiting.isEmpty():
-            break
-    else:
-        best = remember(_scarce_matches(waiting, candidates, postings, frequency, shares, hot))
-    joined = regions.withColumn("set_id", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256)).join(
-        best, ["project_id", "set_id"], "left"
-    )
-    return joined.select(*key, "closest_text", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
-
-
-def _scarce_matches(waiting, candidates, postings, frequency, shares, hot: int) -> DataFrame:
-    """Best claims of regions that share little: rare tokens in full, frequent ones as sets."""
-    split = waiting.select(
-        "project_id", "set_id",
-        F.transform(F.filter("ranked", lambda r: (r["df"] > 0) & (r["df"] <= hot)), lambda r: r["token"]).alias("cold"),
-        F.array_sort(F.transform(F.filter("ranked", lambda r: r["df"] > hot), lambda r: r["token"])).alias("warm"),
-        F.size("ranked").alias("n"),
-    )
-    by_rare = split.select("project_id", "set_id", F.explode("cold").alias("token")).join(postings, ["project_id", "token"])
-    exact = shares(by_rare.select("project_id", "set_id", "bag_id"))
-    frequent = frequency.where(F.col("df") > hot).select("project_id", "token")
-    warm_bags = (
-        postings.join(frequent, ["project_id", "token"], "left_semi")
-        .groupBy("project_id", "bag_id")
-        .agg(F.array_sort(F.collect_list("token")).alias("warm"))
-        .join(candidates, ["project_id", "bag_id"])
-        .groupBy("project_id", "warm")
-        .agg(F.min("first").alias("first"))
-    )
-    warm_sets = split.where(F.size("warm") > 0).select("project_id", "warm").distinct()
-    left = warm_sets.withColumn("token", F.explode("warm")).withColumnRenamed("warm", "own")
-    right = warm_bags.withColumn("token", F.explode("warm"))
-    shared = F.size(F.array_intersect("own", "warm"))
-    # A pair meets on its first common token only, so it is looked at once.
-    first_common = F.array_min(F.array_intersect("own", "warm")) == F.col("token")
-    by_set = left.join(right, ["project_id", "token"]).where(first_common).groupBy("project_id", "own").agg(
-        F.max_by(F.struct(F.col("first.text").alias("text"), shared.alias("shared"), F.col("first.claim_ord").alias("o")), F.struct(shared, -F.col("first.claim_ord"))).alias("w")
-    )
-    both = split.join(by_set.withColumnRenamed("own", "warm"), ["project_id", "warm"]).select(
-        "project_id", "set_id", F.struct(F.col("w.text").alias("text"), F.col("w.shared").alias("shared"), F.col("n")).alias("hit"), F.col("w.o").alias("o")
+    ordered = F.array_sort(F.array_distinct("tokens")).alias("tokens")
+    sets = regions.select("project_id", ordered).where(F.size("tokens") > 0).distinct()
+    sets = cut(sets.withColumn("set_id", F.sha2(F.array_join("tokens", " "), 256)))
+    bags = cut(claims.select("project_id", "claim_ord", ordered).where(F.size("tokens") > 0).groupBy("project_id", "tokens").agg(F.min("claim_ord").alias("ord")))
+    held = bags.select("project_id", "ord", F.explode("tokens").alias("token"))
+    frequency = held.groupBy("project_id", "token").agg(F.count(F.lit(1)).alias("df"))
+    # Only frequent tokens are numbered: at most one for each ``hot`` postings of a project.
+    number = (F.row_number().over(W.partitionBy("project_id").orderBy("token")) - 1).alias("number")
+    warm = frequency.where(F.col("df") > hot).select("project_id", "token", number)
+    known = cut(frequency.select("project_id", "token").join(warm, ["project_id", "token"], "left"))
+    wanted = sets.select("project_id", "set_id", F.explode("tokens").alias("token")).join(known, ["project_id", "token"])
+    held = held.join(known, ["project_id", "token"])
+    numbers = F.array_sort(F.collect_list("number"))
+    warm_sets = wanted.where("number IS NOT NULL").groupBy("project_id", "set_id").agg(numbers.alias("own"))
+    warm_bags = held.where("number IS NOT NULL").groupBy("project_id", "ord").agg(numbers.alias("other"))
+
+    rare = wanted.where("number IS NULL").select("project_id", "token", "set_id")
+    pairs = rare.join(held.where("number IS NULL").select("project_id", "token", "ord"), ["project_id", "token"])
+    pairs = pairs.groupBy("project_id", "set_id", "ord").agg(F.count(F.lit(1)).alias("rare"))
+    pairs = pairs.join(warm_sets, ["project_id", "set_id"], "left").join(warm_bags, ["project_id", "ord"], "left")
+    both = F.coalesce(F.size(F.array_intersect("own", "other")), F.lit(0))
+    found = pairs.select("project_id", "set_id", "ord", (F.col("rare") + both).alias("shared"))
+
+    signatures = warm_bags.groupBy("project_id", "other").agg(F.min("ord").alias("ord"))
+    asked = warm_sets.select("project_id", "own").distinct()
+    by_signature = _most_bits(asked, signatures).join(warm_sets, ["project_id", "own"])
+    found = found.unionByName(by_signature.select("project_id", "set_id", "ord", "shared"))
+    best = found.groupBy("project_id", "set_id").agg(F.max(F.struct("shared", (-F.col("ord")).alias("first"))).alias("best"))
+    texts = claims.groupBy("project_id", F.col("claim_ord").alias("ord")).agg(F.min("text").alias("closest_text"))
+    best = best.select("project_id", "set_id", "best.shared", (-F.col("best.first")).alias("ord")).join(texts, ["project_id", "ord"])
+    own = F.array_sort(F.array_distinct("tokens"))
+    joined = regions.withColumn("set_id", F.sha2(F.array_join(own, " "), 256)).withColumn("_n", F.size(own)).join(best, ["project_id", "set_id"], "left")
+    return joined.select(*key, "closest_text", F.coalesce(F.col("shared") / F.col("_n"), F.lit(0.0)).alias("overlap"))
+
+
+def _most_bits(asked: DataFrame, signatures: DataFrame, tile: int = TILE) -> DataFrame:
+    """(project_id, own, ord, shared): for each set of numbers the first of the signatures that hold most of them, if any.
+
+    asked(project_id, own), signatures(project_id, other, ord). Both sides of a project are dealt to tiles.
+    """
+    tiles = asked.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("rows")).join(
+        signatures.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("columns")), "project_id"
     )
-    orders = candidates.select("project_id", F.col("first.text").alias("_t"), F.col("first.claim_ord").alias("o")).groupBy("project_id", "_t").agg(F.min("o").alias("o"))
-    ranked = exact.withColumn("_t", F.col("hit.text")).join(orders, ["project_id", "_t"]).select("project_id", "set_id", "hit", "o")
-    return ranked.unionByName(both).groupBy("project_id", "set_id").agg(
-        F.max_by("hit", F.struct(F.col("hit.shared"), -F.col("o"))).alias("hit")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(tiles, "project_id").withColumn("r", F.pmod(F.xxhash64("own"), F.col("rows")).cast("int")).withColumn("c", upto("columns"))
+    right = signatures.join(tiles, "project_id").withColumn("c", F.pmod(F.xxhash64("other"), F.col("columns")).cast("int")).withColumn("r", upto("rows"))
+    met = left.select("project_id", "r", "c", F.col("own").alias("numbers"), F.lit(None).cast(signatures.schema["ord"].dataType).alias("ord")).unionByName(
+        right.select("project_id", "r", "c", F.col("other").alias("numbers"), "ord")
     )
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
+    schema = f"project_id {kinds['project_id']}, own array<int>, ord {kinds['ord']}, shared int"
+
+    def bits(lists: pa.ListArray, width: int) -> np.ndarray:
+        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        words = np.zeros((len(lists), width), np.uint64)
+        np.bitwise_or.at(words, (np.repeat(np.arange(len(lists)), sizes), flat // 64), np.uint64(1) << (flat % 64).astype(np.uint64))
+        return words
+
+    def search(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        asks = pc.is_null(group.column("ord"))
+        here, there = group.filter(asks), group.filter(pc.invert(asks)).sort_by("ord")
+        lists = [t.column("numbers").combine_chunks() for t in (here, there)]
+        width = max((int(x.flatten().to_numpy().max(initial=-1)) for x in lists), default=-1) // 64 + 1
+        own, other = (bits(x, width) for x in lists)
+        best, at = np.zeros(len(own), np.int32), np.zeros(len(own), np.int64)
+        # In the order of claims, so that a later one has to hold more.
+        for start in range(0, len(other), STEP):
+            part = other[start : start + STEP]
+            most = np.bitwise_count(own & np.bitwise_or.reduce(part, axis=0)).sum(1)
+            open_ = np.flatnonzero(most > best)
+            for rows in np.array_split(open_, max(1, len(open_) // STEP)):
+                shared = sum(np.bitwise_count(own[rows, w, None] & part[None, :, w]).astype(np.int32) for w in range(width))
+                first = shared.argmax(axis=1) if len(rows) else np.zeros(0, np.int64)
+                shared = shared[np.arange(len(rows)), first] if len(rows) else np.zeros(0, np.int32)
+                more = shared > best[rows]
+                best[rows[more]], at[rows[more]] = shared[more], start + first[more]
+        found = np.flatnonzero(best)
+        taken = here.take(pa.array(found))
+        return pa.table({
+            "project_id": taken.column("project_id"), "own": taken.column("numbers").cast(pa.list_(pa.int32())),
+            "ord": there.column("ord").take(pa.array(at[found])), "shared": pa.array(best[found], pa.int32()),
+        })
+
+    return met.groupBy("project_id", "r", "c").applyInArrow(search, schema)
 
 
 def with_overlap(regions: DataFrame, claims: DataFrame, key: Sequence[str] = tuple(KEY)) -> DataFrame:
@@ -320,6 +316,17 @@ def validate_slot_outputs(
     settled = judged.join(unsafe, ["project_id", "event_id"], "left").withColumn(
         "code", F.coalesce("_early", F.when(F.col("_unsafe"), "unsafe_fixed_slot_event"))
     )
+    # Of new events of one batch with the same id, those behind the first that is accepted collide with it.
+    place = F.struct(F.length("slot_id").alias("n"), F.col("slot_id").alias("slot"))
+    reached = F.col("decision").eqNullSafe(F.lit("new_event")) & (
+        F.col("code").isNull() | F.col("code").isin("fixed_slot_claim_not_anchored_to_evidence", "unsafe_fixed_slot_event")
+    )
+    accepted = settled.where(F.col("code").isNull() & (F.col("decision") == "new_event"))
+    accepted = accepted.groupBy("project_id", "event_id").agg(F.min(place).alias("_first"))
+    late = reached & (F.col("_first") < place)
+    settled = settled.join(accepted, ["project_id", "event_id"], "left").withColumn(
+        "code", F.when(late, "coverage_recovery_event_id_collision").otherwise(F.col("code"))
+    )
     structural = F.col("code").isNull() | F.col("code").isin(*SEMANTIC_REJECTIONS, "coverage_recovery_event_id_collision")
     verdict = settled.select(
         *KEY, "slot_id", "event_id", "decision", "reason_code", "code",

@@ -22,6 +22,7 @@ from pagetrace.functions.numeric import round_exact
 REGION = ["asset_id", "region_id"]
 
 # Fixed values -------------------------------------------------------------
+UNRESOLVED = "unresolved_visual_candidate"
 RECOVERED_SOURCES = ["local_ocr_recovery", "vision_ocr_recovery"]
 REVIEW_THRESHOLD = 0.90
 RECOVERY_THRESHOLD = 0.90
@@ -242,11 +243,17 @@ def page_safety(corrected: DataFrame, threshold: float = REVIEW_THRESHOLD) -> Da
 
 
 def score(
-    corrected: DataFrame, similarity: Callable[[Column, Column], Column] = T.similarity_arrow
+    corrected: DataFrame, similarity: Callable[[Column, Column], Column] = T.similarity_levenshtein
 ) -> DataFrame:
-    """Blend OCR, similarity and model confidence; review compares the unrounded score."""
+    """Blend OCR, similarity and model confidence; review compares the unrounded score.
+
+    A caller's measure gets the texts of unequal rows only; of others it sees NULLs.
+    """
     flagged = F.coalesce("needs_review", F.lit(False))
-    measured = corrected.withColumn("_similarity", similarity(F.col("raw_text"), F.col("clean_text")))
+    raw, clean = F.col("raw_text"), F.col("clean_text")
+    same = F.coalesce(F.lower(raw) == F.lower(clean), F.lit(False))
+    measure = F.when(same, F.lit(1.0)).otherwise(similarity(F.when(~same, raw), F.when(~same, clean)))
+    measured = corrected.withColumn("_similarity", measure)
     blend = (
         F.col("ocr_average") * 0.45
         + F.col("_similarity") * 0.35
@@ -479,12 +486,27 @@ def verify_dialogues(
     return updated, truth, dialogue_status(updated), rejected
 
 
-def rank_attempts(attempts: DataFrame, threshold: float = REVIEW_THRESHOLD) -> DataFrame:
+def rank_attempts(attempts: DataFrame, threshold: float = REVIEW_THRESHOLD, candidates: DataFrame | None = None) -> DataFrame:
     """Resolve each candidate box by the first usable non-blank attempt.
 
     attempts(asset_id, candidate_id, rank, source, text, confidence, usable,
-    needs_review); issues of the earlier attempts are kept, in rank order.
+    needs_review); issues of the earlier attempts are kept, in rank order. With
+    candidates(asset_id, candidate_id, x0, y0, x1, y1), a box with a side missing or
+    without an area is never resolved, whatever was read in it or if nothing was.
     """
+    ranked = _ranked(attempts, threshold)
+    if candidates is None:
+        return ranked
+    sound = F.coalesce((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")), F.lit(False))
+    bad = candidates.where(~sound).select("asset_id", "candidate_id").distinct()
+    refused = bad.select(
+        "asset_id", "candidate_id", F.lit(False).alias("resolved"), F.lit(UNRESOLVED).alias("region_source"), F.lit(None).cast("string").alias("text"),
+        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("boolean").alias("needs_review"), F.array(F.lit("invalid_candidate_bbox")).alias("issues"),
+    )
+    return ranked.join(bad, ["asset_id", "candidate_id"], "left_anti").unionByName(refused)
+
+
+def _ranked(attempts: DataFrame, threshold: float) -> DataFrame:
     text = T.non_blank(F.col("text"))
     usable = F.coalesce("usable", F.lit(True))
     wins = text.isNotNull() & usable
@@ -513,7 +535,7 @@ def rank_attempts(attempts: DataFrame, threshold: float = REVIEW_THRESHOLD) -> D
         "asset_id",
         "candidate_id",
         chosen.isNotNull().alias("resolved"),
-        F.coalesce(chosen["source"], F.lit("unresolved_visual_candidate")).alias("region_source"),
+        F.coalesce(chosen["source"], F.lit(UNRESOLVED)).alias("region_source"),
         chosen["text"].alias("text"),
         chosen["confidence"].alias("confidence"),
         (chosen["needs_review"] | (chosen["confidence"] < threshold)).alias("needs_review"),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagetrace.functions.boxes import box_of, field_box, iou, overlap_fraction
+from pagetrace.functions.boxes import box_of, iou, overlap_fraction
 from pagetrace.functions.numeric import round_exact
-from pagetrace.operators.components import box_components, large_keys
+from pagetrace.operators.components import box_components
 from pagetrace.operators.numbering import number_rows
 from pagetrace.session import cut
 
@@ -127,8 +127,9 @@ def split_regions(regions: DataFrame, region_blocks: DataFrame, boxes: DataFrame
     A page changes only when one of its regions falls apart on its own and every
     cited block has a box and one citation; then all its blocks are regrouped. A
     group keeps the region id of its lowest block, or takes the next free id when
-    an earlier group has it. Returns regions(asset_id, region_id, cluster,
-    region_source), region_blocks, split_sources(asset_id, region_id,
+    an earlier group has it, and the other columns of that region. A region that is
+    not regrouped keeps its region_source if it has one. Returns regions(asset_id,
+    region_id, cluster, region_source, other columns), region_blocks, split_sources(asset_id, region_id,
     from_region_id) and reading_order.
     """
     cited = region_blocks.select("asset_id", "region_id", "block_id")
@@ -177,16 +178,20 @@ def split_regions(regions: DataFrame, region_blocks: DataFrame, boxes: DataFrame
     fresh = number_rows(marked.where("_new"), PAGE, [F.col("cluster")], into="_n", bucket=spread)
     fresh = fresh.join(last, "asset_id").withColumn("region_id", F.col("_last") + F.col("_n"))
     named = marked.where(~F.col("_new")).withColumn("region_id", F.col("_owner")).select(
-        "asset_id", "cluster", "region_id", "unchanged"
-    ).unionByName(fresh.select("asset_id", "cluster", "region_id", "unchanged"))
+        "asset_id", "cluster", "region_id", "unchanged", "_owner"
+    ).unionByName(fresh.select("asset_id", "cluster", "region_id", "unchanged", "_owner"))
     named = cut(named)
 
+    others = [c for c in regions.columns if c not in ("asset_id", "region_id", "cluster", "region_source")]
     kept_regions = regions.join(falling, "asset_id", "left_anti").select(
         "asset_id", "region_id", F.lit(None).cast(named.schema["cluster"].dataType).alias("cluster"),
-        F.lit("original_layout").alias("region_source"),
+        (F.coalesce("region_source", F.lit("original_layout")) if "region_source" in regions.columns else F.lit("original_layout")).alias("region_source"),
+        *others,
     )
     source = F.when(F.col("unchanged"), "original_layout").otherwise("geometry_split")
-    new_regions = named.select("asset_id", "region_id", "cluster", source.alias("region_source"))
+    new_regions = named.select("asset_id", "region_id", "cluster", source.alias("region_source"), "_owner")
+    owners = regions.select("asset_id", F.col("region_id").alias("_owner"), *others)
+    new_regions = new_regions.join(owners, ["asset_id", "_owner"], "left").drop("_owner")
     new_blocks = grouped.select("asset_id", "cluster", "block_id").join(
         named.select("asset_id", "cluster", "region_id"), ["asset_id", "cluster"]
     )
@@ -297,38 +302,20 @@ def match_totals(matched: DataFrame) -> DataFrame:
     )
 
 
-def distinct_candidates(
-    candidates: DataFrame, threshold: float = SAME_CANDIDATE_IOU, bound: int = 64
-) -> DataFrame:
+def distinct_candidates(candidates: DataFrame, threshold: float = SAME_CANDIDATE_IOU) -> DataFrame:
     """Greedy suppression per page: most confident first, then box order; overlaps drop.
 
     candidates(asset_id, x0, y0, x1, y1, confidence). Equal boxes leave only their
     most confident one in any case, so each page is first reduced to distinct boxes.
+    Pages of any size settle in the same rounds.
     """
     shapes = candidates.groupBy(*PAGE, *SIDES).agg(F.max("confidence").alias("confidence"))
-    hot = large_keys(shapes, PAGE, bound)
-    if hot is None:
-        return _suppress_in_array(shapes, threshold)
-    small = _suppress_in_array(shapes.join(hot, PAGE, "left_anti"), threshold)
-    return small.unionByName(_suppress_in_rounds(shapes.join(hot, PAGE, "left_semi"), threshold))
-
-
-def _suppress_in_array(shapes: DataFrame, threshold: float) -> DataFrame:
-    ranked = F.struct((-F.col("confidence")).alias("rank"), *SIDES)
-    pages = shapes.groupBy(*PAGE).agg(F.array_sort(F.collect_list(ranked)).alias("_all"))
-    none = F.filter("_all", lambda x: F.lit(False))
-
-    def keep(kept: Column, item: Column) -> Column:
-        hit = F.exists(kept, lambda k: iou(field_box(item), field_box(k)) >= threshold)
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(item)))
-
-    kept = pages.select(*PAGE, F.explode(F.aggregate("_all", none, keep)).alias("_k"))
-    return kept.select(*PAGE, *[F.col(f"_k.{s}").alias(s) for s in SIDES], (-F.col("_k.rank")).alias("confidence"))
+    return _suppress_in_rounds(shapes, threshold)
 
 
 def _suppress_in_rounds(shapes: DataFrame, threshold: float) -> DataFrame:
-    """The same choice for pages of any size: each round keeps every open box without a
-    better open rival and drops the boxes it beats; the best open box always settles."""
+    """The greedy choice in rounds: each keeps every open box without a better open rival
+    and drops the boxes it beats; the best open box of a page always settles."""
     rank = F.struct(-F.col("confidence"), *SIDES)
     boxes = cut(shapes.withColumn("rank", rank))
     placed = _in_cells(boxes)

@@ -7,8 +7,10 @@ stays flat: one row per project, page, dialogue and issue.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from pagetrace.functions import text as T
 from pagetrace.functions.json import json_list, kind, positive_int, text_field, true_field
@@ -30,37 +32,38 @@ def region_types(pages: DataFrame) -> DataFrame:
     return valid.groupBy("asset_id", "region_id").agg(F.max_by("type", "_i").alias("region_type"))
 
 
+@F.arrow_udf(ArrayType(BooleanType()))
+def _repeats_in_order(regions: pa.Array, orders: pa.Array) -> pa.Array:
+    """Linear in a page's entries; NULL lists, those of pages without a repeat, stay NULL."""
+
+    def flags(own: list, places: list) -> list[bool]:
+        seen, taken, out = set(), set(), []
+        for region, place in zip(own, places, strict=True):
+            usable = region is not None and place is not None
+            repeat = usable and (region in seen or place in taken)
+            if usable and not repeat:
+                seen.add(region)
+                taken.add(place)
+            out.append(repeat)
+        return out
+
+    rows = zip(regions.to_pylist(), orders.to_pylist(), strict=True)
+    return pa.array([None if own is None else flags(own, places) for own, places in rows], pa.list_(pa.bool_()))
+
+
 def _repeat_flags(rows: Column) -> Column:
     """Which references repeat an earlier accepted one (region or order).
 
-    Only accepted rows count as seen, so this is a fold over the page's own array;
-    pages without any repeat skip it.
+    Only accepted rows count as seen, so entries are taken in order; pages without
+    any repeat are told apart before and send nothing to Python.
     """
     valid = F.filter(rows, lambda r: r["region_id"].isNotNull() & r["ord"].isNotNull())
     clean = (F.size(F.array_distinct(F.transform(valid, lambda r: r["region_id"]))) == F.size(valid)) & (
         F.size(F.array_distinct(F.transform(valid, lambda r: r["ord"]))) == F.size(valid)
     )
-    empty = F.struct(
-        F.array().cast("array<bigint>").alias("regions"),
-        F.array().cast("array<bigint>").alias("orders"),
-        F.array().cast("array<boolean>").alias("flags"),
-    )
-
-    def step(seen: Column, row: Column) -> Column:
-        usable = row["region_id"].isNotNull() & row["ord"].isNotNull()
-        repeat = usable & (
-            F.coalesce(F.array_contains(seen["regions"], row["region_id"]), F.lit(False))
-            | F.coalesce(F.array_contains(seen["orders"], row["ord"]), F.lit(False))
-        )
-        add = usable & ~repeat
-        return F.struct(
-            F.when(add, F.array_append(seen["regions"], row["region_id"])).otherwise(seen["regions"]).alias("regions"),
-            F.when(add, F.array_append(seen["orders"], row["ord"])).otherwise(seen["orders"]).alias("orders"),
-            F.array_append(seen["flags"], repeat).alias("flags"),
-        )
-
-    folded = F.aggregate(rows, empty, step)["flags"]
-    return F.when(clean, F.transform(rows, lambda r: F.lit(False))).otherwise(folded)
+    regions = F.when(~clean, F.transform(rows, lambda r: r["region_id"]))
+    orders = F.when(~clean, F.transform(rows, lambda r: r["ord"]))
+    return F.coalesce(_repeats_in_order(regions, orders), F.transform(rows, lambda r: F.lit(False)))
 
 
 def decode_pages(pages: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def settle_dialogues(
     recoveries: DataFrame,
     truth: DataFrame,
     regions: DataFrame,
-    similarity: Callable[[Column, Column], Column] = T.similarity_arrow,
+    similarity: Callable[[Column, Column], Column] = T.similarity_levenshtein,
 ) -> DataFrame:
     """Screen, correct, score, decide, recover, overlay truth, gate review.
 
@@ -59,7 +59,10 @@ def layout_quality(
 
     candidates(asset_id, candidate_id, x0, y0, x1, y1, core_x0.., confidence) come
     from ``text_candidates``; attempts(asset_id, candidate_id, rank, ..) from the
-    resolvers. Only pages with a sound assignment are changed.
+    resolvers. Only pages with a sound assignment are changed. What comes back can go
+    on to ``build_dialogues`` and ``settle_dialogues``: ``regions`` keep their columns through
+    a split and tell of a recovered one its candidate, confidence and review flag;
+    ``blocks`` holds the recovered texts as blocks of their own with their boxes.
     """
     from pagetrace.operators import layout as L
     from pagetrace.operators.numbering import number_rows
@@ -75,7 +78,7 @@ def layout_quality(
     free = L.uncovered_candidates(of_sound(candidates), boxes, "core_")
     kept = L.distinct_candidates(free).drop("confidence")
     named = kept.join(free.groupBy("asset_id", *L.SIDES).agg(F.min("candidate_id").alias("candidate_id")), ["asset_id", *L.SIDES])
-    found = D.rank_attempts(attempts).where("resolved").join(named, ["asset_id", "candidate_id"])
+    found = D.rank_attempts(attempts, candidates=candidates).where("resolved").join(named, ["asset_id", "candidate_id"])
     numbered = number_rows(
         found, ["asset_id"], [F.col("y0"), F.col("x0"), F.col("candidate_id")], into="seq", bucket=F.floor(F.col("y0") / 256)
     )
@@ -90,15 +93,22 @@ def layout_quality(
     )
     centres = D.region_boxes(split["region_blocks"], boxes).select("asset_id", "region_id", "center_x", "center_y")
     placed = L.insert_by_position(split["reading_order"], centres, added.select("asset_id", "seq", "region_id", *L.SIDES))
-    all_regions = split["regions"].select("asset_id", "region_id", "region_source").unionByName(
-        added.select("asset_id", "region_id", "region_source")
+    new_regions = added.select(
+        "asset_id", "region_id", F.lit("speech_bubble").alias("type"), "region_source", "candidate_id",
+        F.col("confidence").alias("recovery_confidence"), "needs_review",
     )
+    all_regions = split["regions"].drop("cluster").unionByName(new_regions, allowMissingColumns=True)
+    new_blocks = added.select("asset_id", "block_id", "text", "confidence", *L.SIDES, F.col("region_source").alias("source"), "needs_review", "candidate_id")
+    last_place = F.lit(0).cast("long").alias("pos")
     return {
         "validity": validity,
         "no_dialogue": L.no_dialogue_pages(pages, blocks, regions, order),
         "regions": all_regions,
         "recovered": added,
-        "region_blocks": split["region_blocks"].unionByName(added.select("asset_id", "region_id", "block_id")),
+        "blocks": blocks.unionByName(new_blocks, allowMissingColumns=True),
+        "region_blocks": split["region_blocks"].withColumn("pos", F.col("block_id").cast("long")).unionByName(
+            added.select("asset_id", "region_id", "block_id", last_place)
+        ),
         "split_sources": split["split_sources"],
         "reading_order": placed,
         "order_check": L.valid_reading_order(all_regions, placed),

@@ -320,17 +320,19 @@ def suppressed_duplicate_boxes(spark, d):
 @query(
     "recovered_region_insertion",
     with_lenses("boxes")
-    + """, known AS (SELECT asset_id, block_id AS region_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy,
-        row_number() OVER (PARTITION BY asset_id ORDER BY block_id) - 1 AS pos FROM boxes WHERE block_id % 8 <> 1),
-    len_ AS (SELECT asset_id, count(*) AS n FROM known GROUP BY 1),
-    cand AS (SELECT asset_id, min(block_id) AS region_id FROM boxes WHERE block_id % 8 = 1 GROUP BY 1),
-    c AS (SELECT asset_id, region_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, greatest(40.0, (y1 - y0) * 1.5) AS tol
-      FROM cand JOIN boxes USING (asset_id) WHERE block_id = region_id),
-    gap AS (SELECT c.asset_id, c.region_id, min(pos) AS gap FROM c JOIN known k ON k.asset_id = c.asset_id
-        AND (c.cy < k.cy - 40 OR (abs(c.cy - k.cy) <= tol AND c.cx < k.cx)) GROUP BY 1, 2),
-    placed AS (SELECT c.asset_id, c.region_id, coalesce(gap, n, 0) AS gap FROM c LEFT JOIN gap USING (asset_id, region_id) LEFT JOIN len_ USING (asset_id))
-    SELECT asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY gap, kind) - 1 AS pos, region_id FROM (
-      SELECT asset_id, gap, 0 AS kind, region_id FROM placed UNION ALL SELECT asset_id, pos, 1, region_id FROM known)""",
+    + """, known AS (SELECT asset_id, list({'id': block_id, 'cx': (x0 + x1) / 2.0::DOUBLE, 'cy': (y0 + y1) / 2.0::DOUBLE} ORDER BY block_id) AS st
+      FROM boxes WHERE block_id % 8 <> 1 GROUP BY 1),
+    cand AS (SELECT asset_id, {'id': block_id, 'cx': (x0 + x1) / 2.0::DOUBLE, 'cy': (y0 + y1) / 2.0::DOUBLE} AS c, greatest(40.0, (y1 - y0) * 1.5)::DOUBLE AS tol,
+      row_number() OVER (PARTITION BY asset_id ORDER BY block_id) AS seq FROM boxes WHERE block_id % 8 = 1),
+    walk AS (
+      SELECT asset_id, 0::BIGINT AS seq, coalesce(st, []) AS st FROM (SELECT DISTINCT asset_id FROM boxes) LEFT JOIN known USING (asset_id)
+      UNION ALL
+      SELECT asset_id, seq, list_concat(list_concat(st[1 : i - 1], [c]), st[i : len(st)]) FROM (
+        SELECT w.asset_id, d.seq, d.c, w.st, coalesce(list_min(list_filter(range(1, len(w.st) + 1), lambda k: d.c.cy < w.st[k].cy - 40
+            OR (abs(d.c.cy - w.st[k].cy) <= d.tol AND d.c.cx < w.st[k].cx))), len(w.st) + 1) AS i
+        FROM walk w JOIN cand d ON d.asset_id = w.asset_id AND d.seq = w.seq + 1)),
+    last_ AS (SELECT asset_id, arg_max(st, seq) AS st FROM walk GROUP BY 1)
+    SELECT asset_id, generate_subscripts(st, 1) - 1 AS pos, unnest(st).id AS region_id FROM last_""",
 )
 def recovered_region_insertion(spark, d):
     from pagetrace.operators.numbering import number_rows
@@ -343,10 +345,8 @@ def recovered_region_insertion(spark, d):
     centres = known.select(
         "asset_id", "region_id", ((F.col("x0") + F.col("x1")) / 2).alias("center_x"), ((F.col("y0") + F.col("y1")) / 2).alias("center_y")
     )
-    new = boxes.where("block_id % 8 = 1").groupBy("asset_id").agg(
-        F.min_by(F.struct("x0", "y0", "x1", "y1"), "block_id").alias("b"), F.min("block_id").alias("region_id")
-    )
-    candidates = new.select("asset_id", F.lit(1).alias("seq"), "region_id", "b.*")
+    new = boxes.where("block_id % 8 = 1").withColumnRenamed("block_id", "region_id")
+    candidates = number_rows(new, ["asset_id"], [F.col("region_id")], into="seq", bucket=F.floor(F.col("region_id") / 2**32))
     return L.insert_by_position(order, centres, candidates)
 
 

@@ -28,7 +28,7 @@ def query(name, sql=None):
 
 WORLD = with_story("evidence", "events", "claims", "progression") + """, ev AS (SELECT *, event_ord % 7 <> 1 AS script_ready, CASE WHEN event_ord % 7 = 1 THEN 1 ELSE 0 END AS unsupported_claims FROM events),
   er AS (SELECT project_id, event_id, event_ord // 100 AS asset_id, (event_ord // 100) % 5 + 1 AS page_order, event_ord % 100 + 1 AS region_id FROM ev WHERE event_ord % 11 <> 4),
-  open_ AS (SELECT project_id, asset_id, page_order, region_id, evidence_text FROM evidence WHERE region_id % 2 = 1 AND project_id % 4 <> 3),
+  open_ AS (SELECT project_id, asset_id, page_order, region_id, evidence_text FROM evidence ANTI JOIN er USING (project_id, asset_id, page_order, region_id)),
   st AS (SELECT DISTINCT project_id, CASE WHEN project_id % 3 = 0 THEN 'partial' ELSE 'ready' END AS status, CASE WHEN project_id % 6 = 5 THEN 'r0' ELSE 'r1' END AS source_revision,
       CASE WHEN project_id % 5 = 0 THEN NULL WHEN project_id % 7 = 6 THEN 'r0' ELSE 'r1' END AS review_source_revision, 'r1' AS current_revision FROM evidence),
   live AS (SELECT project_id FROM st WHERE source_revision = 'r1' AND coalesce(review_source_revision, 'r1') = 'r1'),
@@ -46,7 +46,8 @@ def _world(spark, d):
     er = ev.where("event_ord % 11 <> 4").select(
         "project_id", "event_id", asset.alias("asset_id"), (asset % 5 + 1).alias("page_order"), (F.col("event_ord") % 100 + 1).alias("region_id")
     )
-    open_rows = w["evidence"].where("region_id % 2 = 1 AND project_id % 4 <> 3").select("project_id", "asset_id", "page_order", "region_id", "evidence_text")
+    place = ["project_id", "asset_id", "page_order", "region_id"]
+    open_rows = w["evidence"].join(er, place, "left_anti").select(*place, "evidence_text")
     p = F.col("project_id")
     stories = w["evidence"].select("project_id").distinct().select(
         "project_id", F.when(p % 3 == 0, "partial").otherwise("ready").alias("status"),

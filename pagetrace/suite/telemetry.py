@@ -285,6 +285,28 @@ def recall_report_file(spark, d):
     return spark.read.schema(report.schema).json(path)
 
 
+@query(
+    "recall_snapshot_audit",
+    AUDIT + " SELECT filename, expected_dialogue_regions, detected_expected_regions, ocr_missing, partial_dialogues, split_errors, merge_errors FROM pages_",
+)
+def recall_snapshot_audit(spark, d):
+    """Audit snapshots, a JSON document a page with its expected regions, written, read back and audited."""
+    found = _audit_regions(spark, d)
+    regions = found.groupBy("filename", "audit_id", "required", "classification", "text_quality").agg(
+        F.collect_list("detected_region_id").alias("detected_region_ids")
+    )
+    parts = ("audit_id", "required", "classification", "text_quality", "detected_region_ids")
+    # A snapshot lists a page's regions; it is one value of the file.
+    pages = regions.groupBy("filename").agg(F.collect_list(F.struct(*parts)).alias("expected_regions"))
+    path = f"{checkpoint_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    documents = pages.select(F.array(F.struct("filename", "expected_regions")).alias("pages"))
+    documents.write.option("maxRecordsPerFile", 1).json(path)
+    _, rows = R.read_snapshot(spark, path)
+    return R.page_audit(rows).select(
+        "filename", "expected_dialogue_regions", "detected_expected_regions", "ocr_missing", "partial_dialogues", "split_errors", "merge_errors"
+    )
+
+
 @query(
     "dataset_recall_audit",
     AUDIT

@@ -136,6 +136,32 @@ def test_attempts(spark):
     assert got["c"] == (False, "unresolved_visual_candidate", None, ["local_ocr_recovery_empty", "vision_ocr_recovery_empty"])
 
 
+def test_boxes_without_an_area_are_never_resolved(spark):
+    schema = "asset_id int, candidate_id string, rank int, source string, text string, confidence double, usable boolean, needs_review boolean"
+    rows = spark.createDataFrame([(1, c, 1, "local_ocr_recovery", "Hãy", 0.95, None, None) for c in "abc"], schema)
+    boxes = [(1, "a", 0, 0, 5, 5), (1, "b", 5, 0, 5, 9), (1, "c", 0, None, 5, 9), (1, "d", 4, 4, 1, 9), (1, "e", 0, 0, 1, 1)]
+    boxes = spark.createDataFrame(boxes, "asset_id int, candidate_id string, x0 int, y0 int, x1 int, y1 int")
+    got = {r.candidate_id: (r.resolved, r.region_source, r.text, r.issues) for r in D.rank_attempts(rows, candidates=boxes).collect()}
+    refused = (False, "unresolved_visual_candidate", None, ["invalid_candidate_bbox"])
+    assert got == {"a": (True, "local_ocr_recovery", "Hãy", []), "b": refused, "c": refused, "d": refused}
+
+
+def test_a_split_keeps_what_is_known_of_a_region(spark):
+    boxes = {0: (0, 0, 40, 20), 1: (400, 0, 450, 20), 2: (0, 0, 40, 20), 3: (500, 0, 540, 20)}
+    cited = spark.createDataFrame([(1, 4, 0), (1, 4, 1), (2, 7, 2)], "asset_id int, region_id int, block_id int")
+    regions = spark.createDataFrame(
+        [(1, 4, "narration", 0.5, True, "vision"), (2, 7, "sfx", 0.7, None, "local_ocr_recovery"), (2, 8, "sfx", None, None, None)],
+        "asset_id int, region_id int, type string, confidence double, needs_review boolean, region_source string")
+    order = regions.select("asset_id", F.col("region_id").alias("pos"), "region_id")
+    placed = spark.createDataFrame([(1, i, *boxes[i]) for i in (0, 1)] + [(2, i, *boxes[i]) for i in (2, 3)], _boxes(spark, boxes).schema)
+    out = L.split_regions(regions, cited, placed, order)
+    got = sorted((r.asset_id, r.region_id, r.type, r.confidence, r.needs_review, r.region_source) for r in out["regions"].collect())
+    assert got == [
+        (1, 4, "narration", 0.5, True, "geometry_split"), (1, 5, "narration", 0.5, True, "geometry_split"),
+        (2, 7, "sfx", 0.7, None, "local_ocr_recovery"), (2, 8, "sfx", None, None, "original_layout"),
+    ]
+
+
 def _boxes(spark, boxes):
     return spark.createDataFrame([(1, i, *b) for i, b in boxes.items()], "asset_id int, block_id int, x0 int, y0 int, x1 int, y1 int")
 
@@ -180,12 +206,11 @@ def test_partition_check(spark):
     assert check((1, 0, 0)) is False
 
 
-@pytest.mark.parametrize("bound", [64, 0])
-def test_suppression(spark, bound):
+def test_suppression(spark):
     rows = spark.createDataFrame(
         [(1, 0, 0, 20, 20, 0.9), (1, 1, 1, 21, 21, 0.8), (1, 0, 0, 20, 20, 0.5), (1, 100, 0, 120, 20, 0.1)],
         "asset_id int, x0 int, y0 int, x1 int, y1 int, confidence double")
-    got = sorted((r.x0, r.confidence) for r in L.distinct_candidates(rows, bound=bound).collect())
+    got = sorted((r.x0, r.confidence) for r in L.distinct_candidates(rows).collect())
     assert got == [(0, 0.9), (100, 0.1)]
 
 

@@ -101,9 +101,10 @@ def test_reason_compatibility(spark, reason, text, overlap, expected):
     assert spark.range(1).select(fits.alias("v")).first().v is expected
 
 
-@pytest.mark.parametrize("hot", [0, 2, 256])
-@pytest.mark.parametrize("floors", [(0.5, 0.2), ()])
-def test_closest_claims_equal_brute_force(spark, hot, floors):
+@pytest.mark.parametrize(("hot", "tile", "step"), [(0, 4096, 256), (0, 7, 3), (2, 10, 256), (256, 4096, 256)])
+def test_closest_claims_equal_brute_force(spark, hot, tile, step, monkeypatch):
+    monkeypatch.setattr(V, "STEP", step)
+    monkeypatch.setattr(V._most_bits, "__defaults__", (tile,))
     rng = random.Random(5)
     words = ["the", "of"] * 6 + [f"w{i}" for i in range(25)]
     regions = {i: sorted(set(rng.choices(words, k=rng.randrange(0, 7)))) for i in range(60)}
@@ -119,10 +120,25 @@ def test_closest_claims_equal_brute_force(spark, hot, floors):
         want[key] = (text, best / len(own) if own else 0.0)
     left = spark.createDataFrame([("p", k, v) for k, v in regions.items()], "project_id string, region_id int, tokens array<string>")
     right = spark.createDataFrame([("p", k, f"claim {k}", v) for k, v in claims.items()], "project_id string, claim_ord int, text string, tokens array<string>")
-    got = {r.region_id: (r.closest_text, r.overlap) for r in V.closest_claims(left, right, ["project_id", "region_id"], hot=hot, floors=floors).collect()}
+    got = {r.region_id: (r.closest_text, r.overlap) for r in V.closest_claims(left, right, ["project_id", "region_id"], hot=hot).collect()}
     assert got == want
 
 
+def test_closest_claims_among_common_words(spark):
+    """Ten thousand regions and claims of few words in one project: signatures, and no pair of rows."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(150)]
+    regions = [("p", i, rng.sample(words, 6)) for i in range(10_000)]
+    claims = [("p", i, f"claim {i}", rng.sample(words, 9)) for i in range(10_000)]
+    left = spark.createDataFrame(regions, "project_id string, region_id int, tokens array<string>")
+    right = spark.createDataFrame(claims, "project_id string, claim_ord int, text string, tokens array<string>")
+    got = {r.region_id: (r.closest_text, r.overlap) for r in V.closest_claims(left, right, ["project_id", "region_id"]).collect()}
+    assert len(got) == 10_000
+    for _, i, own in regions[:40]:
+        shared = [len(set(own) & set(bag)) for _, _, _, bag in claims]
+        assert got[i] == (f"claim {shared.index(max(shared))}", max(shared) / 6)
+
+
 def _story(spark):
     events = spark.createDataFrame(
         [("p", "event-1", 1, "one", "main_story", True, 0), ("p", "event-2", 2, "two", "main_story", True, 0), ("p", "event-3", 3, "three", "main_story", False, 1)], EVENT)

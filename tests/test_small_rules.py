@@ -90,6 +90,21 @@ def test_repeated_references_count_once_accepted(spark):
     assert out["projects"].first().status == "blocked" and out["evidence"].count() == 0
 
 
+def test_repeats_in_a_long_page_take_linear_work():
+    """Every reference occurs twice; the second of each repeats the first, and rejected ones do not count."""
+    import time
+
+    import pyarrow as pa
+
+    n = 100_000
+    regions = [i // 2 for i in range(n)] + [None]
+    orders = [i for i in range(n)] + [1]
+    start = time.perf_counter()
+    flags = S._repeats_in_order.func(pa.array([regions, None, [1, 1, 2, 3]]), pa.array([orders, None, [1, 2, 2, 1]])).to_pylist()
+    assert time.perf_counter() - start < 5
+    assert flags == [[i % 2 == 1 for i in range(n)] + [False], None, [False, True, False, True]]
+
+
 def test_blocked_project_does_not_block_another(spark):
     import json
 

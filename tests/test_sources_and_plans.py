@@ -135,3 +135,47 @@ def test_answers_do_not_depend_on_partitioning(spark):
     one = D.region_evidence(cited, blocks).select("region_id", "raw_text").collect()
     other = D.region_evidence(cited.repartition(7), blocks.orderBy(F.desc("block_id"))).select("region_id", "raw_text").collect()
     assert sorted(one) == sorted(other)
+
+
+def test_layout_feeds_the_dialogue_flow(spark):
+    """Split, recovered and placed: regions tell where they come from, and dialogues are built from what comes back."""
+    from pagetrace.plans.page import layout_quality, settle_dialogues
+
+    pages = spark.createDataFrame([(1,)], "asset_id int")
+    texts = {0: "Hello there.", 1: "Far away", 2: "Third one"}
+    places = {0: (0, 0, 60, 20), 1: (600, 0, 660, 20), 2: (0, 400, 60, 420)}
+    blocks = spark.createDataFrame([(1, i, t, 0.9) for i, t in texts.items()], "asset_id int, block_id long, text string, confidence double")
+    boxes = spark.createDataFrame([(1, i, *b) for i, b in places.items()], "asset_id int, block_id long, x0 int, y0 int, x1 int, y1 int")
+    regions = spark.createDataFrame([(1, 3, "narration"), (1, 5, "speech_bubble")], "asset_id int, region_id long, type string")
+    cited = spark.createDataFrame([(1, 3, 0), (1, 3, 1), (1, 5, 2)], "asset_id int, region_id long, block_id long")
+    order = spark.createDataFrame([(1, 0, 3), (1, 1, 5)], "asset_id int, pos long, region_id long")
+    sides = "x0 int, y0 int, x1 int, y1 int, core_x0 int, core_y0 int, core_x1 int, core_y1 int"
+    candidates = spark.createDataFrame(
+        [(1, "c1", *[0, 200, 60, 220] * 2, 0.8), (1, "c2", *[0, 800, 60, 820] * 2, 0.8), (1, "c3", *[90, 900, 80, 920] * 2, 0.8)],
+        f"asset_id int, candidate_id string, {sides}, confidence double")
+    attempts = spark.createDataFrame(
+        [(1, "c1", 1, "local_ocr_recovery", "Found it", 0.6, True, False), (1, "c2", 1, "local_ocr_recovery", " ", 0.9, True, False),
+         (1, "c3", 1, "local_ocr_recovery", "No area", 0.9, True, False)],
+        "asset_id int, candidate_id string, rank int, source string, text string, confidence double, usable boolean, needs_review boolean")
+    out = layout_quality(pages, blocks, boxes, regions, cited, order, candidates, attempts)
+    got = {r.region_id: r for r in out["regions"].collect()}
+    assert {i: (r.type, r.region_source) for i, r in got.items()} == {
+        3: ("narration", "geometry_split"), 6: ("narration", "geometry_split"), 5: ("speech_bubble", "original_layout"), 7: ("speech_bubble", "local_ocr_recovery")}
+    assert (got[7].candidate_id, got[7].recovery_confidence, got[7].needs_review) == ("c1", 0.6, True) and got[3].candidate_id is None
+    new = {r.block_id: r for r in out["blocks"].collect()}[3]
+    assert (new.text, new.confidence, new.source, new.candidate_id, new.x0, new.y1) == ("Found it", 0.6, "local_ocr_recovery", "c1", 0, 220)
+    built = D.build_dialogues(out["blocks"], out["regions"], out["region_blocks"], out["reading_order"])
+    said = [(r.region_id, r.type, r.raw_text) for r in built.orderBy("ord").collect()]
+    assert said == [(3, "narration", "Hello there."), (6, "narration", "Far away"), (7, "speech_bubble", "Found it"), (5, "speech_bubble", "Third one")]
+    key = "asset_id int, region_id long"
+    corrections = built.select("asset_id", "region_id", F.col("raw_text").alias("clean_text"), F.lit(0.95).alias("confidence"), F.lit(False).alias("needs_review"), F.lit("unchanged").alias("reason_code"))
+    recoveries = spark.createDataFrame([], f"{key}, recovered_text string, confidence double, reason_code string, still_uncertain boolean")
+    settled = settle_dialogues(built, corrections, recoveries, spark.createDataFrame([], f"{key}, verified_text string"), out["regions"])
+    assert {r.region_id: r.decision for r in settled.collect()}[7] == "needs_review" and settled.count() == 4
+
+
+def test_a_measure_sees_unequal_texts_only(spark):
+    rows = spark.createDataFrame([("Same", "same", 0.9), ("a", "b", 0.9)], "raw_text string, clean_text string, ocr_average double")
+    rows = rows.withColumns({"confidence": F.lit(1.0), "needs_review": F.lit(False)})
+    got = D.score(rows, lambda a, b: F.coalesce(F.length(a), F.lit(7)) / 2.0)
+    assert {r.raw_text: r.text_similarity for r in got.collect()} == {"Same": 1.0, "a": 0.5}
