@@ -17,6 +17,9 @@ from pagetrace.operators.numbering import number_rows
 
 EVENT = ["project_id", "event_id"]
 SEGMENT = ["project_id", "segment_id"]
+BEAT = ["project_id", "beat"]
+#: Units of a beat that one task joins into a piece of its text.
+PIECE = 1024
 
 # Fixed values -------------------------------------------------------------
 SEGMENT_TYPES = ["hook", "setup", "development", "payoff", "ending"]
@@ -106,26 +109,71 @@ def beat_units(safe: DataFrame, claims: DataFrame, progression: DataFrame) -> Da
     extra = context.groupBy("project_id").agg(
         F.min_by(F.struct("event_id", "claim_id", "fact_text"), F.struct("event_ord", "claim_ord")).alias("_c")
     ).join(last.select("project_id"), "project_id", "left_semi")
+    # Beat 2 holds one claim of its own, whose unit is at most 2.
     added = extra.select(
-        "project_id", F.lit(2).alias("beat"), F.lit(2**31).cast("long").alias("unit"), "_c.event_id", "_c.claim_id", "_c.fact_text"
+        "project_id", F.lit(2).alias("beat"), F.lit(3).cast("long").alias("unit"), "_c.event_id", "_c.claim_id", "_c.fact_text"
     )
     return placed.unionByName(fill).unionByName(added)
 
 
+def _role() -> Column:
+    return F.get(F.array(*[F.lit(t) for t in SEGMENT_TYPES]), F.col("beat") - 1)
+
+
+def beat_names(units: DataFrame) -> DataFrame:
+    """(project_id, beat, beat_id, role) of every beat that is told."""
+    return units.select(*BEAT).distinct().select(*BEAT, F.concat(F.lit("beat_"), "beat").alias("beat_id"), _role().alias("role"))
+
+
+def _told_ids(units: DataFrame, name: str, into: str) -> DataFrame:
+    """Distinct ids of every beat in the order in which they are first told."""
+    firsts = units.groupBy(*BEAT, name).agg(F.min("unit").alias("unit"))
+    ordered = F.array_sort(F.collect_list(F.struct("unit", name)))
+    return firsts.groupBy(*BEAT).agg(F.transform(ordered, lambda u: u[name]).alias(into))
+
+
 def beats(units: DataFrame) -> DataFrame:
-    """One row per beat; a beat's lists and text are its own output value."""
-    rows = F.array_sort(F.collect_list(F.struct("unit", "event_id", "claim_id", "fact_text")))
-    grouped = units.groupBy("project_id", "beat").agg(rows.alias("_u"))
-    names = F.array(*[F.lit(t) for t in SEGMENT_TYPES])
-    return grouped.select(
-        "project_id",
-        "beat",
+    """One row per beat, as a writer needs it: its text and its lists of distinct ids.
+
+    Claims are sorted and joined in pieces of ``PIECE`` units, and repeats of an id leave by
+    grouping, so a task sees a whole beat only as pieces of its text. What needs no
+    text (``beat_totals``) works on the flat units.
+    """
+    piece = units.groupBy(*BEAT, F.floor(F.col("unit") / PIECE).alias("_piece")).agg(
+        F.array_sort(F.collect_list(F.struct("unit", "fact_text"))).alias("_u")
+    )
+    piece = piece.select(*BEAT, "_piece", F.array_join(F.transform("_u", lambda u: u["fact_text"]), " ").alias("_text"))
+    texts = piece.groupBy(*BEAT).agg(F.array_sort(F.collect_list(F.struct("_piece", "_text"))).alias("_p"))
+    joined = texts.join(_told_ids(units, "event_id", "source_event_ids"), BEAT).join(_told_ids(units, "claim_id", "claim_ids"), BEAT)
+    return joined.select(
+        *BEAT,
         F.concat(F.lit("beat_"), "beat").alias("beat_id"),
-        F.get(names, F.col("beat") - 1).alias("role"),
-        F.array_distinct(F.transform("_u", lambda u: u["event_id"])).alias("source_event_ids"),
-        F.array_distinct(F.transform("_u", lambda u: u["claim_id"])).alias("claim_ids"),
-        F.array_join(F.transform("_u", lambda u: u["fact_text"]), " ").alias("fact_text"),
+        _role().alias("role"),
+        "source_event_ids",
+        "claim_ids",
+        F.array_join(F.transform("_p", lambda p: p["_text"]), " ").alias("fact_text"),
+    )
+
+
+def beat_totals(units: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """``script_totals`` of the segments that ``render`` makes, from flat units alone.
+
+    Prefix and facts meet at white space, so words add up; no text is joined.
+    """
+    fallback = F.broadcast(units.sparkSession.createDataFrame(FALLBACK_PREFIXES, "role string, _fallback string"))
+    words = units.groupBy(*BEAT).agg(F.sum(T.word_count(F.col("fact_text"))).alias("_words")).withColumn("role", _role())
+    words = words.join(fallback, "role")
+    if chosen is not None:
+        words = words.join(chosen, BEAT, "left")
+    else:
+        words = words.withColumn("prefix", F.lit(None).cast("string"))
+    counted = words.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("segment_count"),
+        F.sum(F.col("_words") + T.word_count(F.coalesce("prefix", "_fallback"))).cast("long").alias("word_count"),
     )
+    events = units.select(*EVENT).distinct().groupBy("project_id").agg(F.count("event_id").alias("source_event_count"))
+    joined = counted.join(events, "project_id", "left").fillna(0)
+    return joined.withColumn("estimated_duration_seconds", T.narration_seconds(F.col("word_count")))
 
 
 def checked_selections(beat_rows: DataFrame, selections: DataFrame, styles: DataFrame) -> DataFrame:

@@ -89,18 +89,22 @@ def plan_scripts(
     events: DataFrame, claims: DataFrame, progression: DataFrame,
     selections: DataFrame | None = None, styles: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Beats and rendered segments; model selections are an optional input table."""
+    """Flat units, their totals, beats and rendered segments; model selections are an optional input table.
+
+    Units are one row per told claim; a beat's text is joined only if beats, segments or issues are read.
+    """
     from pagetrace.operators import script as P
 
     safe = P.safe_events(events, claims)
-    # Five rows per project, read by everything below.
-    told = cut(P.beats(P.beat_units(safe, claims, progression)))
-    chosen = None if selections is None else P.checked_selections(told, selections, styles)
+    units = cut(P.beat_units(safe, claims, progression))
+    told = P.beats(units)
+    chosen = None if selections is None else P.checked_selections(P.beat_names(units), selections, styles)
     segments = P.render(told, chosen)
     return {
         "problems": P.script_problems(events.select("project_id").distinct(), safe),
+        "units": units,
         "beats": told,
         "segments": segments,
         "issues": P.script_issues(segments, safe, claims),
-        "totals": P.script_totals(segments),
+        "totals": P.beat_totals(units, chosen),
     }

@@ -312,13 +312,14 @@ def reattached_corrections(spark, d):
     return done.select("asset_id", "region_id", "ord", "raw_text", "clean_text")
 
 
-DECIDED = SCORED + f""", words AS (SELECT *, {WORDS.format('raw_text')} AS a, {WORDS.format('clean_text')} AS b FROM scored),
+DECIDE = f""", words AS (SELECT *, {WORDS.format('raw_text')} AS a, {WORDS.format('clean_text')} AS b FROM scored),
     risk AS (SELECT *, CASE WHEN len(a) <> len(b) THEN true ELSE changed >= 2 OR (len(a) <= 12 AND changed >= 1) END AS risky_text_change
       FROM (SELECT *, len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS changed FROM words)),
     tiny AS (SELECT *, reason_code IN ('ocr_typo', 'unchanged') AND text_similarity >= 0.96 AND ocr_confidence >= 0.6 AND confidence >= 0.97 AND len(a) = len(b) AS tiny FROM risk),
     decided AS (SELECT *, CASE WHEN tiny OR (NOT needs_review AND NOT risky_text_change AND
         (correction_score >= 0.9 OR (correction_score >= 0.75 AND ocr_confidence >= 0.65))) THEN 'auto_accepted' ELSE 'needs_recovery' END AS decision,
       CASE WHEN tiny THEN 'tiny_ocr_typo' END AS calibration_rule FROM tiny)"""
+DECIDED = SCORED + DECIDE
 
 
 @query(
@@ -344,7 +345,7 @@ def _recoveries(rows):
     return given.unionByName(given.where("(asset_id + region_id) % 9 = 4"))
 
 
-RECOVERED = DECIDED + """, answers AS (SELECT asset_id, region_id, CASE WHEN (asset_id + region_id) % 2 = 0 THEN clean_text ELSE concat(clean_text, ' ok') END AS r_text,
+RECOVER = """, answers AS (SELECT asset_id, region_id, CASE WHEN (asset_id + region_id) % 2 = 0 THEN clean_text ELSE concat(clean_text, ' ok') END AS r_text,
         cast((asset_id * 13 + region_id * 5) % 12 AS double) / 10 AS r_conf, (asset_id + region_id) % 2 = 0 AS same_text,
         CASE WHEN (asset_id + region_id) % 5 = 0 THEN 'fragmented_ocr' ELSE 'ocr_typo' END AS r_code, (asset_id + region_id) % 4 = 0 AS unsure
       FROM dialogues WHERE (asset_id + region_id) % 3 <> 2 AND (asset_id + region_id) % 9 <> 4),
@@ -362,6 +363,7 @@ RECOVERED = DECIDED + """, answers AS (SELECT asset_id, region_id, CASE WHEN (as
       CASE WHEN decision = 'needs_recovery' THEN least(1.0, greatest(0.0, coalesce(r_conf, 0.0))) END AS recovery_confidence,
       CASE WHEN decision = 'needs_recovery' THEN coalesce(r_code, 'needs_review') END AS recovery_reason_code,
       CASE WHEN decision = 'needs_recovery' THEN agreed END AS agreement_evidence FROM joined)"""
+RECOVERED = DECIDED + RECOVER
 
 
 @query(
@@ -437,9 +439,7 @@ def evidence_batch_split(spark, d):
     return counted.join(problems, "asset_id", "left").fillna(0, subset=["lost"])
 
 
-@query("settled_dialogues")
-def settled_dialogues(spark, d):
-    """The composed page dataflow with the sequence-matcher similarity."""
+def _settled(spark, d):
     from pagetrace.operators.catalog import newest_per_key
 
     truth = newest_per_key(lens(spark, d, "truth"), ["asset_id", "region_id"], ["created_at", "id"])
@@ -457,8 +457,50 @@ def settled_dialogues(spark, d):
         F.when(F.col("region_id") % 5 == 0, "local_ocr_recovery").otherwise("original_layout").alias("region_source"),
         (k % 2 == 0).alias("needs_review"),
     )
-    settled = settle_dialogues(built, corrections, _recoveries(corrections), truth, regions)
-    return settled.groupBy("decision", "correction_path").agg(
+    return settle_dialogues(built, corrections, _recoveries(corrections), truth, regions)
+
+
+# The corrections answer every region; only rows of the path 'uncertain' take them. Verified rows
+# never show what a second pass would have said about them.
+SETTLED = (
+    with_lenses("blocks", "truth") + REGION_BLOCKS + DIALOGUES_SQL
+    + f""", newest AS (SELECT asset_id, region_id, {TRIM.format('verified_text')} AS truth_text FROM truth
+      QUALIFY row_number() OVER (PARTITION BY asset_id, region_id ORDER BY created_at DESC, id DESC) = 1),
+    screened AS (SELECT b.*, truth_text, asset_id + region_id AS k, CASE WHEN truth_text <> '' THEN 'ground_truth'
+        WHEN ocr_minimum >= 0.92 AND length({TRIM.format('raw_text')}) >= 2 AND NOT {SUSPICIOUS.format('raw_text')}
+          AND {EVEN_QUOTES.format('raw_text')} THEN 'fast_path' ELSE 'uncertain' END AS path
+      FROM built b LEFT JOIN newest USING (asset_id, region_id)),
+    dialogues AS (SELECT asset_id, region_id, raw_text, truth_text, path, ocr_average AS ocr_confidence,
+        CASE path WHEN 'ground_truth' THEN truth_text WHEN 'fast_path' THEN raw_text
+          ELSE CASE WHEN k % 3 = 0 THEN replace(raw_text, 'ou', 'o') ELSE raw_text END END AS clean_text,
+        CASE path WHEN 'ground_truth' THEN 1.0 WHEN 'fast_path' THEN ocr_minimum ELSE 0.9::double + cast(k % 11 AS double) / 100 END AS confidence,
+        path = 'uncertain' AND k % 7 = 0 AS needs_review,
+        CASE WHEN path = 'uncertain' THEN CASE WHEN k % 3 = 0 THEN 'ocr_typo' ELSE 'unchanged' END END AS reason_code FROM screened)"""
+    + SCORED.replace("AS needs_review),", f"AS needs_review, {round_exact_sql('ocr_confidence', 3)} AS ocr_confidence),")
+    + DECIDE + RECOVER
+    + """, settled AS (SELECT *, path = 'ground_truth' AS known, region_id % 5 = 0 AND (asset_id + region_id) % 2 = 0 AS gated FROM recovered)
+    SELECT asset_id, region_id, replace(path, 'uncertain', 'model') AS correction_path, CASE WHEN known THEN truth_text ELSE clean_text END AS clean_text,
+      CASE WHEN known THEN 'verified' WHEN gated THEN 'needs_review' ELSE decision END AS decision,
+      NOT known AND (needs_review OR gated) AS needs_review, ocr_confidence, CASE WHEN NOT known THEN text_similarity END AS text_similarity,
+      CASE WHEN NOT known THEN correction_score END AS correction_score, CASE WHEN NOT known THEN recovery_confidence END AS recovery_confidence,
+      CASE WHEN NOT known THEN recovery_reason_code END AS recovery_reason_code, CASE WHEN NOT known THEN agreement_evidence END AS agreement_evidence FROM settled"""
+)
+
+
+@query("settled_dialogue_rows", SETTLED)
+def settled_dialogue_rows(spark, d):
+    """Every dialogue as the composed page dataflow leaves it."""
+    passed = ["text_similarity", "correction_score", "recovery_confidence", "recovery_reason_code", "agreement_evidence"]
+    return _settled(spark, d).select(
+        "asset_id", "region_id", "correction_path", "clean_text", "decision", "needs_review", "ocr_confidence",
+        *[F.when(~F.col("human_verified"), F.col(name)).alias(name) for name in passed],
+    )
+
+
+@query("settled_dialogues", f"SELECT decision, correction_path, count(*) AS dialogues, count(*) FILTER (WHERE needs_review) AS reviewed FROM ({SETTLED}) GROUP BY 1, 2")
+def settled_dialogues(spark, d):
+    """The composed page dataflow by outcome."""
+    return _settled(spark, d).groupBy("decision", "correction_path").agg(
         F.count(F.lit(1)).alias("dialogues"), F.count_if("needs_review").alias("reviewed")
     )
 

@@ -217,6 +217,31 @@ def test_six_claims_all_placed(spark):
     assert told == {1: ["c1"], 2: ["c2"], 3: ["c3"], 4: ["c4"], 5: ["c5", "c6"]}
 
 
+def test_hot_project_beats_are_joined_from_pieces(spark):
+    """One project holds nearly all claims; pieces, ids and totals equal a plain loop over the units."""
+    n = 3 * P.PIECE + 17
+    events = spark.createDataFrame(
+        [("p", f"e{i}", i, "s", "main_story", True, 0) for i in range(1, 60)] + [("q", "e1", 1, "s", "main_story", True, 0)], EVENT)
+    rows = [("p", f"e{1 + i % 59}", i, f"c{i % 2000}", f"fact  {i} 'x'" if i % 7 else '"', "fact", None) for i in range(n)]
+    claims = spark.createDataFrame(rows + [("q", "e1", 1, "c1", "alone", "fact", None)], CLAIM)
+    none = spark.createDataFrame([], "project_id string, pos int, event_id string")
+    out = plan_scripts(events, claims, none)
+    units = sorted(map(tuple, out["units"].collect()))
+    told = {}
+    for project, beat, _, event, claim, text in units:
+        ids, cited, texts = told.setdefault((project, beat), ([], [], []))
+        ids += [event] * (event not in ids)
+        cited += [claim] * (claim not in cited)
+        texts.append(text)
+    got = {(r.project_id, r.beat): (r.source_event_ids, r.claim_ids, r.fact_text) for r in out["beats"].collect()}
+    assert got == {k: (e, c, " ".join(t)) for k, (e, c, t) in told.items()}
+    assert len(got["p", 5][1]) == 2000
+    flat = sorted(map(tuple, out["totals"].select("project_id", "segment_count", "word_count", "source_event_count", "estimated_duration_seconds").collect()))
+    whole = P.script_totals(out["segments"]).select("project_id", "segment_count", "word_count", "source_event_count", "estimated_duration_seconds")
+    assert flat == sorted(map(tuple, whole.collect()))
+    assert "collect_list" not in out["totals"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blank_text_has_no_words(spark):
     row = spark.range(1).select(T.word_count(F.lit("  ")).alias("a"), T.word_count(F.lit(" a\n b ")).alias("b")).first()
     assert (row.a, row.b) == (0, 2)

@@ -10,7 +10,7 @@ from pagetrace.operators import dialogue as D
 from pagetrace.operators.recall import read_snapshot
 from pagetrace.operators.review import store_results
 from pagetrace.plans.reports import performance_report, recall_audit
-from pagetrace.sources.stores import read_images, write_report
+from pagetrace.sources.stores import read_database, read_images, write_report
 from pagetrace.streaming import jobs as J
 
 
@@ -179,3 +179,27 @@ def test_a_measure_sees_unequal_texts_only(spark):
     rows = rows.withColumns({"confidence": F.lit(1.0), "needs_review": F.lit(False)})
     got = D.score(rows, lambda a, b: F.coalesce(F.length(a), F.lit(7)) / 2.0)
     assert {r.raw_text: r.text_similarity for r in got.collect()} == {"Same": 1.0, "a": 0.5}
+
+
+def test_database_scan_is_split_and_filtered_by_the_database(spark, tmp_path):
+    """An embedded database: ranges make the partitions, filters and columns reach its query."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "database.log"))
+    url = f"jdbc:derby:{tmp_path}/assets;create=true"
+    rows = [(i, i % 3, "none" if i % 4 == 0 else f"page {i}", "completed" if i % 2 else "failed") for i in range(1, 101)]
+    assets = spark.createDataFrame(rows, "asset_id int, project_id int, ocr_text string, status string")
+    kinds = "ocr_text VARCHAR(100), status VARCHAR(20)"
+    assets.coalesce(1).write.format("jdbc").options(url=url, dbtable="assets", createTableColumnTypes=kinds).mode("append").save()
+    whole = read_database(spark, url, "assets", "asset_id", (1, 101), 4)
+    assert whole.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, whole.collect())) == rows
+    # Rows beyond the bounds still come, in the first and last range.
+    assert read_database(spark, url, "assets", "asset_id", (40, 60), 3).count() == 100
+    done = whole.where("project_id = 1 AND status = 'completed' AND ocr_text LIKE 'page%'").select("asset_id")
+    assert sorted(r.asset_id for r in done.collect()) == [i for i, p, t, s in rows if p == 1 and s == "completed" and t != "none"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = done.select("asset_id")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters"):]
+    for part in ("*equalto(project_id,1)", "*equalto(status,completed)", "*stringstartswith(ocr_text,page)"):
+        assert part in pushed.lower()
+    assert "readschema: struct<asset_id:int>" in pushed.lower()
