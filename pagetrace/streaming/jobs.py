@@ -1,6 +1,7 @@
 """Structured Streaming jobs: live progress, verification feed, telemetry windows.
 
-Keyed feeds go to Spark's file sink as they are, whose own log makes a delivery count once;
+Keyed feeds either live as state of their query (``follow_newest``), which answers without the
+feed, or go to Spark's file sink as they are, whose own log makes a delivery count once;
 tables are the newest row per key of what lies there, so the order of arrival, repeats and
 late rows make no difference. Windows are kept as additive sums per batch. Folders are the
 caller's. A feed's files are as many as its triggers; ``fold`` writes the newest rows to a new
@@ -46,6 +47,28 @@ def fold(table: DataFrame, path: str) -> None:
     table.write.mode("error").parquet(path)
 
 
+def follow_newest(
+    feed: DataFrame, keys: Sequence[str], version: Sequence[str], checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """The newest row of every key as keyed state of the query; see ``current_rows``.
+
+    A trigger reads its new files and touches their keys only, however long the feed is; order
+    of arrival, repeats and late rows make no difference. Of rows with equal versions any may stay.
+    A key that is or holds NULL is a key. State has as many partitions as the session shuffles when
+    the query first starts; on a cluster take the RocksDB provider, which keeps it out of the heap.
+    """
+    row = F.struct(*[c for c in feed.columns if c not in keys])
+    kept = feed.groupBy(*keys).agg(F.max_by(row, F.struct(*version)).alias("row"))
+    return _start(kept.writeStream.format("noop").outputMode("update"), checkpoint, once)
+
+
+def current_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What ``follow_newest`` holds after its last finished trigger, one row per key; the feed is not read."""
+    state = spark.read.format("statestore").load(checkpoint)
+    row = state.schema["value"].dataType.names[0]
+    return state.select("key.*", F.col("value").getField(row).alias("row")).select("*", "row.*").drop("row")
+
+
 def follow_status(changes: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """changes(project_id, asset_id, status, ocr_text, changed_at, change_id); see ``current_progress``."""
     return _append(changes, path, checkpoint, once)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pagetrace.operators.catalog import project_progress
 from pagetrace.session import checkpoint_dir
 from pagetrace.sources.lenses import SPARK, table, with_lenses
 from pagetrace.streaming import jobs as J
@@ -42,42 +43,67 @@ def _folder(spark):
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-@query(
-    "stream_project_progress",
+PROGRESS = (
     with_lenses("assets")
     + """, c AS (SELECT project_id, count(*) AS total, count(ocr_text) AS completed,
         count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'failed') AS failed FROM assets GROUP BY 1)
     SELECT *, CASE WHEN processing > 0 THEN 'processing' WHEN failed > 0 THEN 'completed_with_errors'
         WHEN completed = total THEN 'completed' ELSE 'idle' END AS state,
-      cast(round_even(cast(completed AS double) / total * 100, 0) AS bigint) AS percent FROM c""",
+      cast(round_even(cast(completed AS double) / total * 100, 0) AS bigint) AS percent FROM c"""
 )
-def stream_project_progress(spark, d):
+TRUTH = (
+    with_lenses("truth")
+    + """ SELECT id, asset_id, region_id, verified_text FROM truth
+    QUALIFY row_number() OVER (PARTITION BY asset_id, region_id ORDER BY created_at DESC, id DESC) = 1"""
+)
+
+
+def _changes(spark, d):
     """Every page reports ready without text first, then its final state."""
     final = _lens_stream(spark, d, "assets", "orders").select("project_id", "asset_id", "status", "ocr_text", "created_at")
     first = F.struct(F.lit("ready").alias("status"), F.lit(None).cast("string").alias("ocr_text"), F.lit(1).alias("change_id"))
     last = F.struct("status", "ocr_text", F.lit(2).alias("change_id"))
     changes = final.select("project_id", "asset_id", F.col("created_at").alias("changed_at"), F.explode(F.array(first, last)).alias("c"))
-    changes = changes.select("project_id", "asset_id", "changed_at", "c.*")
+    return changes.select("project_id", "asset_id", "changed_at", "c.*")
+
+
+def _twice(spark, d):
+    """Each verification is delivered twice."""
+    feed = _lens_stream(spark, d, "truth", "events")
+    return feed.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+
+
+@query("stream_project_progress", PROGRESS)
+def stream_project_progress(spark, d):
+    changes = _changes(spark, d)
     folder = _folder(spark)
     J.follow_status(changes, f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
     return J.current_progress(spark, [f"{folder}/table"], changes.schema)
 
 
-@query(
-    "stream_verified_truth",
-    with_lenses("truth")
-    + """ SELECT id, asset_id, region_id, verified_text FROM truth
-    QUALIFY row_number() OVER (PARTITION BY asset_id, region_id ORDER BY created_at DESC, id DESC) = 1""",
-)
+@query("stream_verified_truth", TRUTH)
 def stream_verified_truth(spark, d):
-    """Each verification is delivered twice."""
-    feed = _lens_stream(spark, d, "truth", "events")
-    twice = feed.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+    twice = _twice(spark, d)
     folder = _folder(spark)
     J.follow_verifications(twice, f"{folder}/table", f"{folder}/checkpoint", once=True).awaitTermination()
     return J.newest(spark, [f"{folder}/table"], twice.schema, J.REGION, J.VERIFIED).drop("created_at")
 
 
+@query("stream_progress_state", PROGRESS)
+def stream_progress_state(spark, d):
+    """Progress from the state of the query, without a table of the feed."""
+    checkpoint = _folder(spark)
+    J.follow_newest(_changes(spark, d), J.PAGE, J.CHANGE, checkpoint, once=True).awaitTermination()
+    return project_progress(J.current_rows(spark, checkpoint))
+
+
+@query("stream_truth_state", TRUTH)
+def stream_truth_state(spark, d):
+    checkpoint = _folder(spark)
+    J.follow_newest(_twice(spark, d), J.REGION, J.VERIFIED, checkpoint, once=True).awaitTermination()
+    return J.current_rows(spark, checkpoint).drop("created_at")
+
+
 @query(
     "stream_stage_windows",
     with_lenses("stages")
