@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagetrace.llm.common import WORD_BYTES_RE, ArrowBatches, stored, table
 from pagetrace.llm.graph import components
@@ -158,10 +159,14 @@ def cell_pairs(cells: Sequence[tuple[int, int]], words: int, radius: int) -> lis
     return [(a, m, b, n) for i, (a, m) in enumerate(ordered) for b, n in ordered[i:] if least(a, b) <= radius]
 
 
-def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest, as row numbers, of the links between two tiles of shape (rows, words)."""
+def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as row numbers, of the links between two tiles of shape (rows, words).
+
+    Rows of one ``label`` (those of ``right`` follow those of ``left``) are joined already; the labels of the
+    outcome replace it.
+    """
     offset = 0 if same else len(left)
-    label = np.arange(len(left) + (0 if same else len(right)))
+    label = np.arange(len(left) + (0 if same else len(right))) if label is None else label
     # Rows are sorted by the counts of their quarter words and cut into blocks; two blocks whose
     # counts differ by more than the radius, summed over the quarters, hold no link.
     blocks = []
@@ -180,6 +185,8 @@ def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tup
             if same and to < at:
                 continue
             columns = order_b[to : to + _STEP]
+            if (label[rows, None] == label[None, offset + columns]).all():
+                continue
             distance = np.bitwise_count(left[rows, 0, None] ^ right[None, columns, 0])
             for k in range(1, left.shape[1]):
                 distance = distance + np.bitwise_count(left[rows, k, None] ^ right[None, columns, k])
@@ -212,34 +219,55 @@ def links(distinct: DataFrame, radius: int, words: int = 1, tile: int = TILE) ->
         .groupBy("cell", F.pmod(F.xxhash64(*names), F.col("tiles")).cast("int").alias("tile"))
         .agg(F.collect_list(F.struct(*names)).alias("rows"))
     )
-    tiles = stored(tiles, "simhash-tiles")
+    ends = [f"{s}{k}" for s in "xy" for k in range(words)]
+
+    def words_of(rows: pa.Array) -> np.ndarray:
+        return np.stack([rows.field(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
+
+    def between(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+        found = [*(x[a, k] for k in range(words)), *(y[b, k] for k in range(words))]
+        return [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found]
+
+    def close(given: ArrowBatches) -> ArrowBatches:
+        for batch in given:
+            labels, inner = [], []
+            for rows in batch.column("rows"):
+                x = words_of(rows.values)
+                labels.append(np.arange(len(x)))
+                a, b = _forest(x, x, True, radius, labels[-1])
+                inner.append(pa.StructArray.from_arrays(between(x, x, a, b), ends).to_pylist())
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.struct([(n, pa.int64()) for n in ends]))]
+            added = [pa.array(v, kind) for v, kind in zip((labels, inner), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "labels", "inner"])
+
+    # Each tile is closed by itself first, so that two tiles need a link only where they join what is still apart.
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    link = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ends]))
+    closed = T.StructType([*tiles.schema.fields]).add("labels", T.ArrayType(T.LongType())).add("inner", link)
+    tiles = stored(tiles.repartition(count, "cell", "tile").mapInArrow(close, closed), "simhash-tiles")
+    inner = tiles.select(F.explode("inner").alias("_l")).select("_l.*")
+    tiles = tiles.drop("inner")
     # Each tile goes once to every pair it is in; the pairs of cells are as few as the cells.
     pairs = F.broadcast(spark.createDataFrame(cell_pairs(cells, words, radius), "a int, na int, b int, nb int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = tiles.join(pairs, F.col("cell") == F.col("a")).withColumn("i", F.col("tile")).withColumn("j", F.explode(upto("nb")))
     right = tiles.join(pairs, F.col("cell") == F.col("b")).withColumn("j", F.col("tile")).withColumn("i", F.explode(upto("na")))
-    # Of two tiles of one cell the lower is on the left; a tile with itself needs one copy.
-    left, right = left.where("a < b OR i <= j"), right.where("a < b OR i < j")
+    # Of two tiles of one cell the lower is on the left.
+    left, right = left.where("a < b OR i < j"), right.where("a < b OR i < j")
     keys = ["a", "i", "b", "j"]
-    sides = [side.select(*keys, F.lit(n).alias("side"), "rows") for n, side in enumerate((left, right))]
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    sides = [side.select(*keys, F.lit(n).alias("side"), "rows", "labels") for n, side in enumerate((left, right))]
     # A pair is much work for its bytes, so its partitions are not to be merged by size.
     met = sides[0].unionByName(sides[1]).repartition(count, *keys)
 
-    ends = [f"{s}{k}" for s in "xy" for k in range(words)]
-
-    def words_of(rows: pa.Array) -> np.ndarray:
-        return np.stack([rows.field(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
-
     def compare(pair: pa.Table) -> pa.Table:
         pair = pair.combine_chunks()
-        tiles = {side: words_of(pair.column("rows")[n].values) for n, side in enumerate(pair.column("side").to_pylist())}
-        x, y = tiles[0], tiles.get(1, tiles[0])
-        a, b = _forest(x, y, 1 not in tiles, radius)
-        found = [*(x[a, k] for k in range(words)), *(y[b, k] for k in range(words))]
-        return pa.table({n: pa.array(np.ascontiguousarray(c).view(np.int64)) for n, c in zip(ends, found, strict=True)})
+        at = {side: n for n, side in enumerate(pair.column("side").to_pylist())}
+        x, y = (words_of(pair.column("rows")[at[side]].values) for side in (0, 1))
+        own, other = (pair.column("labels")[at[side]].values.to_numpy(zero_copy_only=False) for side in (0, 1))
+        a, b = _forest(x, y, False, radius, np.concatenate([own, len(x) + other]))
+        return pa.table(between(x, y, a, b), ends)
 
-    found = met.groupBy(*keys).applyInArrow(compare, ", ".join(f"{n} bigint" for n in ends))
+    found = inner.unionByName(met.groupBy(*keys).applyInArrow(compare, ", ".join(f"{n} bigint" for n in ends)))
     return found.select(
         node_of([F.col(f"x{k}") for k in range(words)]).alias("a"), node_of([F.col(f"y{k}") for k in range(words)]).alias("b")
     )
@@ -262,13 +290,15 @@ def near_duplicates(
     return prints.join(named.select(*names, "component_id"), names, "left").select(key, node.alias("fingerprint"), "component_id")
 
 
-def _alike(sets: list[np.ndarray], prints: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, floors: tuple[int, float, float]) -> list[tuple[int, int]]:
-    """A spanning forest of the links between rows ``left`` and rows ``right`` (the same rows, or none in common)."""
+def _alike(sets: list[np.ndarray], prints: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, floors: tuple[int, float, float], label: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows ``left`` and rows ``right`` (the same rows, or none in common).
+
+    Rows of one ``label`` are joined already; the labels of the outcome replace it.
+    """
     sizes = np.array([len(s) for s in sets])
     numbers = np.unique(np.concatenate(sets), return_inverse=True)[1]
     parts = np.split(numbers, np.cumsum(sizes)[:-1])
     mark = np.zeros(len(numbers), bool)
-    label = np.arange(len(sets))
     (few, short, long), same, found = floors, np.array_equal(left, right), []
     for i in left.tolist():
         others = right[right > i] if same else right
@@ -312,33 +342,48 @@ def set_links(docs: DataFrame, contents: DataFrame, radius: int, shingle: int, w
     members = members.select("group", "tiles", "tile", "shingles", *names, "text").mapInArrow(hashed, "group string, tiles int, tile int, " + row)
     # A row a tile; one of a group of several meets each of the others once, on the partition of the pair.
     held = members.groupBy("group", "tiles", "tile").agg(F.collect_list(F.struct("shingles", *names, "hashes")).alias("rows"))
-    held = stored(held, "simhash-sets")
-    alone = held.where("tiles = 1").select(F.col("rows").alias("x"), F.lit(None).cast(held.schema["rows"].dataType).alias("y"))
-    several = held.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+
+    def linked(sides: list[pa.Array], label: np.ndarray) -> list[tuple[str, str]]:
+        rows = pa.concat_arrays(sides)
+        digests = rows.field("shingles").to_pylist()
+        prints = np.stack([rows.field(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
+        lists = rows.field("hashes")
+        offsets = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        sets = [flat[at:to] for at, to in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        every, cut = np.arange(len(sets)), len(sides[0])
+        left, right = (every, every) if len(sides) == 1 else (every[:cut], every[cut:])
+        return [(digests[i], digests[j]) for i, j in _alike(sets, prints, left, right, radius, floors, label)]
+
+    def close(given: ArrowBatches) -> ArrowBatches:
+        for batch in given:
+            labels, inner = [], []
+            for rows in batch.column("rows"):
+                labels.append(np.arange(len(rows)))
+                inner.append([{"a": a, "b": b} for a, b in linked([rows.values], labels[-1])])
+            added = [pa.array(labels, pa.list_(pa.int64())), pa.array(inner, pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())])))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "labels", "inner"])
+
+    # Each tile is closed by itself first; two tiles then need a link only where they join what is still apart.
+    link = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in "ab"]))
+    closed = T.StructType([*held.schema.fields]).add("labels", T.ArrayType(T.LongType())).add("inner", link)
+    held = stored(held.mapInArrow(close, closed), "simhash-sets")
+    alone = held.select(F.explode("inner").alias("_l")).select("_l.*")
+    several = held.where("tiles > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tile <> other")
     i, j = F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")
-    several = several.groupBy("group", i, j).agg(F.collect_list("rows").alias("sides"))
-    several = several.select(F.col("sides")[0].alias("x"), F.get("sides", F.lit(1)).alias("y"))
+    several = several.groupBy("group", i, j).agg(F.collect_list(F.struct("rows", "labels")).alias("sides"))
+    # A number without rows has no pairs.
+    several = several.where(F.size("sides") == 2).select(*[F.col("sides")[n][c].alias(f"{c}{n}") for n in (0, 1) for c in ("rows", "labels")])
 
     def compare(given: ArrowBatches) -> ArrowBatches:
         for batch in given:
-            a, b = [], []
-            for number in range(batch.num_rows):
-                sides = [side[number].values for side in batch.columns if side[number].is_valid]
-                rows = pa.concat_arrays(sides)
-                digests = rows.field("shingles").to_pylist()
-                prints = np.stack([rows.field(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], axis=1)
-                lists = rows.field("hashes")
-                offsets = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy(zero_copy_only=False)
-                sets = [flat[at:to] for at, to in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                every, cut = np.arange(len(sets)), len(sides[0])
-                left, right = (every, every) if len(sides) == 1 else (every[:cut], every[cut:])
-                for i, j in _alike(sets, prints, left, right, radius, floors):
-                    a.append(digests[i])
-                    b.append(digests[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-
-    return alone.unionByName(several).mapInArrow(compare, "a string, b string")
+            found = []
+            for x, own, y, other in zip(*batch.columns, strict=True):
+                label = np.concatenate([own.values.to_numpy(zero_copy_only=False), len(x) + other.values.to_numpy(zero_copy_only=False)])
+                found += linked([x.values, y.values], label)
+            yield pa.RecordBatch.from_arrays([pa.array([pair[n] for pair in found], pa.string()) for n in (0, 1)], ["a", "b"])
+
+    return alone.unionByName(several.mapInArrow(compare, "a string, b string"))
 
 
 def alike(
