@@ -257,10 +257,20 @@ def _ranges(codes: Sequence[int]) -> str:
     return f"[{''.join(parts)}]"
 
 
+def _seldom(codes: Sequence[int]) -> str:
+    """The class of ``codes`` behind a test of one or two ranges that most letters fail.
+
+    A class of many ranges is tried range by range at every character of a text.
+    """
+    common = [(0, min(codes) - 1), (0x1EA0, 0x1EF9)]
+    free = [(low, high) for low, high in common if not any(low <= c <= high for c in codes)]
+    return "(?![" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in free) + "])" + _ranges(codes)
+
+
 @lru_cache(maxsize=1)
 def _combining() -> str:
     """Marks with a combining class; vowel signs and enclosing marks have none and stay."""
-    return _ranges([c for c in range(0x300, _LAST) if unicodedata.combining(chr(c))])
+    return _seldom([c for c in range(0x300, _LAST) if unicodedata.combining(chr(c))])
 
 
 @lru_cache(maxsize=1)
@@ -332,7 +342,7 @@ def _spelled_out(text: Column) -> Column:
     spelled = _compatible()[2]
     rows = _rows(["char", "whole"], spelled)
     done = F.aggregate(rows, text, lambda so_far, r: F.replace(so_far, r["char"], r["whole"]))
-    return F.when(text.rlike(_ranges(sorted(ord(c) for c, _ in spelled))), done).otherwise(text)
+    return F.when(text.rlike(_seldom(sorted(ord(c) for c, _ in spelled))), done).otherwise(text)
 
 
 def _with_mark(text: Column, row: Column) -> Column:
@@ -357,8 +367,9 @@ def normalize_name(text: Column) -> Column:
     ``normalize_name_arrow`` expands those as well.
     """
     source, target = _fold_table()
-    folded = F.translate(_spelled_out(F.coalesce(text, F.lit(""))), source, target)
-    unmarked = F.regexp_replace(folded, _combining() + "+", "")
+    given = F.coalesce(text, F.lit(""))
+    folded = F.translate(_spelled_out(given), source, target)
+    unmarked = F.when(given.rlike(r"[^\x00-\x7f]"), F.regexp_replace(folded, _combining() + "+", "")).otherwise(given)
     return strip(F.regexp_replace(F.upper(unmarked), r"(?U)\s+", " "))
 
 

@@ -157,10 +157,10 @@ def cited_evidence(valid: DataFrame, evidence: DataFrame, key: Sequence[str]) ->
 
 def _foreign_names(claims: DataFrame, names: DataFrame) -> DataFrame:
     """(claim, name) where the claim's text holds a known name that no cited region holds."""
-    spread = claims.select(
-        *CLAIM, "_norm", "source_texts", F.explode(T.name_anchors(F.col("_norm"))).alias("anchor")
-    )
-    met = spread.join(names, ["project_id", "anchor"])
+    # Anchors and names meet by ids; only what has met gets the texts.
+    spread = claims.select(*CLAIM, F.explode(T.name_anchors(F.col("_norm"))).alias("anchor"))
+    pairs = spread.join(names, ["project_id", "anchor"]).select(*CLAIM, "normalized", "name").distinct()
+    met = pairs.join(claims.select(*CLAIM, "_norm", "source_texts"), CLAIM)
     named = met.where(T.contains_name(F.col("_norm"), F.col("normalized")))
     absent = ~F.exists("source_texts", lambda t: T.contains_name(t, F.col("normalized")))
     return named.where(F.coalesce(absent, F.lit(True))).select(*CLAIM, "normalized", "name")
@@ -179,8 +179,9 @@ def _foreign_tokens(claims: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def _failures(claims: DataFrame, names: DataFrame, tokens: DataFrame) -> DataFrame:
     """claims(.., text, claim_type, subject, source_texts, cites_ui) with ``reason``."""
-    ready = claims.withColumn("_norm", T.normalize_name(F.col("text"))).withColumn(
-        "_subject", T.normalize_name(F.col("subject"))
+    # Names, tokens and verdicts read the claims, so citations are joined and texts folded once.
+    ready = cut(
+        claims.withColumn("_norm", T.normalize_name(F.col("text"))).withColumn("_subject", T.normalize_name(F.col("subject")))
     )
     foreign = _foreign_names(ready, names).groupBy(*CLAIM).agg(
         F.count(F.lit(1)).alias("_foreign"), F.min("name").alias("foreign_name")
