@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +63,14 @@ def neighbours(a: Box, b: Box) -> Column:
     return stacked(a, b) | beside(a, b)
 
 
+def linked_boxes(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """``neighbours`` of two arrays of boxes; like ``greatest`` and ``least`` it passes over a missing side."""
+    across = np.fmin(a["x1"], b["x1"]) - np.fmax(a["x0"], b["x0"])
+    down = np.fmin(a["y1"], b["y1"]) - np.fmax(a["y0"], b["y0"])
+    narrower = np.fmax(1, np.fmin(a["x1"] - a["x0"], b["x1"] - b["x0"]))
+    return ((across / narrower >= 0.20) & (-down <= 36)) | ((down >= 0) & (-across <= 45))
+
+
 def corners_box(points: Column) -> Column:
     """Struct(x0, y0, x1, y1) of an array of [x, y] points; NULL for none or a bad point."""
     bad = F.exists(points, lambda p: F.coalesce(F.size(p) != 2, F.lit(True)))

@@ -1,22 +1,26 @@
 """Connected components inside pages.
 
-Pages up to ``PAGE_BOUND`` boxes are closed in one projection over the page's
-array. Larger pages never form an array or a pair list per page: their boxes are
+Pages up to ``PAGE_BOUND`` boxes are closed as arrays, a batch of pages at once. Larger pages never form an array or a pair list per page: their boxes are
 first merged exactly, joined by place, and closed by distributed label spreading.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagetrace.functions.boxes import beside, box_of, field_box, neighbours, stacked
+from pagetrace.functions.boxes import beside, box_of, linked_boxes, stacked
 from pagetrace.session import cut
 
 PAGE_BOUND = 64
+#: Whether the members of pairs are linked, from the fields of the first and of the second ones.
+Linked = Callable[[dict[str, np.ndarray], dict[str, np.ndarray]], np.ndarray]
 
 
 def large_keys(rows: DataFrame, keys: Sequence[str], bound: int) -> DataFrame | None:
@@ -67,38 +71,54 @@ def spread_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> Da
             return labels
 
 
-def _close_in_array(members: Column, linked: Callable[[Column, Column], Column]) -> Column:
-    """Fold the members into an array of groups, merging the groups each one links."""
-    empty = F.filter(F.array(members), lambda g: F.lit(False))
-
-    def absorb(groups: Column, member: Column) -> Column:
-        def touches(group: Column) -> Column:
-            return F.exists(group, lambda other: linked(member, other))
-
-        merged = F.flatten(F.filter(groups, touches))
-        return F.concat(
-            F.filter(groups, lambda g: ~touches(g)), F.array(F.concat(merged, F.array(member)))
+def least_linked(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
+    """For every position below ``count`` the least position reachable over the pairs (a, b)."""
+    label = np.arange(count)
+    while True:
+        near = label.copy()
+        np.minimum.at(near, a, label[b])
+        np.minimum.at(near, b, label[a])
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near
+
+
+def _close_pages(batches: Iterable[pa.RecordBatch], keys: Sequence[str], fields: Sequence[str], linked: Linked) -> Iterator[pa.RecordBatch]:
+    """Every page is a list of members in the order of their nodes, so the first of a group is its least."""
+    for batch in batches:
+        column = batch.column(len(keys))
+        members = column.flatten()
+        sizes = np.diff(column.offsets.to_numpy())
+        page = np.repeat(np.arange(len(sizes)), sizes)
+        values = {f: members.field(f).to_numpy(zero_copy_only=False) for f in fields}
+        pairs = [np.zeros((2, 0), dtype=np.int64)]
+        for step in range(1, int(sizes.max(initial=0))):
+            low = np.flatnonzero(page[:-step] == page[step:])
+            both = low + step
+            met = linked({f: v[low] for f, v in values.items()}, {f: v[both] for f, v in values.items()})
+            pairs.append(np.stack([low[met], both[met]]))
+        a, b = np.concatenate(pairs, axis=1)
+        node = members.field("node")
+        head = pa.array(least_linked(a, b, len(page)))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i).take(pa.array(page)) for i in range(len(keys))), node, node.take(head)], [*keys, "node", "component"]
         )
 
-    return F.aggregate(members, empty, absorb)
 
-
-def _small_pages(
-    rows: DataFrame, keys: Sequence[str], linked: Callable[[Column, Column], Column]
-) -> DataFrame:
-    fields = [c for c in rows.columns if c not in keys]
-    pages = rows.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_members"))
-    groups = pages.select(
-        *keys, F.explode(_close_in_array(F.col("_members"), linked)).alias("_group")
-    )
-    ids = F.transform(F.col("_group"), lambda m: m["node"])
-    return groups.select(*keys, F.explode(ids).alias("node"), F.array_min(ids).alias("component"))
+def _small_pages(rows: DataFrame, keys: Sequence[str], linked: Linked) -> DataFrame:
+    """Pages met as arrays; all pairs of a batch of pages are compared at once, by their distance in the array."""
+    fields = [c for c in rows.columns if c not in [*keys, "node"]]
+    pages = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("node", *fields))).alias("_members"))
+    kind = rows.schema["node"]
+    schema = T.StructType([*(rows.schema[k] for k in keys), kind, T.StructField("component", kind.dataType)])
+    return pages.mapInArrow(lambda batches: _close_pages(batches, keys, fields, linked), schema)
 
 
 def _by_page_size(
     rows: DataFrame,
     keys: Sequence[str],
-    linked: Callable[[Column, Column], Column],
+    linked: Linked,
     large: Callable[[DataFrame, Sequence[str]], DataFrame],
     bound: int,
 ) -> DataFrame:
@@ -208,8 +228,7 @@ def box_components(
 ) -> DataFrame:
     """(keys, block_id, component) grouping neighbouring boxes; component = least block id."""
     rows = boxes.select(*keys, F.col("block_id").alias("node"), "x0", "y0", "x1", "y1")
-    linked = lambda a, b: neighbours(field_box(a), field_box(b))
-    done = _by_page_size(rows, keys, linked, _large_box_pages, bound)
+    done = _by_page_size(rows, keys, linked_boxes, _large_box_pages, bound)
     return done.withColumnRenamed("node", "block_id")
 
 
@@ -283,7 +302,7 @@ def centre_components(
         (2 * (F.col("y0") + F.col("y1"))).cast("long").alias("sy"),
     )
 
-    def linked(a: Column, b: Column) -> Column:
+    def linked(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
         dx, dy = a["sx"] - b["sx"], a["sy"] - b["sy"]
         return dx * dx + dy * dy <= _REACH * _REACH
 

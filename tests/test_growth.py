@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 from pagetrace.operators import grounding as G
+from pagetrace.operators.components import box_components
 
 
 def plan(df):
@@ -32,3 +33,10 @@ def test_classes_of_many_ranges_stand_behind_a_cheap_test(spark):
     spelled = {ord(c) for c, _ in T._compatible()[2]}
     hit = {r.code for r in frame.where(F.col("c").rlike(T._seldom(sorted(spelled)))).collect()}
     assert hit == spelled
+
+
+def test_small_pages_close_in_batches(spark):
+    rows = [("p", "b", 0, 0, 10, 10), ("p", "a", 0, 20, 10, 30), ("p", "c", 500, 500, 510, 510), (None, "a", 0, 0, 9, 9), ("q", "z", None, 0, None, 9)]
+    found = box_components(spark.createDataFrame(rows, "asset_id string, block_id string, x0 int, y0 int, x1 int, y1 int"))
+    assert "MapInArrow" in plan(found)
+    assert {tuple(r) for r in found.collect()} == {("p", "b", "a"), ("p", "a", "a"), ("p", "c", "c"), (None, "a", "a"), ("q", "z", "z")}
