@@ -107,12 +107,29 @@ def similarity_arrow(raw: pd.Series, clean: pd.Series) -> pd.Series:
     )
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance, word by word where that is known to be the least.
+
+    Editing each word into its counterpart is one way, so its cost is never too small; the
+    distance is never under the difference of the lengths, nor under 1 for unequal texts. Where
+    both meet, as for corrections that only drop or only add characters inside words, the full
+    table is not needed, whose work grows with the square of the length.
+    """
+    left, right = F.split(a, " "), F.split(b, " ")
+    steps = F.zip_with(left, right, lambda x, y: F.when(x == y, 0).otherwise(F.levenshtein(x, y)))
+    by_word = F.when(
+        (F.size(left) == F.size(right)) & (F.size(left) > 1), F.aggregate(steps, F.lit(0), lambda total, step: total + step)
+    )
+    least = F.greatest(F.abs(F.length(a) - F.length(b)), (a != b).cast("int"))
+    return F.when(by_word == least, least).otherwise(F.levenshtein(a, b))
+
+
 def similarity_levenshtein(raw: Column, clean: Column) -> Column:
     """Built-in alternative: 1 - edit distance / longer length (a different measure)."""
     longest = F.greatest(F.length(raw), F.length(clean))
     same = F.lower(raw) == F.lower(clean)
     return F.when((longest == 0) | same, F.lit(1.0)).otherwise(
-        1.0 - F.levenshtein(F.lower(raw), F.lower(clean)).cast("double") / longest.cast("double")
+        1.0 - edit_distance(F.lower(raw), F.lower(clean)).cast("double") / longest.cast("double")
     )
 
 

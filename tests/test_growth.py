@@ -1,5 +1,7 @@
 """Steps whose cost must follow the rows: what travels with them and how often they are evaluated."""
 
+import random
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -40,3 +42,22 @@ def test_small_pages_close_in_batches(spark):
     found = box_components(spark.createDataFrame(rows, "asset_id string, block_id string, x0 int, y0 int, x1 int, y1 int"))
     assert "MapInArrow" in plan(found)
     assert {tuple(r) for r in found.collect()} == {("p", "b", "a"), ("p", "a", "a"), ("p", "c", "c"), (None, "a", "a"), ("q", "z", "z")}
+
+
+def test_edit_distance_goes_by_words_where_it_may(spark):
+    rng = random.Random(3)
+    rows = [("", ""), (None, "a"), ("a", None), ("abc", ""), ("Đi ngay", "đi ngày"), ("a b ", "a b"), ("ab c", "b ac"), ("x  y", "x y z"), ("you out", "yo ot")]
+    for size, changes in [(20, 3), (400, 12), (400, 60), (700, 400), (300, 2000)]:
+        text = [rng.choice("abcđê ") for _ in range(size)]
+        other = list(text)
+        for _ in range(changes):
+            other.insert(rng.randrange(len(other) + 1), rng.choice("xyz"))
+        rows += [("".join(text), "".join(other)), ("".join(other), "".join(text)), ("".join(text), "".join(other[::-1]))]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    a, b = F.lower("a"), F.lower("b")
+    assert frame.where(~T.edit_distance(a, b).eqNullSafe(F.levenshtein(a, b))).count() == 0
+    # Not literals, which would be folded with all their branches.
+    long = spark.range(6000, 6001).selectExpr("repeat('you found our house ', cast(id AS int)) AS a", "repeat('yo fond or hose ', cast(id AS int)) AS b")
+    began = time.time()
+    assert long.select(T.edit_distance(F.col("a"), F.col("b"))).first()[0] == 24000
+    assert time.time() - began < 15
