@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ROWS_A_TASK = 2**19
 
 
 def local_session(cores: str = "*", name: str = "pagetrace", **conf: str) -> SparkSession:
@@ -46,6 +49,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def deal(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
+    """Rows dealt by expressions over a number of partitions that adaptive execution keeps.
+
+    It merges other partitions up to a size in compressed bytes; narrow rows then come by the
+    million into one task's hash map. With the number of ``rows`` a task gets about
+    ``ROWS_A_TASK`` of them, else there are as many partitions as the session's shuffles have.
+    """
+    spark = df.sparkSession
+    if rows is None:
+        count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    else:
+        count = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+    return df.repartition(count, *[F.expr(e) for e in by])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably and drop its lineage."""
     checkpoint_dir(df.sparkSession)

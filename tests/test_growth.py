@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 from pagetrace.operators import grounding as G
+from pagetrace.operators import layout as L
 from pagetrace.operators.components import box_components
+from pagetrace.sources.lenses import lens
+from tests.oracle import ROOT
 
 
 def plan(df):
@@ -61,3 +64,25 @@ def test_edit_distance_goes_by_words_where_it_may(spark):
     began = time.time()
     assert long.select(T.edit_distance(F.col("a"), F.col("b"))).first()[0] == 24000
     assert time.time() - began < 15
+
+
+def test_boxes_are_dealt_before_they_are_grouped(spark):
+    text = plan(lens(spark, f"{ROOT}/sf0.001", "boxes"))
+    above, below = text.split("Exchange", 1)
+    assert "Aggregate" in above and "Aggregate" not in below and "Exchange" not in below
+
+
+def test_small_pages_settle_in_one_stage(spark):
+    nan, one = float("nan"), (0, 0, 100, 100)
+    rows = [
+        (1, *one, 0.5), (1, *one, None), (1, 0, 0, 100, 90, 0.9), (1, 500, 500, 600, 600, 0.1),
+        (2, *one, None), (2, 0, 0, 100, 99, 0.9), (2, 5, 5, 5, 5, 0.2), (2, 5, 5, 5, 5, 0.3), (2, 7, 7, 7, 7, 0.3),
+        (3, *one, nan), (3, *one, 0.4), (3, 0, 0, 100, 98, 0.1), (4, None, 0, 9, 9, 0.4), (4, None, 0, 9, 9, 0.6), (4, 0, 0, 9, 9, 0.5),
+        (5, *one, 0.5), (5, 1, 0, 101, 100, 0.5), (5, 40, 0, 140, 100, 0.5), (5, 41, 0, 141, 100, 0.5),
+    ]
+    frame = spark.createDataFrame(rows, "asset_id int, x0 int, y0 int, x1 int, y1 int, confidence double")
+    found = L.distinct_candidates(frame)
+    assert "MapInArrow" in plan(found)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, L.distinct_candidates(frame, bound=0).collect()))
+    nameless = frame.withColumn("asset_id", F.lit(None).cast("int")).where("x0 = 0 AND confidence = 0.9")
+    assert [tuple(r) for r in L.distinct_candidates(nameless).collect()] == [(None, 0, 0, 100, 90, 0.9)]
