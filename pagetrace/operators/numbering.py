@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagetrace.operators.components import large_keys
 from pagetrace.session import cut
 
 
@@ -41,19 +42,42 @@ def number_rows(
         rows = cut(spread.withColumn("_bucket", F.spark_partition_id()))
     else:
         rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    # Equal structs hold NULLs at the same places; as one column the join and the window share a shuffle.
+    rows = rows.withColumn("_at", F.struct(*keys, "_bucket")).drop("_bucket")
+    sizes = rows.groupBy("_at").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.partitionBy(*[F.col("_at")[k] for k in keys]).orderBy(F.col("_at")["_bucket"]).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_at", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy("_at").orderBy(*order)
     return (
-        join_by(rows, offsets, [*keys, "_bucket"])
+        rows.join(offsets, "_at")
         .withColumn(into, (F.col("_offset") + F.row_number().over(inside)).cast("long"))
-        .drop("_bucket", "_offset")
+        .drop("_at", "_offset")
     )
 
 
+def number_short_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    into: str = "position",
+    bucket: Column | None = None,
+    bound: int = 2**16,
+) -> DataFrame:
+    """``number_rows`` where most keys are short: those up to ``bound`` rows are numbered in one window each.
+
+    The keys are counted at once, so ``df`` should be cheap to read again.
+    """
+
+    def short(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(into, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+    hot = large_keys(df, keys, bound)
+    if hot is None:
+        return short(df)
+    long = number_rows(df.join(hot, list(keys), "left_semi"), keys, order, into, bucket)
+    return short(df.join(hot, list(keys), "left_anti")).unionByName(long)
+
+
 def with_neighbours(
     df: DataFrame,
     keys: Sequence[str],

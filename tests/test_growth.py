@@ -10,6 +10,7 @@ from pagetrace.functions import text as T
 from pagetrace.operators import grounding as G
 from pagetrace.operators import layout as L
 from pagetrace.operators.components import box_components
+from pagetrace.operators.numbering import number_rows, number_short_keys
 from pagetrace.sources.lenses import lens
 from tests.oracle import ROOT
 
@@ -94,3 +95,41 @@ def test_split_check_joins_nothing(spark):
     found = L.partition_preserved(before, spark.createDataFrame(rows, "asset_id int, cluster int, block_id int"))
     assert "Join" not in plan(found)
     assert {tuple(r) for r in found.collect()} == {(1, True), (2, False), (3, False), (None, False), (4, False), (5, False), (6, False)}
+
+
+def test_insertion_of_small_pages_needs_no_joins(spark):
+    rng = random.Random(8)
+    order, centres, new = [], [], []
+    for page in range(40):
+        name = None if page == 0 else f"p{page}"
+        for i in range(rng.randrange(0, 9)):
+            order.append((name, 2 * i + 3, f"r{i}"))
+            for _ in range(rng.choice([0, 1, 1, 1, 2])):
+                centres.append((name, f"r{i}", rng.randrange(0, 600) / 2, rng.randrange(0, 600) / 2))
+        centres.append((name, "unknown", 300.0, 300.0))
+        for seq in range(rng.randrange(0, 6)):
+            x, y = rng.randrange(0, 250), rng.choice([None, *range(0, 250, 10)])
+            new.append((name, seq * 5, f"n{seq}", x, y, x + 30, None if y is None else y + rng.randrange(10, 90)))
+    inputs = [
+        spark.createDataFrame(order, "asset_id string, pos int, region_id string"),
+        spark.createDataFrame(centres, "asset_id string, region_id string, center_x double, center_y double"),
+        spark.createDataFrame(new, "asset_id string, seq int, region_id string, x0 int, y0 int, x1 int, y1 int"),
+    ]
+    found = L.insert_by_position(*inputs)
+    assert "MapInArrow" in plan(found) and "Join" not in plan(found)
+    named = found.where("asset_id IS NOT NULL")
+    assert sorted(map(tuple, named.collect())) == sorted(map(tuple, L.insert_by_position(*[f.where("asset_id IS NOT NULL") for f in inputs], bound=0).collect()))
+    assert found.where("asset_id IS NULL").count() == sum(r[0] is None for r in order + new)
+
+
+def test_numbering_shares_one_shuffle_with_its_join(spark):
+    rows = spark.range(100).selectExpr("id % 3 AS k", "id AS o")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(number_rows(rows, ["k"], [F.col("o")], bucket=F.floor(F.col("o") / 8)))
+        assert text.count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted(map(tuple, number_rows(rows, ["k"], [F.col("o")], bucket=F.floor(F.col("o") / 8)).collect()))
+    for bound in (5, 2**16):
+        assert sorted(map(tuple, number_short_keys(rows, ["k"], [F.col("o")], bucket=F.floor(F.col("o") / 8), bound=bound).collect())) == want
