@@ -7,10 +7,11 @@ stays flat: one row per project, page, dialogue and issue.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from pagetrace.functions import text as T
 from pagetrace.functions.json import json_list, kind, positive_int, text_field, true_field
@@ -22,14 +23,45 @@ SUPPORTED_DECISIONS = ["auto_accepted", "auto_recovered", "verified"]
 # --------------------------------------------------------------------------
 
 
-def region_types(pages: DataFrame) -> DataFrame:
-    """(asset_id, region_id, type) of the valid entries; the last one of a repeated id wins."""
-    listed = pages.select("asset_id", F.posexplode(json_list(F.col("vision_regions"))).alias("_i", "_r"))
-    read = listed.select(
-        "asset_id", "_i", positive_int(F.col("_r"), "id").alias("region_id"), text_field(F.col("_r"), "type").alias("type")
+@F.arrow_udf(ArrayType(StringType()))
+def _types_by_region(listed: pa.Array, refs: pa.Array) -> pa.Array:
+    """For every reference of a page the type listed for its region; pages of a batch are searched at once."""
+
+    def flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        rows = lists.flatten()
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return rows, sizes, np.repeat(np.arange(len(lists)), sizes)
+
+    rows, _, page = flat(listed)
+    kinds = rows.field("type")
+    valid = np.flatnonzero(np.asarray(rows.field("region_id").is_valid()) & np.asarray(kinds.is_valid()))
+    wanted, sizes, own = flat(refs)
+    ids, sought = (x.field("region_id").fill_null(0).to_numpy(zero_copy_only=False) for x in (rows, wanted))
+    # Ids are above zero; the number of an id stands for it, so that page and id make one key.
+    names, number = np.unique(np.concatenate([ids[valid], sought]), return_inverse=True)
+    known, asked = page[valid] * len(names) + number[: len(valid)], own * len(names) + number[len(valid):]
+    order = np.argsort(known, kind="stable")
+    # The last one of a repeated id.
+    last = np.searchsorted(known[order], asked, "right") - 1
+    hit = (last >= 0) & (sought > 0)
+    hit[hit] = known[order[last[hit]]] == asked[hit]
+    index = np.zeros(len(asked), dtype=np.int64)
+    index[hit] = valid[order[last[hit]]]
+    found = kinds.take(pa.array(index, mask=~hit))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, found)
+
+
+def region_types(regions: Column, refs: Column) -> Column:
+    """Types of the regions that ``refs`` name, from the page's own JSON list ``regions``; the last valid entry of a repeated id wins.
+
+    Both lists lie in the page's row, so they meet there and no table of all regions is joined.
+    """
+    listed = F.transform(
+        json_list(regions),
+        lambda r: F.named_struct(F.lit("region_id"), positive_int(r, "id"), F.lit("type"), text_field(r, "type")),
     )
-    valid = read.where("region_id IS NOT NULL AND type IS NOT NULL")
-    return valid.groupBy("asset_id", "region_id").agg(F.max_by("type", "_i").alias("region_type"))
+    return _types_by_region(listed, refs)
 
 
 @F.arrow_udf(ArrayType(BooleanType()))
@@ -82,7 +114,8 @@ def decode_pages(pages: DataFrame) -> DataFrame:
     )
     refs = checked.withColumn("_refs", refs)
     flagged = refs.withColumn("_repeats", _repeat_flags(F.col("_refs")))
-    entries = F.when(F.col("_usable"), F.arrays_zip("_items", "_repeats"))
+    flagged = flagged.withColumn("_types", region_types(F.col("vision_regions"), F.col("_refs")))
+    entries = F.when(F.col("_usable"), F.arrays_zip("_items", "_repeats", "_types"))
     exploded = flagged.withColumn("_entries", entries).select(
         "project_id", "asset_id", "page_order", "_usable", F.posexplode_outer("_entries").alias("idx", "_e")
     )
@@ -98,6 +131,7 @@ def decode_pages(pages: DataFrame) -> DataFrame:
         true_field(item, "human_verified").alias("human_verified"),
         text_field(item, "recovered_text").alias("recovered_text"),
         text_field(item, "clean_text").alias("clean_text"),
+        F.col("_e._types").alias("region_type"),
     )
 
 
@@ -125,7 +159,7 @@ def page_states(assets: DataFrame) -> DataFrame:
 def dialogue_rows(pages: DataFrame) -> DataFrame:
     """One row per dialogue of the pages that reach decoding, with its own code."""
     reached = pages.where("stop_code IS NULL AND vision_status = 'completed'")
-    typed = decode_pages(reached).join(region_types(reached), ["asset_id", "region_id"], "left")
+    typed = decode_pages(reached)
     row = {n: F.col(n) for n in ("decision", "human_verified", "verified_text", "recovered_text", "clean_text")}
     final = typed.withColumn("_final", T.authoritative_text(row)).withColumn("final_text", F.col("_final.text"))
     final = final.withColumn("_note", T.note_position(F.col("final_text")))

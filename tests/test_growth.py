@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pagetrace.functions import text as T
 from pagetrace.operators import grounding as G
 from pagetrace.operators import layout as L
+from pagetrace.operators import story_input as S
 from pagetrace.operators.components import box_components
 from pagetrace.operators.numbering import number_rows, number_short_keys
 from pagetrace.sources.lenses import lens
@@ -133,3 +134,24 @@ def test_numbering_shares_one_shuffle_with_its_join(spark):
     want = sorted(map(tuple, number_rows(rows, ["k"], [F.col("o")], bucket=F.floor(F.col("o") / 8)).collect()))
     for bound in (5, 2**16):
         assert sorted(map(tuple, number_short_keys(rows, ["k"], [F.col("o")], bucket=F.floor(F.col("o") / 8), bound=bound).collect())) == want
+
+
+def test_region_types_meet_dialogues_in_the_page(spark):
+    def lines(*ids):
+        return "[" + ",".join(f'{{"region_id":{i},"order":{n},"decision":"auto_accepted","clean_text":"t"}}' for n, i in enumerate(ids, 1)) + "]"
+
+    big = 2**62
+    listed = f'[{{"id":2,"type":"sfx"}},{{"id":2,"type":"thought"}},{{"id":2,"type":7}},{{"id":"3","type":"sfx"}},{{"id":-4,"type":"sfx"}},{{"id":{big},"type":"note"}},5]'
+    rows = [
+        ("a", 1, lines(2, 3, big, 0, 9), listed), ("a", 2, lines(2, 1), '[{"id":1,"type":"narration"}]'), ("a", 3, lines(1), "{broken"),
+        ("a", 4, lines(1), None), ("a", 5, "[1]", listed), ("a", 6, None, listed), ("a", None, lines(1), '[{"id":1,"type":"sfx"}]'), ("a", 8, lines(2), "[]"),
+    ]
+    pages = spark.createDataFrame(rows, "project_id string, asset_id int, dialogues string, vision_regions string").selectExpr(
+        "project_id", "asset_id", "1 AS page_order", "'ready' AS status", "'completed' AS vision_status", "'completed' AS dialogue_status", "dialogues", "vision_regions"
+    )
+    found = S.decode_pages(pages)
+    assert {(r.asset_id, r.idx): r.region_type for r in found.collect()} == {
+        (1, 0): "thought", (1, 1): None, (1, 2): "note", (1, 3): None, (1, 4): None, (2, 0): None, (2, 1): "narration",
+        (3, 0): None, (4, 0): None, (5, None): None, (6, None): None, (None, 0): "sfx", (8, 0): None,
+    }
+    assert "Join" not in plan(S.dialogue_rows(pages.withColumn("stop_code", F.lit(None).cast("string"))))
