@@ -20,6 +20,10 @@ WORD_BYTES_RE = re.compile(WORD.encode())
 
 ArrowBatches = Iterator[pa.RecordBatch]
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch where a session has Spark's own limit: a task holds several copies of one, in both processes.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -37,6 +41,12 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session have ``BATCH_BYTES``; a limit that the user has set stays."""
+    if spark.conf.get(ARROW_BYTES) == f"{64 << 20}b":
+        spark.conf.set(ARROW_BYTES, f"{BATCH_BYTES}b")
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """Rows whose labels are never learnt: crc32 of the id as text leaves 2 modulo 4."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -36,7 +36,7 @@ BUCKETS = 1 << 14
 GRADES = 3
 KEEP_AT = 1
 KEEP = 0.5
-CACHE = 300_000
+CACHE = 100_000
 #: What a text's figures weigh beside its words, whose frequencies sum to one.
 FIGURE = 0.5
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 import corpus_pipeline as C
 from pagetrace.llm import byte_bpe, mixing, personal_data, quality, simhash
-from pagetrace.llm.common import stored
+from pagetrace.llm.common import ARROW_BYTES, small_batches, stored
 from tests.llm.fixtures import none, odd_documents
 from tests.llm.test_personal_data import base_spans
 
@@ -123,3 +123,19 @@ def test_links_need_their_jaccard_in_tiles_of_any_size(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in simhash.alike(docs, 24, 5, 2).collect()}
     assert found == dict(enumerate(group)) and 4 < len(set(group)) < len(texts)
     assert [group[i] for i in range(12, 15)] == [12, 13, 14] and max(len(js) for js in near) > 3
+
+
+def test_stages_with_python_take_small_arrow_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    for name in ("quality", "near_duplicates", "byte_bpe"):
+        session = spark.newSession()
+        dict(C.STAGES)[name](session, session.read.parquet(f"{FOLDER}/documents.parquet").limit(5), FOLDER)
+        long = session.range(0, 9000, 1, 1).selectExpr("repeat('x', 2000) text")
+        found = [r.n for r in long.mapInArrow(sizes, "n bigint").collect()]
+        assert sum(found) > 9000 * 2000 and max(found) < 5 << 20
+        session.conf.set(ARROW_BYTES, "1m")
+        small_batches(session)
+        assert session.conf.get(ARROW_BYTES) == "1m"
