@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from pagetrace.session import cut
 
+#: Links up to which one task is enough: rounds over more partitions would only start tasks.
+SMALL = 1 << 16
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+
+def components(links: DataFrame, a: str = "a", b: str = "b", small: int = SMALL) -> DataFrame:
     """(node, component): the least node reachable over ``links``; nodes without a link do not appear.
 
     Each round takes the least label among the neighbours, a combinable minimum, so a
     hub is reduced before the shuffle, then jumps to the label's own label, which
-    halves chains. Both tables are checkpointed, rounds stop when nothing moves.
+    halves chains. Both tables are checkpointed, rounds stop when nothing moves. Up to ``small``
+    rows they have one partition, which needs no shuffle.
     """
     one = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = cut(one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if both.count() <= small:
+        both = cut(both.coalesce(1))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
     while True:
         near = (

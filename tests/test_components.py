@@ -85,3 +85,13 @@ def test_components_match_brute_force(spark, operator, near, bound):
     boxes = spark.createDataFrame(rows, "asset_id int, block_id int, x0 int, y0 int, x1 int, y1 int")
     got = {(r.asset_id, r.block_id, r.component) for r in operator(boxes, bound=bound).collect()}
     assert got == expected(pages, near)
+
+
+def test_few_links_take_one_task(spark):
+    from pagetrace.llm.graph import components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a int, b int").repartition(4)
+    want = {(i, 0) for i in range(41)} | {(i, 90) for i in (90, 95, 100)}
+    few, many = components(links), components(links, small=0)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} == want
+    assert few.rdd.getNumPartitions() == 1
