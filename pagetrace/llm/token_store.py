@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from pagetrace.llm.common import ArrowBatches, shared_folder, stored, table
 
@@ -42,9 +43,10 @@ SAMPLE = 256
 PER_FILE = 2_000_000
 #: Words whose ids a worker keeps.
 CACHE = 400_000
-#: Marks that may follow a word, and the first letter whose lower case is not one letter.
+#: Marks that may follow a word.
 MARKS = ",.;:!?%&*#$|()[]{}-_=+~/\"<>"
-LATIN = "\u0130"
+#: A run of letters below the first whose lower case is not one letter, and the marks behind.
+_RUN = re.compile(rf"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f]+)([{re.escape(MARKS)}]*)")
 _ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -164,37 +166,40 @@ class WordEncoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
             self.marks: dict[str, bytes] = {}
+            # Such runs in lower case are what normalizer and splitter would leave of them.
+            self.runs = Tokenizer.from_file(path)
+            self.runs.normalizer = normalizers.Sequence([])
+            byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), byte_level])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         """Ids of new words: runs of Latin letters together, others one by one; a run of marks behind letters is a part of its own."""
-        known, letters, marked, other = self.known, [], [], []
+        known, marked, other = self.known, [], []
         wanted: set[str] = set()
         for word in new:
-            if word.isalpha() and max(word) < LATIN:
-                wanted.add(word)
-            elif (run := word.rstrip(MARKS)) != word and run.isalpha() and max(run) < LATIN:
-                marked.append((word, run))
-                if run not in known:
-                    wanted.add(run)
-            else:
+            if (found := _RUN.fullmatch(word)) is None:
                 other.append(word)
+                continue
+            run, marks = found.groups()
+            if marks:
+                marked.append((word, run, marks))
+            if not marks or run not in known:
+                wanted.add(run)
         letters = list(wanted)
         groups = [letters[at : at + 512] for at in range(0, len(letters), 512)]
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
-            stops = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
+        encoded = self.runs.encode_batch_fast([" ".join(g).lower() for g in groups], add_special_tokens=False)
+        for group, one in zip(groups, encoded, strict=True):
+            values = np.array(one.ids, "<u4")
+            ids, stops = values.tobytes(), ((np.flatnonzero(self.ends[values]) + 1) * 4).tolist()
             if len(stops) != len(group):
                 known.update(zip(group, self._encode(group), strict=True))
                 continue
-            start = 0
-            for word, stop in zip(group, stops.tolist(), strict=True):
-                known[word] = ids[start:stop]
-                start = stop
+            known.update(zip(group, map(ids.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
         known.update(zip(other, self._encode(other), strict=True))
-        for word, run in marked:
-            marks = word[len(run) :]
+        for word, run, marks in marked:
             if marks not in self.marks:
                 self.marks[marks] = self._encode([marks])[0]
             known[word] = known[run] + self.marks[marks]
@@ -211,8 +216,8 @@ class WordEncoder:
         words = set().union(*rows)
         new = words.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known, self.marks = {"": b""}, {}
-            new = words.difference(self.known)
+            # What the texts at hand use is likely to be used again.
+            self.known, self.marks = {"": b""} | {w: self.known[w] for w in words.intersection(self.known)}, {}
         self._learn(list(new))
         known = self.known.__getitem__
         return [b"".join(map(known, row)) for row in rows]

@@ -86,3 +86,15 @@ def test_documents_by_select():
     assert own.doc_ids() == [None, -5, 7, 7]
     wide = T.pack([1], np.array([1]), np.array([70_000])) + T.MAGIC[-1:]
     assert T.TokenFile(wide).document(0).tolist() == [70_000]
+
+
+def test_a_full_cache_keeps_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(T, "CACHE", 4)
+    own = T.WordEncoder(PATH, separable=True)
+    for texts in (["one two", "\xc9t\xe9, two"], ["two six \xdcBER!!", "one"], ["two 12 ten. ten"]):
+        assert own.encode(texts) == own._encode(texts)
+    assert "two" in own.known and "six" not in own.known
+    learnt = []
+    monkeypatch.setattr(own, "_learn", learnt.extend)
+    own.encode(["two two ten."])
+    assert learnt == []
