@@ -248,12 +248,13 @@ def unknown_projects(requested: DataFrame, projects: DataFrame) -> DataFrame:
 
 
 def sorted_issues(issues: DataFrame) -> DataFrame:
-    """Issue order: page, asset, region, with missing values first."""
+    """Issue order: page, asset, region, with missing values first; by code where these are equal, so that no order is open."""
     return issues.orderBy(
         "project_id",
         F.coalesce("page_order", F.lit(0)),
         F.coalesce(F.col("asset_id").cast("string"), F.lit("")),
         F.coalesce("region_id", F.lit(0)),
+        "code",
     )
 
 

@@ -148,3 +148,11 @@ def test_decomposed_and_other_scripts_equal_the_unicode_rules(spark):
     frame = spark.createDataFrame([(r,) for r in rows], "t string")
     for r in frame.select("t", T.normalize_name(F.col("t")).alias("n"), T.semantic_tokens(F.col("t")).alias("s")).collect():
         assert (r.n, set(r.s)) == (name(r.t), tokens(r.t)), r.t
+
+
+def test_issues_of_one_place_have_an_order(spark):
+    codes = ["duplicate_page_order", "asset_not_ready", "invalid_dialogue_reference", "duplicate_dialogue_reference"]
+    schema = "project_id string, asset_id int, page_order int, region_id int, code string, severity string"
+    for listed in (codes, codes[::-1]):
+        rows = spark.createDataFrame([("p", 1, 1, None, c, "error") for c in listed], schema).coalesce(1)
+        assert [r.code for r in S.sorted_issues(rows).collect()] == sorted(codes)
