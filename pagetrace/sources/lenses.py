@@ -8,7 +8,9 @@ line split of ``blocks`` differs, see ``SQL["blocks"]``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagetrace.operators.components import PAGE_BOUND, large_keys
 from pagetrace.session import deal
 
 TABLES = [
@@ -87,7 +89,7 @@ _BLOCKS_DUCKDB = """
                  generate_subscripts(p, 1) - 1 AS block_id, unnest(p) AS text
           FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents))"""
 
-# Lenses that group: their rows are dealt by the grouping before it, so that no scan task holds the groups of a whole file.
+# Lenses that group: their rows are dealt by the grouping before it, so that no scan task holds the groups of a whole file. The page comes first.
 DEALT = {"boxes": ("lineitem", ["l_orderkey", "(l_partkey * 100003 + l_suppkey) * 8 + l_linenumber"])}
 
 SPARK = {**_SHARED, "blocks": _BLOCKS_SPARK}
@@ -98,18 +100,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def lens(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The lens as a DataFrame over the driver tables of ``folder``."""
+def lens(spark: SparkSession, folder: str, name: str, whole_pages: bool = False) -> DataFrame:
+    """The lens as a DataFrame over the driver tables of ``folder``.
+
+    With ``whole_pages`` a page's rows lie in one task, so that steps a page need no shuffle; for pages of few rows.
+    """
     text = SPARK[name]
     used = {t: table(spark, folder, t) for t in TABLES if f"FROM {t}" in text}
     if name in DEALT:
         source, by = DEALT[name]
-        used[source] = deal(used[source], *by, rows=used[source].count())
+        used[source] = deal(used[source], *(by[:1] if whole_pages else by), rows=used[source].count())
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(text, **used)
 
 
+def page_boxes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None]:
+    """The box lens and its pages that may have more than ``PAGE_BOUND`` boxes; without any, whole pages in one task."""
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("asset_id"))
+    large = large_keys(lines, ["asset_id"], PAGE_BOUND)
+    return lens(spark, folder, "boxes", whole_pages=large is None), large
+
+
 def with_lenses(*names: str) -> str:
     """``WITH`` prefix for an oracle query that uses the named lenses."""
     return "WITH RECURSIVE " + ", ".join(f"{name} AS ({SQL[name]})" for name in names)

@@ -13,9 +13,14 @@ from pagetrace.operators import story_input as S
 from pagetrace.operators.components import box_components
 from pagetrace.operators.numbering import number_rows, number_short_keys
 from pagetrace.sources.lenses import lens
+from pagetrace.suite.registry import registered
 from tests.oracle import ROOT
 
 
+def queries():
+    return {name: fn for name, (fn, _) in registered().items()}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -155,3 +160,43 @@ def test_region_types_meet_dialogues_in_the_page(spark):
         (3, 0): None, (4, 0): None, (5, None): None, (6, None): None, (None, 0): "sfx", (8, 0): None,
     }
     assert "Join" not in plan(S.dialogue_rows(pages.withColumn("stop_code", F.lit(None).cast("string"))))
+
+
+def _random_layout(spark):
+    """Pages with missing, repeated and half boxes, blocks cited twice or not at all, regions listed twice or without a block."""
+    rng = random.Random(11)
+    regions, cited, boxes, order = [], [], [], []
+    for page in range(60):
+        name = None if page == 0 else f"p{page}"
+        for block in range(rng.randrange(0, 12)):
+            x, y = rng.randrange(0, 260), rng.randrange(0, 260)
+            if rng.random() < 0.99:
+                boxes += [(name, block, x, y if rng.random() < 0.99 else None, x + 30, y + 20)] * rng.choice([1] * 60 + [2])
+            cited.append((name, rng.choice([1, 2, 5]), block))
+            if rng.random() < 0.01:
+                cited.append((name, 5, block))
+        for region in (1, 2, 5, 9):
+            regions += [(name, region, rng.choice(["sfx", None]), f"{name}-{region}-{i}", rng.choice(["vision", None])) for i in range(rng.choice([1] * 8 + [0, 2]))]
+            order.append((name, region + 3, region))
+    return [
+        spark.createDataFrame(regions, "asset_id string, region_id int, type string, label string, region_source string"),
+        spark.createDataFrame(cited, "asset_id string, region_id int, block_id long"),
+        spark.createDataFrame(boxes, "asset_id string, block_id long, x0 int, y0 int, x1 int, y1 int"),
+        spark.createDataFrame(order, "asset_id string, pos int, region_id int"),
+    ]
+
+
+def _same_split(found, wanted):
+    for name, rows in wanted.items():
+        assert found[name].columns == rows.columns and found[name].dtypes == rows.dtypes
+        assert sorted(found[name].collect(), key=repr) == sorted(rows.collect(), key=repr), name
+
+
+def test_split_of_small_pages_needs_one_shuffle_and_no_steps(spark):
+    layout = _random_layout(spark)
+    found = L.split_regions(*layout)
+    wanted = L.split_regions(*layout, bound=0)
+    _same_split(found, wanted)
+    assert found["split_sources"].count() > 20 and found["regions"].where("region_source = 'vision'").count() > 0
+    text = plan(queries()["split_region_sources"](spark, f"{ROOT}/sf0.001"))
+    assert text.count("Exchange ") == 1 and "MapInArrow" in text and "Join" not in text
