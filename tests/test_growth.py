@@ -4,17 +4,18 @@ import random
 import time
 import unicodedata
 
+import duckdb
 from pyspark.sql import functions as F
 
 from pagetrace.functions import text as T
 from pagetrace.operators import grounding as G
 from pagetrace.operators import layout as L
 from pagetrace.operators import story_input as S
-from pagetrace.operators.components import box_components
+from pagetrace.operators.components import PAGE_BOUND, box_components
 from pagetrace.operators.numbering import number_rows, number_short_keys
 from pagetrace.sources.lenses import lens
 from pagetrace.suite.registry import registered
-from tests.oracle import ROOT
+from tests.oracle import ROOT, compare
 
 
 def queries():
@@ -200,3 +201,20 @@ def test_split_of_small_pages_needs_one_shuffle_and_no_steps(spark):
     assert found["split_sources"].count() > 20 and found["regions"].where("region_source = 'vision'").count() > 0
     text = plan(queries()["split_region_sources"](spark, f"{ROOT}/sf0.001"))
     assert text.count("Exchange ") == 1 and "MapInArrow" in text and "Join" not in text
+
+
+def _folder_with_a_large_page(tmp_path):
+    """Lines of sf0.001 of which some hundred lie on one page."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT * REPLACE (CASE WHEN l_orderkey < 60 THEN 7 ELSE l_orderkey END AS l_orderkey)
+        FROM '{ROOT}/sf0.001/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'""")
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet'")
+    assert con.execute("SELECT count(*) FROM lineitem WHERE l_orderkey = 7").fetchone()[0] > 2 * PAGE_BOUND
+    return con
+
+
+def test_a_large_page_is_split_beside_small_ones(spark, tmp_path):
+    con = _folder_with_a_large_page(tmp_path)
+    assert compare(spark, con, str(tmp_path), *registered()["split_merged_regions"])[0] is None
+    text = plan(queries()["split_merged_regions"](spark, f"{ROOT}/sf0.001"))
+    assert text.count("Exchange ") == 1 and "Join" not in text
