@@ -218,3 +218,10 @@ def test_a_large_page_is_split_beside_small_ones(spark, tmp_path):
     assert compare(spark, con, str(tmp_path), *registered()["split_merged_regions"])[0] is None
     text = plan(queries()["split_merged_regions"](spark, f"{ROOT}/sf0.001"))
     assert text.count("Exchange ") == 1 and "Join" not in text
+
+
+def test_reading_order_of_split_pages_is_read_in_one_shuffle(spark, tmp_path):
+    con = _folder_with_a_large_page(tmp_path)
+    assert compare(spark, con, str(tmp_path), *registered()["split_reading_order"])[0] is None
+    text = plan(queries()["split_reading_order"](spark, f"{ROOT}/sf0.001"))
+    assert text.count("Exchange ") == 1 and "Join" not in text
