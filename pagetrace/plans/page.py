@@ -113,3 +113,49 @@ def layout_quality(
         "reading_order": placed,
         "order_check": L.valid_reading_order(all_regions, placed),
     }
+
+
+def placed_quality(
+    pages: DataFrame, placed: DataFrame, candidates: DataFrame, attempts: DataFrame, large: DataFrame | None
+) -> dict[str, DataFrame]:
+    """``layout_quality`` of pages whose blocks are all cited and bring their boxes: regions, reading_order, order_check, no_dialogue.
+
+    placed(asset_id, region_id, block_id, x0, y0, x1, y1, confidence); the regions are those cited, region n at place n - 1
+    of the reading order. ``large`` names the pages of too many rows for a list, None for none; they go the way of
+    ``layout_quality``, the others as lists in one Arrow stage. Inputs dealt by page over one number of tasks are not dealt again.
+    """
+    from pagetrace.operators import layout as L
+
+    def listed(rows: DataFrame, name: str, *fields: str) -> DataFrame:
+        return rows.groupBy("asset_id").agg(F.collect_list(F.struct(*fields)).alias(name))
+
+    def quality(placed: DataFrame, candidates: DataFrame, attempts: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+        whole = listed(placed, "cited", "region_id", "block_id", *L.SIDES, "confidence")
+        blocks = F.transform("cited", lambda c: c["block_id"])
+        sound = F.col("asset_id").isNotNull() & F.forall(blocks, lambda b: b.isNotNull()) & (F.size(F.array_distinct(blocks)) == F.size(blocks))
+        found = listed(candidates, "candidates", "candidate_id", *L.SIDES, *[f"core_{s}" for s in L.SIDES], "confidence")
+        read = listed(D.rank_attempts(attempts).where("resolved"), "read", "candidate_id", "region_source", "confidence", "needs_review")
+        once = F.array_distinct(F.transform("cited", lambda c: F.struct(c["block_id"].alias("id"), c["confidence"].alias("sure"))))
+        unsure = F.filter(once, lambda b: F.coalesce(b["sure"], F.lit(0.0)) < L.LOW_CONFIDENCE)
+        shares = whole.select("asset_id", (F.size(unsure) / F.size(once)).alias("_share"))
+        return L.repair_small(whole.where(sound).join(found, "asset_id", "left").join(read, "asset_id", "left")), shares
+
+    if large is None:
+        out, shares = quality(placed, candidates, attempts)
+    else:
+        out, shares = quality(*[rows.join(large, "asset_id", "left_anti") for rows in (placed, candidates, attempts)])
+        hot, *others = [rows.join(large, "asset_id", "left_semi") for rows in (placed, candidates, attempts)]
+        cited = hot.select("asset_id", "region_id", "block_id")
+        regions = cited.select("asset_id", "region_id").distinct()
+        order = regions.select("asset_id", (F.col("region_id") - 1).alias("pos"), "region_id")
+        blocks = hot.select("asset_id", "block_id", F.lit(None).cast("string").alias("text"), *L.SIDES, "confidence").dropDuplicates(["asset_id", "block_id"])
+        rest = layout_quality(large, blocks, blocks, regions, cited, order, *others)
+        out = {name: rows.unionByName(rest[name]) for name, rows in out.items()}
+        low = F.avg((F.coalesce("confidence", F.lit(0.0)) < L.LOW_CONFIDENCE).cast("double"))
+        shares = shares.unionByName(blocks.groupBy("asset_id").agg(low.alias("_share")))
+    share = F.coalesce("_share", F.lit(1.0))
+    known = pages.select("asset_id").join(shares, "asset_id", "left")
+    out["no_dialogue"] = known.select(
+        "asset_id", share.alias("low_confidence_share"), (F.col("_share").isNull() & (share >= L.NO_DIALOGUE_SHARE)).alias("no_dialogue")
+    )
+    return out

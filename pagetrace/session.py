@@ -49,18 +49,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def deal(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+
+
+def deal(df: DataFrame, *by: str, rows: int | None = None, tasks: int | None = None) -> DataFrame:
     """Rows dealt by expressions over a number of partitions that adaptive execution keeps.
 
     It merges other partitions up to a size in compressed bytes; narrow rows then come by the
     million into one task's hash map. With the number of ``rows`` a task gets about
-    ``ROWS_A_TASK`` of them, else there are as many partitions as the session's shuffles have.
+    ``ROWS_A_TASK`` of them, else there are ``tasks`` partitions or as many as the session's shuffles have.
     """
     spark = df.sparkSession
-    if rows is None:
-        count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        count = tasks_for(spark, rows)
     else:
-        count = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+        count = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(count, *[F.expr(e) for e in by])
 
 

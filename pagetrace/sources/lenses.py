@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetrace.operators.components import PAGE_BOUND, large_keys
-from pagetrace.session import deal
+from pagetrace.session import deal, tasks_for
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -115,11 +115,11 @@ def lens(spark: SparkSession, folder: str, name: str, whole_pages: bool = False)
     return spark.sql(text, **used)
 
 
-def page_boxes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None]:
-    """The box lens and its pages that may have more than ``PAGE_BOUND`` boxes; without any, whole pages in one task."""
+def page_boxes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """The box lens, its pages that may have more than ``PAGE_BOUND`` boxes, and its number of tasks; without any, whole pages in one task."""
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("asset_id"))
     large = large_keys(lines, ["asset_id"], PAGE_BOUND)
-    return lens(spark, folder, "boxes", whole_pages=large is None), large
+    return lens(spark, folder, "boxes", whole_pages=large is None), large, tasks_for(spark, lines.count())
 
 
 def with_lenses(*names: str) -> str:

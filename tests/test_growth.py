@@ -13,6 +13,7 @@ from pagetrace.operators import layout as L
 from pagetrace.operators import story_input as S
 from pagetrace.operators.components import PAGE_BOUND, box_components
 from pagetrace.operators.numbering import number_rows, number_short_keys
+from pagetrace.plans.page import layout_quality, placed_quality
 from pagetrace.sources.lenses import lens
 from pagetrace.suite.registry import registered
 from tests.oracle import ROOT, compare
@@ -225,3 +226,64 @@ def test_reading_order_of_split_pages_is_read_in_one_shuffle(spark, tmp_path):
     assert compare(spark, con, str(tmp_path), *registered()["split_reading_order"])[0] is None
     text = plan(queries()["split_reading_order"](spark, f"{ROOT}/sf0.001"))
     assert text.count("Exchange ") == 1 and "Join" not in text
+
+
+def _random_placed(spark):
+    """Citations with their boxes, candidates and readings: overlaps, equal and empty boxes, missing sides, a block cited twice."""
+    rng = random.Random(5)
+    placed, candidates, attempts = [], [], []
+
+    def box(gap):
+        x, y, w, h = rng.randrange(0, 260, 10), rng.randrange(0, 260, 10), rng.choice([30, 60]), rng.choice([20, 40])
+        sides = [x, y, x + w, y + h]
+        return [None if rng.random() < gap else s for s in sides]
+
+    for page in range(80):
+        name = None if page == 0 else f"p{page}"
+        blocks = [(name, rng.choice([1, 2, 5]), block * 7, *box(0.003), rng.choice([0.1, 0.9, None])) for block in range(rng.randrange(0, 9))]
+        placed += blocks + ([(name, 2, *blocks[0][2:])] if blocks and page % 13 == 5 else [])
+        for i in range(rng.randrange(0, 7)):
+            sides = box(0.01)
+            if rng.random() < 0.05:
+                sides[2] = sides[0]
+            core = sides if rng.random() < 0.7 else box(0)
+            for twin in range(rng.choice([1, 1, 1, 2])):
+                candidates.append((name, f"c{i}-{twin}", *sides, *core, rng.choice([0.5, 0.7, 0.7, None])))
+                for rank in range(rng.choice([0, 1, 1, 2])):
+                    attempts.append((name, f"c{i}-{twin}", rank, f"s{rank}", rng.choice(["Hãy", " ", "đi"]), rng.choice([0.3, 0.95, None]), rng.choice([True, None, False]), rng.choice([True, False, None])))
+    sides = "x0 int, y0 int, x1 int, y1 int"
+    cores = ", ".join("core_" + s for s in sides.split(", "))
+    return (
+        spark.createDataFrame([(f"p{i}",) for i in range(1, 85)], "asset_id string"),
+        spark.createDataFrame(placed, f"asset_id string, region_id int, block_id long, {sides}, confidence double"),
+        spark.createDataFrame(candidates, f"asset_id string, candidate_id string, {sides}, {cores}, confidence double"),
+        spark.createDataFrame(attempts, "asset_id string, candidate_id string, rank int, source string, text string, confidence double, usable boolean, needs_review boolean"),
+    )
+
+
+def test_quality_of_small_pages_equals_the_general_way(spark):
+    pages, placed, candidates, attempts = _random_placed(spark)
+    cited = placed.select("asset_id", "region_id", "block_id")
+    blocks = placed.drop("region_id").dropDuplicates(["asset_id", "block_id"]).withColumn("text", F.lit("t"))
+    regions = cited.select("asset_id", "region_id").distinct()
+    order = regions.select("asset_id", (F.col("region_id") - 1).alias("pos"), "region_id")
+    wanted = layout_quality(pages, blocks, blocks, regions, cited, order, candidates, attempts)
+    wanted = {name: sorted(wanted[name].collect(), key=repr) for name in ("regions", "reading_order", "order_check", "no_dialogue")}
+    sources = [r.region_source for r in wanted["regions"]]
+    assert min(sources.count(s) for s in ("original_layout", "geometry_split", "s0")) > 10 and {r.valid_order for r in wanted["order_check"]} == {True}
+    hot = placed.select("asset_id").distinct().where("substr(asset_id, 2) % 7 = 3")
+    for large in (None, hot):
+        found = placed_quality(pages, placed, candidates, attempts, large)
+        for name, rows in wanted.items():
+            assert found[name].columns == (list(rows[0].__fields__))
+            assert sorted(found[name].collect(), key=repr) == rows, name
+
+
+def test_layout_quality_deals_each_table_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(queries()["layout_quality_summary"](spark, f"{ROOT}/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Of rows: lines for boxes, candidates and attempts of two results, boxes and pages of the third. The others hold totals.
+    assert text.count("REPARTITION_BY_NUM") == 8 and text.count("ENSURE_REQUIREMENTS") == 3
