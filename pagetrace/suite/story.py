@@ -31,7 +31,8 @@ PAGE_COLUMNS = """SELECT doc_id AS asset_id, concat(source, '_', cast(doc_id % 2
 
 
 def story_assets(spark, d):
-    pages = spark.sql(PAGE_COLUMNS.replace("FROM documents", "FROM {documents}"), documents=table(spark, d, "documents"))
+    documents = table(spark, d, "documents").withColumn("source", F.coalesce("source", F.lit("")))  # joins the name as nothing, as in the SQL
+    pages = spark.sql(PAGE_COLUMNS.replace("FROM documents", "FROM {documents}"), documents=documents)
     k = F.col("asset_id")
 
     def dialogue(line, i):
@@ -68,7 +69,7 @@ def story_assets(spark, d):
 
 
 def story_projects(spark, d):
-    known = table(spark, d, "documents").select(F.concat("source", F.lit("_"), F.col("doc_id") % 200).alias("project_id"))
+    known = table(spark, d, "documents").select(F.concat(F.coalesce("source", F.lit("")), F.lit("_"), F.col("doc_id") % 200).alias("project_id"))
     empty = table(spark, d, "region").select(F.concat(F.lit("empty_"), "r_regionkey").alias("project_id"))
     return known.unionByName(empty).distinct()
 

@@ -287,3 +287,13 @@ def test_layout_quality_deals_each_table_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # Of rows: lines for boxes, candidates and attempts of two results, boxes and pages of the third. The others hold totals.
     assert text.count("REPARTITION_BY_NUM") == 8 and text.count("ENSURE_REQUIREMENTS") == 3
+
+
+def test_documents_without_a_source_are_a_project(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT * REPLACE (CASE WHEN doc_id % 3 > 0 THEN source END AS source) FROM '{ROOT}/sf0.001/documents.parquet')
+        TO '{tmp_path}/documents.parquet'""")
+    con.execute(f"COPY (FROM '{ROOT}/sf0.001/region.parquet') TO '{tmp_path}/region.parquet'")
+    for name in ("documents", "region"):
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet'")
+    assert compare(spark, con, str(tmp_path), *registered()["story_input_issues"])[0] is None
